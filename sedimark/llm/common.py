@@ -84,21 +84,28 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.lower = lower
+        self._sums: dict[bool, np.ndarray] = {}
         self._hash: np.ndarray | None = None
 
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Hashes of byte ranges."""
+        n = len(self.data)
+        power, inverse = _powers(n + 1)
+        if lower not in self._sums:
+            sums = self._sums[lower] = np.empty(n + 1, U)
+            sums[0] = 0
+            np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[:n], out=sums[1:])
+        sums = self._sums[lower]
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
+
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            power, inverse = _powers(n)
-            sums = np.empty(n + 1, U)
-            sums[0] = 0
-            np.cumsum((_BYTE_LOWER if self.lower else _BYTE)[self.data] * power[:n], out=sums[1:])
-            self._hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+            self._hash = self.spans(self.start, self.end, self.lower)
         return self._hash
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:

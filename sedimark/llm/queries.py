@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_trie
+from . import bpe_codec, quality_lines, simhash_trie, source_mixing
 from .common import documents
 
 
@@ -14,9 +14,24 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(documents(spark, sf_dir))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(documents(spark, sf_dir))
+
+
+def op7_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.scores(documents(spark, sf_dir))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encoded(documents(spark, sf_dir), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_trie": op2_simhash_trie,
+        "op5_source_mixing": op5_source_mixing,
+        "op7_quality_lines": op7_quality_lines,
+        "op8_bpe_codec": op8_bpe_codec,
     }
 
 
