@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality_lines, simhash_trie, source_mixing
+from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(documents(spark, sf_dir))
 
 
+def op6_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.scanned(documents(spark, sf_dir))
+
+
 def op7_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.scores(documents(spark, sf_dir))
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_trie": op2_simhash_trie,
         "op5_source_mixing": op5_source_mixing,
+        "op6_secret_crf": op6_secret_crf,
         "op7_quality_lines": op7_quality_lines,
         "op8_bpe_codec": op8_bpe_codec,
     }

@@ -152,39 +152,40 @@ class Field:
         parts, bits = self.unpack(np.arange(np.prod(_OWN)), np.arange(1 << _NEAR))
         return self.bias + sum(g[p] for g, p in zip(self.groups, parts)), bits @ self.flags
 
-    def params(self) -> list[np.ndarray]:
-        return [*self.groups, self.flags, self.bias, self.trans]
-
-    def fit(self, own, near, tags, mask, rounds: int = 150, rate: float = 0.15, decay: float = 2e-4) -> Field:
-        """Gradient ascent (Adam) on the mean log-likelihood of padded sequences (rows by positions)."""
+    def fit(self, own, near, tags, mask, rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Field:
+        """Gradient ascent (Adam) on the mean log-likelihood of padded sequences (rows by positions); forward and
+        backward sums are kept as probabilities, scaled at each position."""
         rows, width = own.shape
         parts, bits = self.unpack(own.ravel(), near.ravel())
-        parts, bits = [p.reshape(rows, width) for p in parts], bits.reshape(rows, width, _NEAR).astype(float)
+        hot = np.concatenate([np.eye(k)[p] for k, p in zip(_OWN, parts)] + [bits, np.ones((rows * width, 1))], 1).astype(np.float32)
         gold = np.eye(3)[tags] * mask[..., None]
-        pairs = (mask[:, 1:] * mask[:, :-1])[..., None, None]
-        gold_trans = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum((0, 1))
-        m1, m2 = [np.zeros_like(p) for p in self.params()], [np.zeros_like(p) for p in self.params()]
+        gold_trans = np.einsum("rti,rtj->ij", gold[:, :-1], gold[:, 1:])
+        on = mask[..., None] > 0
+        weights = np.zeros((hot.shape[1], 3))
+        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, self.trans)]
         for step in range(1, rounds + 1):
-            score = self.bias + sum(g[p] for g, p in zip(self.groups, parts)) + bits @ self.flags
-            alpha, beta = np.zeros((rows, width, 3)), np.zeros((rows, width, 3))
-            alpha[:, 0] = score[:, 0]
+            score = np.exp(hot @ weights.astype(np.float32)).astype(float).reshape(rows, width, 3)
+            ways = np.exp(self.trans)
+            alpha, beta = np.empty((rows, width, 3)), np.ones((rows, width, 3))
+            alpha[:, 0] = score[:, 0] / score[:, 0].sum(1, keepdims=True)
             for t in range(1, width):
-                step_on = np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.trans, 1) + score[:, t]
-                alpha[:, t] = np.where(mask[:, t, None] > 0, step_on, alpha[:, t - 1])
+                x = (alpha[:, t - 1] @ ways) * score[:, t]
+                alpha[:, t] = np.where(on[:, t], x / x.sum(1, keepdims=True), alpha[:, t - 1])
             for t in range(width - 2, -1, -1):
-                back = np.logaddexp.reduce(self.trans + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(mask[:, t + 1, None] > 0, back, 0)
-            total = np.logaddexp.reduce(alpha[:, -1], 1)[:, None, None]
-            p1 = np.exp(alpha + beta - total) * mask[..., None]
-            p2 = np.exp(alpha[:, :-1, :, None] + self.trans + (score + beta)[:, 1:, None, :] - total[..., None]) * pairs
-            off = gold - p1
-            grads = [np.stack([off[p == v].sum(0) for v in range(k)]) for k, p in zip(_OWN, parts)]
-            grads += [np.einsum("rtf,rtl->fl", bits, off), off.sum((0, 1)), gold_trans - p2.sum((0, 1))]
-            for p, g, a, b in zip(self.params(), grads, m1, m2):
+                x = (score[:, t + 1] * beta[:, t + 1]) @ ways.T
+                beta[:, t] = np.where(on[:, t + 1], x / x.sum(1, keepdims=True), 1.0)
+            one = alpha * beta
+            off = gold - one / one.sum(2, keepdims=True) * mask[..., None]
+            two = alpha[:, :-1, :, None] * ways * (score * beta)[:, 1:, None, :]
+            two = (two / two.sum((2, 3), keepdims=True) * mask[:, 1:, None, None]).sum((0, 1))
+            for p, g, (m, v) in zip((weights, self.trans), (hot.T @ off.reshape(-1, 3).astype(np.float32), gold_trans - two), moments):
                 g = g / rows - decay * p
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        cuts = np.cumsum([0, *_OWN, _NEAR])
+        self.groups = [weights[i:j] for i, j in zip(cuts, cuts[1:-1])]
+        self.flags, self.bias = weights[cuts[-2] : cuts[-1]], weights[-1]
         return self
 
     def decode(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -260,7 +261,7 @@ def generated_lines(seed: int = 7, n: int = 1200) -> list[tuple[str, list[tuple[
     return out
 
 
-def train(samples: list[str], width: int = 64) -> Field:
+def train(samples: list[str], width: int = 40) -> Field:
     """A field fitted to generated lines and to the lines of sample texts, tagged by the base patterns."""
     made = generated_lines()
     lines = [x for x, _ in made]
