@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing
+from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(documents(spark, sf_dir))
 
@@ -30,13 +34,19 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded(documents(spark, sf_dir), with_ids=False)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_trie": op2_simhash_trie,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_crf": op6_secret_crf,
         "op7_quality_lines": op7_quality_lines,
         "op8_bpe_codec": op8_bpe_codec,
+        "op10_token_counts": op10_token_counts,
     }
 
 
