@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts
+from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded(documents(spark, sf_dir), with_ids=False)
 
 
+def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_zstd.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_crf": op6_secret_crf,
         "op7_quality_lines": op7_quality_lines,
         "op8_bpe_codec": op8_bpe_codec,
+        "op9_toxicity_zstd": op9_toxicity_zstd,
         "op10_token_counts": op10_token_counts,
     }
 
