@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd
+from . import bpe_codec, itq_dedup, license_scan, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd
 from .common import documents
 
 
+def op1_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_groups(documents(spark, sf_dir))
 
@@ -18,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(license_scan.as_files(documents(spark, sf_dir)))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(documents(spark, sf_dir))
 
@@ -44,8 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_itq_dedup": op1_itq_dedup,
         "op2_simhash_trie": op2_simhash_trie,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_crf": op6_secret_crf,
         "op7_quality_lines": op7_quality_lines,
@@ -56,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_scan.ORACLE_SQL}
