@@ -24,15 +24,14 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-OUT = "artifact_id string, source_locator string, kind string, locator string, value string, normalized string, extractor_name string, extractor_version string, error_type string, error_message string"
+OUT = "source_locator string, kind string, locator string, value string, normalized string, extractor_name string, extractor_version string, error_type string, error_message string"
 
 
 def path_facts(artifacts: DataFrame) -> DataFrame:
-    """Four facts of each artifact's path."""
+    """Four facts of each artifact's path; their values are plain text."""
     p = F.col("source_locator")
-    values = {"basename": F.to_json(F.array(C.basename(p))), "path_depth": C.depth(p).cast("string"), "suffix": F.to_json(F.array(C.suffix(p))), "top_level_entry": F.to_json(F.array(C.top_level(p)))}
-    bare = lambda c: F.regexp_replace(c, r"^\[|\]$", "")  # noqa: E731  the text of a one-element list
-    stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), (v if k == "path_depth" else bare(v)).alias("value")) for k, v in values.items())))
+    values = {"basename": C.basename(p), "path_depth": C.depth(p).cast("string"), "suffix": C.suffix(p), "top_level_entry": C.top_level(p)}
+    stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items())))
     return artifacts.select("artifact_id", "source_locator", stacked.alias("f")).select(
         "artifact_id", "source_locator", F.concat("source_locator", F.lit("#$path."), "f.key").alias("locator"), F.col("f.value").alias("raw_value"),
         F.col("f.value").alias("normalized_value"), F.lit("artifact-path").alias("extractor_name"), F.lit("1").alias("extractor_version"),
@@ -290,6 +289,8 @@ def _json(value: object) -> str:
 def parsed(artifacts: DataFrame, extractors: tuple[Extractor, ...]) -> DataFrame:
     """Rows of the table functions that support each artifact: facts, assertions and diagnostics."""
     wanted = "|".join(f"(?:{e.supports})" for e in extractors)
+    kind_of = artifacts.schema["artifact_id"].dataType.simpleString()
+    kinds = {"artifact_id": "Int64" if kind_of in ("bigint", "int") else object}
 
     def run(batches):
         for batch in batches:
@@ -306,9 +307,9 @@ def parsed(artifacts: DataFrame, extractors: tuple[Extractor, ...]) -> DataFrame
                                 out.append((artifact, path, kind, path + at, raw.strip(), None, name, e.version, None, None))
                     except e.errors as x:
                         out.append((artifact, path, "diagnostic", path, None, None, e.name, e.version, type(x).__name__, str(x)[:500]))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")], dtype=object)
+            yield pd.DataFrame(out, columns=["artifact_id", *(f.split()[0] for f in OUT.split(", "))]).astype(kinds)
 
-    return artifacts.where(F.lower("source_locator").rlike(wanted)).select("artifact_id", "source_locator", "text").mapInPandas(run, OUT)
+    return artifacts.where(F.lower("source_locator").rlike(wanted)).select("artifact_id", "source_locator", "text").mapInPandas(run, f"artifact_id {kind_of}, {OUT}")
 
 
 def facts_of(rows: DataFrame) -> DataFrame:

@@ -185,4 +185,4 @@ def readiness(requirements: DataFrame, capabilities: DataFrame, by: str = "case_
     """deferred before blocked (missing or unknown) before ready. requirements: case and capability; capabilities: capability, state."""
     rank = F.when(F.col("state") == "deferred", 2).when(F.coalesce(F.col("state") != "available", F.lit(True)), 1).otherwise(0)
     met = requirements.join(capabilities, "capability", "left").withColumn("rank", rank)
-    return met.groupBy(by).agg(F.max("rank").alias("rank"), F.count_if("rank > 0").alias("n_missing")).withColumn("outcome", F.when(F.col("rank") == 2, "deferred").when(F.col("rank") == 1, "blocked").otherwise("ready")).drop("rank")
+    return met.groupBy(by).agg(F.max("rank").alias("rank"), F.count_if(F.col("rank") > 0).alias("n_missing")).withColumn("outcome", F.when(F.col("rank") == 2, "deferred").when(F.col("rank") == 1, "blocked").otherwise("ready")).drop("rank")

@@ -64,6 +64,9 @@ def resolve_pointer(document: object, pointer: str) -> object:
 def structured(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Locators of JSON pointers and TOML keys with the value there as JSON (null and an error where there is none)."""
 
+    kind_of = artifacts.schema["artifact_id"].dataType.simpleString()
+    kinds = {"artifact_id": "Int64" if kind_of in ("bigint", "int") else object}
+
     def run(batches):
         for batch in batches:
             out = []
@@ -79,10 +82,10 @@ def structured(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
                     out.append((artifact, at, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str), None))
                 except (ValueError, KeyError, IndexError, TypeError) as x:
                     out.append((artifact, at, None, type(x).__name__))
-            yield pd.DataFrame(out, columns=["artifact_id", "locator", "value", "error"], dtype=object)
+            yield pd.DataFrame(out, columns=["artifact_id", "locator", "value", "error"]).astype(kinds)
 
     met = evidence.select("artifact_id", "locator").join(artifacts.select("artifact_id", "source_locator", "text"), "artifact_id")
-    return met.where(F.contains("locator", F.lit("#"))).mapInPandas(run, "artifact_id string, locator string, value string, error string")
+    return met.where(F.contains("locator", F.lit("#"))).mapInPandas(run, f"artifact_id {kind_of}, locator string, value string, error string")
 
 
 def audit(evidence: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:

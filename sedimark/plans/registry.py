@@ -2,10 +2,592 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import delta, extract, governance, guards, inspect, planning, reasoning
+from ..operators import capture as cap
+from ..sources import tables
+from . import lenses as L
+from .oracle import ORACLES
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _joined(c: str):
+    return F.array_join(c, "|").alias(c)
+
+
+def _flat(c):
+    """Text with line breaks as spaces."""
+    return F.regexp_replace(c, "\n", " ")
+
+
+# paths
+
+
+@query
+def path_facts(spark, d):
+    return extract.path_facts(L.url_paths(spark, d)).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def surface_classify(spark, d):
+    t = L.tree(spark, d, "current").unionByName(L.tree(spark, d, "previous")).select("path").distinct()
+    return t.select("path", C.change_surface("path").alias("surface"))
+
+
+@query
+def surface_counts(spark, d):
+    return surface_classify(spark, d).groupBy("surface").agg(F.count("*").alias("n"))
+
+
+@query
+def media_types(spark, d):
+    t = L.tree(spark, d, "current").select("path")
+    return t.groupBy(C.media_type("path").alias("media_type")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+@query
+def path_groups(spark, d):
+    return L.tree(spark, d, "current").groupBy(C.path_group("path").alias("path_group")).agg(F.count("*").alias("n"))
+
+
+@query
+def safe_paths(spark, d):
+    return L.url_paths(spark, d).select("artifact_id", C.safe_path("source_locator").alias("safe"))
+
+
+# extraction
+
+
+@query
+def md_paragraphs(spark, d):
+    return extract.markdown_paragraphs(L.markdown(L.artifacts(spark, d))).select("artifact_id", "locator", "statement")
+
+
+@query
+def md_list_items(spark, d):
+    return extract.markdown_list_items(L.markdown(L.artifacts(spark, d))).select("artifact_id", "locator", "statement")
+
+
+def _props(spark, d):
+    e = L.events(spark, d)
+    return e.select(F.col("event_id").alias("artifact_id"), F.concat(F.lit("event-"), F.col("event_id").cast("string"), F.lit(".json")).alias("source_locator"), F.col("props").alias("text"))
+
+
+@query
+def json_pointer_leaves(spark, d):
+    return extract.facts_of(extract.parsed(_props(spark, d), (extract.JSON,))).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def json_diagnostics(spark, d):
+    """Documents are no JSON: every one gives a diagnostic, none stops the run."""
+    a = L.artifacts(spark, d).withColumn("source_locator", F.concat("source_locator", F.lit(".json")))
+    return extract.diagnostics_of(extract.parsed(a, (extract.JSON,))).groupBy("extractor_name", "error_type").agg(F.count("*").alias("n"))
+
+
+@query
+def package_json_facts(spark, d):
+    p = L.table(spark, d, "part")
+    body = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.struct(F.col("p_brand").alias("left"), F.col("p_size").alias("n")).alias("dependencies"), F.struct(F.lit("x").alias("build"), F.lit("y").alias("a")).alias("scripts")))
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/package.json")).alias("source_locator"), body.alias("text"))
+    return extract.facts_of(extract.parsed(a, extract.DEFAULT)).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def pyproject_facts(spark, d):
+    p = L.table(spark, d, "part")
+    text = F.concat(F.lit('[project]\nname = "'), "p_brand", F.lit('"\nversion = " '), F.col("p_size").cast("string"), F.lit('"\ndependencies = ["b", "a ", "b"]\n[build-system]\nrequires = ["x"]\n'))
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.lit("pyproject.toml").alias("source_locator"), text.alias("text"))
+    return extract.facts_of(extract.parsed(a, extract.DEFAULT)).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def python_ast_facts(spark, d):
+    p = L.table(spark, d, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("def f_"), k, F.lit("(a, b=1):\n    x = g(a, key=b)\n    assert x\n    return x\n"))
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.concat(F.lit("m"), k, F.lit(".py")).alias("source_locator"), text.alias("text"))
+    f = extract.facts_of(extract.parsed(a, extract.PYTHON))
+    return f.select("artifact_id", F.regexp_extract("locator", r"#python/(\w+)$", 1).alias("kind"), F.get_json_object("normalized_value", "$.scope").alias("scope"), F.get_json_object("normalized_value", "$.line").cast("long").alias("line"))
+
+
+@query
+def typescript_facts(spark, d):
+    p = L.table(spark, d, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("// part "), k, F.lit("\nexport function f"), k, F.lit("(a) {\n  const x = g(a);\n  if (x) { throw x; }\n}\n"))
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.concat(F.lit("m"), k, F.lit(".ts")).alias("source_locator"), text.alias("text"))
+    rows = extract.parsed(a, extract.TYPESCRIPT)
+    return rows.groupBy("extractor_name", F.coalesce(F.regexp_extract("locator", r"#typescript/(\w+)$", 1), F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def evidence_ordinals(spark, d):
+    """Identities of facts from their place in the total order of each source."""
+    f = extract.path_facts(L.artifacts(spark, d)).withColumn("capture_id", F.split("source_locator", "/")[0])
+    return extract.numbered_facts(f, "run", "capture_id").select("capture_id", "fact_index", "locator", "evidence_id")
+
+
+@query
+def run_envelopes(spark, d):
+    f = extract.path_facts(L.artifacts(spark, d)).withColumn("capture_id", F.split("source_locator", "/")[0])
+    return extract.envelope(f, ["capture_id"], "locator", "normalized_value").select("capture_id", "n_rows")
+
+
+# inspection
+
+
+@query
+def locator_slices(spark, d):
+    a = L.markdown(L.artifacts(spark, d))
+    return inspect.resolved(extract.markdown_paragraphs(a).select("artifact_id", "locator", "statement"), a).select("artifact_id", "locator", "location_kind", _flat("excerpt").alias("excerpt"))
+
+
+@query
+def inspect_paths(spark, d):
+    a = L.artifacts(spark, d)
+    return inspect.resolved(extract.path_facts(a).select("artifact_id", "locator", "normalized_value"), a).select("artifact_id", "locator", "excerpt", F.col("excerpt").eqNullSafe(F.col("normalized_value")).alias("agrees"))
+
+
+@query
+def inspect_pointers(spark, d):
+    a = _props(spark, d)
+    return inspect.structured(extract.facts_of(extract.parsed(a, (extract.JSON,))), a).select("artifact_id", "locator", "value")
+
+
+# change
+
+
+def _sides(spark, d):
+    return L.capture(spark, d, "previous"), L.capture(spark, d, "current")
+
+
+def _artifact_deltas(spark, d):
+    return delta.artifact_deltas(*(x.select(*L.SIDE) for x in _sides(spark, d)))
+
+
+@query
+def artifact_delta(spark, d):
+    return _artifact_deltas(spark, d).select("source_locator", "change_type", "previous_content_hash", "current_content_hash")
+
+
+@query
+def artifact_delta_counts(spark, d):
+    return _artifact_deltas(spark, d).groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+def _facts(x):
+    """One fact of each captured artifact, its length, beside its path's facts."""
+    live = x.where("retrieval_status = 'captured'")
+    size = live.select("artifact_id", "source_locator", F.concat("source_locator", F.lit("#length")).alias("locator"), F.length("text").cast("string").alias("raw_value"), F.length("text").cast("string").alias("normalized_value"), F.lit("length").alias("extractor_name"), F.lit("1").alias("extractor_version"))
+    return extract.path_facts(live).unionByName(size)
+
+
+@query
+def structural_delta(spark, d):
+    was, now = _sides(spark, d)
+    return delta.structural_deltas(_facts(was), _facts(now), _artifact_deltas(spark, d)).select("source_locator", "structural_key", "change_type", "previous_value", "current_value")
+
+
+@query
+def structural_delta_gaps(spark, d):
+    """The same, without the paths that an extractor couldn't read on either side."""
+    was, now = _sides(spark, d)
+    gaps = was.where("text like '%|%'").select("source_locator").union(now.where("text like '%|%'").select("source_locator"))
+    return delta.structural_deltas(_facts(was), _facts(now), _artifact_deltas(spark, d), gaps).groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query
+def unexplained_structure(spark, d):
+    was, now = _sides(spark, d)
+    return delta.unexplained_structure(_facts(was), _facts(now), _artifact_deltas(spark, d)).agg(F.count("*").alias("n"))
+
+
+def _assertions(x):
+    return extract.markdown_paragraphs(L.markdown(x.where("retrieval_status = 'captured'")))
+
+
+@query
+def assertion_changes(spark, d):
+    was, now = _sides(spark, d)
+    return delta.assertion_changes(_assertions(was), _assertions(now))
+
+
+def _tree_deltas(spark, d):
+    return delta.tree_deltas(L.tree(spark, d, "previous"), L.tree(spark, d, "current"))
+
+
+@query
+def tree_path_diff(spark, d):
+    return _tree_deltas(spark, d).select("path", "change_type", "surface", "previous_object_sha", "current_object_sha")
+
+
+@query
+def diff_summary(spark, d):
+    return delta.diff_summary(_tree_deltas(spark, d), "surface", "change_type")
+
+
+@query
+def materiality(spark, d):
+    """Each customer's consecutive orders as revisions."""
+    o = L.table(spark, d, "orders")
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = o.select("o_orderkey", F.lag("o_orderkey").over(w).cast("string").alias("previous_commit_sha"), F.col("o_orderkey").cast("string").alias("current_commit_sha"), F.lag("o_orderpriority").over(w).alias("previous_tree_sha"), F.col("o_orderpriority").alias("current_tree_sha")).where("previous_commit_sha is not null")
+    return delta.materiality(pairs).select("o_orderkey", "reason", "material")
+
+
+# planning
+
+
+def _plans(spark, d):
+    return planning.capture_plans(_tree_deltas(spark, d))
+
+
+@query
+def capture_plan(spark, d):
+    return _plans(spark, d).select("path", F.col("previous.disposition").alias("previous_disposition"), F.col("previous.reason").alias("previous_reason"), F.col("current.disposition").alias("current_disposition"), F.col("current.reason").alias("current_reason"), "policy_suppressed")
+
+
+@query
+def required_paths(spark, d):
+    return planning.required_paths(_plans(spark, d))
+
+
+@query
+def suppressed_paths(spark, d):
+    return planning.suppressed_paths(_plans(spark, d))
+
+
+@query
+def first_parent_chain(spark, d):
+    c = L.table(spark, d, "conversations").select("conv_id", "turn").distinct().withColumn("parent", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
+    return planning.first_parent_chain(c, "conv_id", "turn", "parent")
+
+
+@query
+def latest_touch(spark, d):
+    t = L.touches(spark, d)
+    return planning.latest_touch(t.select("path").distinct(), t)
+
+
+@query
+def commit_snapshots(spark, d):
+    files = F.struct(F.col("path").alias("filename"), F.lit(None).cast("string").alias("previous_filename"))
+    c = L.touches(spark, d).groupBy("commit_ordinal").agg(F.collect_list(files).alias("files")).select(F.col("commit_ordinal").cast("string").alias("commit_sha"), F.col("commit_ordinal").alias("ordinal"), F.array().cast("array<string>").alias("parent_shas"), "files")
+    return planning.commit_snapshots(c).select("ordinal", _joined("touched_paths"))
+
+
+def _segments(spark, d):
+    t = L.touches(spark, d)
+    return planning.segments(planning.latest_touch(t.select("path").distinct(), t).withColumn("commit_ordinal", F.floor(F.col("commit_ordinal") / 1000)))
+
+
+@query
+def candidate_segments(spark, d):
+    return _segments(spark, d).select("commit_ordinal", "path_group", "chunk_ordinal", F.size("paths").alias("n_paths"), _joined("paths"))
+
+
+@query
+def candidate_size_stats(spark, d):
+    s = _segments(spark, d).select(F.size("paths").alias("n"))
+    return s.agg(F.count("*").alias("n_candidates"), F.expr("percentile(n, 0.5)").alias("median_paths"), F.max("n").alias("max_paths"), F.expr("percentile_disc(0.95) within group (order by n)").cast("long").alias("p95_paths"))
+
+
+@query
+def exact_cover(spark, d):
+    """Paths that aren't in exactly one candidate: none."""
+    return planning.segment_faults(L.touches(spark, d).select("path"), _segments(spark, d)).agg(F.count("*").alias("n_faults"))
+
+
+def _signals(spark, d):
+    deltas, plans = _tree_deltas(spark, d), _plans(spark, d)
+    artifact = deltas.where("change_type in ('modified', 'removed')").select("path")
+    structural = deltas.where("change_type = 'modified' and previous_object_sha <> current_object_sha").select("path")
+    assertions = deltas.where("path like '%.md' and change_type <> 'added'").select("path")
+    gaps = deltas.where("current_size > 1000000").select("path")
+    return planning.path_signals(deltas.select("path", C.path_group("path").alias("path_group")), plans, artifact, structural, assertions, gaps)
+
+
+@query
+def candidate_reduction(spark, d):
+    return planning.reductions(_signals(spark, d), "path_group").select("path_group", "n_paths", _joined("signal_kinds"), "disposition")
+
+
+@query
+def reduction_counts(spark, d):
+    r = planning.reductions(_signals(spark, d).withColumn("folder", F.substring_index("path", "/", 2)), "folder")
+    return r.groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+@query
+def signal_counts(spark, d):
+    return _signals(spark, d).select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
+
+
+@query
+def gap_signals(spark, d):
+    was, now = _sides(spark, d)
+    diag = lambda x, side: x.where("text like '%|%'").select(F.col("source_locator").alias("path"), F.lit(side).alias("side"), F.concat(F.lit(f"{side}-"), F.col("artifact_id").cast("string")).alias("diagnostic_id"))
+    paths = L.artifacts(spark, d).select(F.col("source_locator").alias("path"), "source")
+    g = planning.gap_signals(paths, diag(was, "previous").unionByName(diag(now, "current")), "source")
+    return g.select("source", *map(_joined, ("paths", "previous_diagnostic_ids", "current_diagnostic_ids")))
+
+
+# tracking, registry, profiles
+
+
+def _levels(spark, d):
+    level = F.create_map(*(F.lit(x) for kv in L.LEVELS.items() for x in kv))
+    return L.events(spark, d).select("user_id", "event_id", "ts", F.element_at(level, F.col("event_type")).alias("level"))
+
+
+def _timeline(spark, d):
+    """Assignments: the level changes at purchases, signups and errors; of one moment the first event counts."""
+    t = _levels(spark, d).where(F.col("level").isin("0", "3", "4"))
+    return t.groupBy("user_id", "ts").agg(F.min_by(F.struct("event_id", "level"), "event_id").alias("r")).select("user_id", "ts", F.col("r.event_id").alias("assignment_id"), "r.level")
+
+
+@query
+def asof_tracking(spark, d):
+    return governance.as_of(L.events(spark, d).select("user_id", "event_id", F.col("ts").alias("at")), _timeline(spark, d), "user_id", "at", "ts", "assignment_id", "level").select("event_id", "assignment_id", "level")
+
+
+@query
+def tracking_policy(spark, d):
+    p = governance.policy_of("level")
+    return asof_tracking(spark, d).select("event_id", p["capture_depth"].alias("capture_depth"), p["polling_mode"].alias("polling_mode"), p["reasoning_allowed"].alias("reasoning_allowed"))
+
+
+@query
+def tracking_history(spark, d):
+    return governance.history(_timeline(spark, d), "user_id", "assignment_id", "ts", "assignment_id").select("assignment_id", "supersedes", F.col("version").cast("long").alias("version"))
+
+
+@query
+def tracking_gates(spark, d):
+    r = asof_tracking(spark, d).join(L.events(spark, d).select("event_id", "event_type"), "event_id").select("event_id", "level", F.when(F.col("event_type") == "purchase", 4).otherwise(2).alias("needed_rank"), (F.col("event_type") == "error").alias("needs_process"), F.lit(False).alias("needs_reasoning"))
+    return governance.gate_violations(r).select("event_id")
+
+
+@query
+def latest_locator(spark, d):
+    o = L.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    return governance.latest_locators(o, "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query
+def discovery_dedupe(spark, d):
+    p = L.table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("discovered_locator"), F.col("page_id").alias("position"))
+    return governance.discovery_hits(p, "run").select("discovered_locator", "position", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query
+def registry_resolve(spark, d):
+    c = L.table(spark, d, "customer")
+    hits = c.select(F.col("c_name").alias("discovered_locator"))
+    meta = c.where("c_acctbal > 0").select(F.col("c_name").alias("discovered_locator"), F.col("c_nationkey").alias("provider_repository_id"))
+    known = L.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("provider_repository_id"), F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("source_id"))
+    return governance.resolve_hits(hits, meta, known).select("discovered_locator", "state", F.when(F.col("state") == "resolved", F.col("source_id")).alias("source_id"))
+
+
+@query
+def profile_features(spark, d):
+    a = L.artifacts(spark, d)
+    rows = extract.path_facts(a).select("artifact_id", "source_locator", "extractor_name", F.lit(True).alias("is_fact")).unionByName(extract.markdown_paragraphs(L.markdown(a)).select("artifact_id", "source_locator", "extractor_name", F.lit(False).alias("is_fact")))
+    p = governance.profiles(rows.withColumn("media_type", C.media_type("source_locator")).withColumn("source_id", F.split("source_locator", "/")[0]), "source_id")
+    return p.select("source_id", _joined("extractor_families"), _joined("artifact_media_types"), "artifact_count", "evidence_fact_count", "source_assertion_count", _joined("feature_keys"))
+
+
+@query
+def triage_band(spark, d):
+    c = L.table(spark, d, "customer")
+    flags = F.array_compact(F.array(F.when(F.col("c_nationkey") % 3 == 0, "governance"), F.when(F.col("c_nationkey") % 4 == 0, "experiment")))
+    p = c.select(
+        "c_custkey", (F.col("c_nationkey") % 6).cast("string").alias("level"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("domain_match"),
+        F.when(F.col("c_acctbal") > 5000, 1).otherwise(0).alias("n_structural_deltas"), flags.alias("sensitivity_flags"), F.lit(1).alias("evidence_fact_count"),
+        F.when(F.col("c_acctbal") > 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("extractor_families"),
+        F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("surface:workflow"))).otherwise(F.array().cast("array<string>")).alias("feature_keys"),
+    )
+    return governance.triage(p).select("c_custkey", "band", _joined("reasons"))
+
+
+@query
+def action_policy(spark, d):
+    o = L.table(spark, d, "orders")
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "contribute_upstream").when(F.col("o_orderpriority").startswith("2"), "adopt").when(F.col("o_orderpriority").startswith("3"), "pin").otherwise("monitor")
+    p = o.select(F.col("o_orderkey").alias("action_id"), kind.alias("action_type"), F.when(F.col("o_custkey") % 2 == 0, "maintainer").otherwise("observer").alias("actor_role"), (F.col("o_totalprice") > 150000).alias("repository_modification_required"), (F.col("o_custkey") % 3 != 0).alias("can_write"), (F.col("o_custkey") % 5 != 0).alias("can_contribute"))
+    rules = spark.createDataFrame([("r1", "prohibit", ["adopt"], []), ("r2", "require_role", ["pin", "adopt"], ["maintainer"]), ("r3", "require_independent_authorization", ["contribute_upstream", "pin"], [])], "rule_id string, effect string, action_types array<string>, allowed_actor_roles array<string>")
+    return governance.action_decisions(p, rules).select("action_id", "decision", "status", _joined("matched_rule_ids"))
+
+
+@query
+def readiness_outcome(spark, d):
+    p = L.table(spark, d, "part")
+    need = p.select(F.col("p_partkey").alias("case_id"), F.explode(F.array(F.concat(F.lit("c"), (F.col("p_size") % 7).cast("string")), F.concat(F.lit("c"), (F.col("p_partkey") % 5).cast("string")))).alias("capability"))
+    caps = spark.createDataFrame([("c0", "available"), ("c1", "available"), ("c2", "available"), ("c3", "missing"), ("c4", "deferred"), ("c5", "available")], "capability string, state string")
+    return governance.readiness(need.distinct(), caps)
+
+
+@query
+def review_faults(spark, d):
+    o = L.table(spark, d, "orders")
+    reviews = o.select(F.col("o_orderkey").alias("review_id"), F.when(F.col("o_custkey") % 4 == 0, "Thing").otherwise("Pattern").alias("subject_type"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "F", "ACCEPT").otherwise("LATER").alias("decision"))
+    subjects = L.table(spark, d, "customer").where("c_acctbal > 0").select(F.lit("Pattern").alias("subject_type"), F.col("c_custkey").alias("subject_id"))
+    return governance.review_faults(reviews, subjects).select("review_id")
+
+
+# reasoning
+
+
+def _threads(spark, d):
+    return L.table(spark, d, "conversations").select("conv_id", "turn").distinct().withColumn("parent", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn"))).where("parent is not null")
+
+
+@query
+def support_closure(spark, d):
+    return reasoning.closure(_threads(spark, d), "turn", "parent", "conv_id").select("conv_id", "child", "ancestor", "distance")
+
+
+@query
+def observation_revisions(spark, d):
+    e = _threads(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("o"), F.concat_ws(":", "conv_id", "parent").alias("s"))
+    leaves = L.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("ancestor"), F.col("role").alias("revision"))
+    return reasoning.resolved_revisions(reasoning.closure(e, "o", "s"), leaves).select("child", "n_revisions", "revision")
+
+
+@query
+def supersession(spark, d):
+    return reasoning.successors(_levels(spark, d), "user_id", "event_id", "ts", "event_id").select("event_id", "superseded_by", "state")
+
+
+@query
+def event_transition(spark, d):
+    return reasoning.transitions(L.events(spark, d), "user_id", "event_type", "ts", "signup", "error")
+
+
+@query
+def pattern_min_sources(spark, d):
+    e = L.events(spark, d).select("event_type", F.col("user_id").alias("source_id"), F.when(F.col("value") > 50, "supporting").otherwise("negative_control").alias("role"))
+    return reasoning.patterns(e, "event_type", 2, 1)
+
+
+def _hits(spark, d):
+    b = L.table(spark, d, "benchmark")
+    words = F.split("text", " ")
+    need = b.select(F.col("item_id").alias("requirement_id"), F.array_join(F.slice(words, 1, 3), " ").alias("fragment"), (F.col("item_id") % 20).cast("string").alias("k"), F.when(F.col("item_id") % 2 == 0, "tree").otherwise("ast").alias("needed_capability"))
+    ev = L.table(spark, d, "documents").select((F.col("doc_id") % 20).cast("string").alias("k"), F.col("text").alias("statement"))
+    return reasoning.fragment_hits(need, ev, "k")
+
+
+@query
+def coverage_fraction(spark, d):
+    return reasoning.coverage(_hits(spark, d), "needed_capability").withColumn("fraction", F.round("fraction", 6))
+
+
+@query
+def coverage_gaps(spark, d):
+    return reasoning.gaps_by_capability(_hits(spark, d))
+
+
+# sources, sinks and guards
+
+
+@query
+def append_idempotent(spark, d):
+    """Orders landed again, some edited, some new: the rows an append would add."""
+    o = L.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("payload"))
+    old = o.where("o_orderkey % 3 <> 0")
+    again = o.withColumn("payload", F.when(F.col("o_orderkey") % 7 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return tables.split_append(again, old, ["o_orderkey"], "payload")[0].select("o_orderkey", "payload")
+
+
+@query
+def conflict_rows(spark, d):
+    o = L.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("payload"))
+    again = o.withColumn("payload", F.when(F.col("o_orderkey") % 7 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return tables.split_append(again, o.where("o_orderkey % 3 <> 0"), ["o_orderkey"], "payload")[1]
+
+
+@query
+def content_dedupe(spark, d):
+    """Contents by digest: what a content-addressed store would hold."""
+    return L.artifacts(spark, d).groupBy(C.digest("text").alias("content_hash")).agg(F.count("*").alias("n"), F.min("artifact_id").alias("first_id"))
+
+
+@query
+def capture_manifests(spark, d):
+    a = L.artifacts(spark, d)
+    asked = a.select(F.col("source").alias("capture_id"), F.col("source_locator").alias("path"))
+    got = L.capture(spark, d, "current").where("retrieval_status = 'captured'").select(F.col("source").alias("capture_id"), F.col("source_locator").alias("path"), F.col("text").cast("binary").alias("data"))
+    m = cap.manifests(cap.capture_refs(cap.requested_paths(asked), got))
+    return m.select("capture_id", F.size("artifacts").cast("long").alias("n_refs"), F.size(F.filter("artifacts", lambda r: r["retrieval_status"] == "missing")).cast("long").alias("n_missing"))
+
+
+@query
+def reconstruction_faults(spark, d):
+    a = L.artifacts(spark, d)
+    asked = a.select(F.col("source").alias("capture_id"), F.col("source_locator").alias("path"))
+    refs = cap.capture_refs(cap.requested_paths(asked), a.select(F.col("source").alias("capture_id"), F.col("source_locator").alias("path"), F.col("text").cast("binary").alias("data")))
+    kept = refs.join(a.where("artifact_id % 17 <> 0").select("source_locator"), "source_locator", "left_semi")
+    objects = kept.where("source_locator not like '%9.md'").select("content_hash").distinct()
+    return cap.reconstruction_faults(cap.manifests(refs), kept, objects).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query
+def provider_facts(spark, d):
+    """Flat payload fields to facts, nulls kept."""
+    s = L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("artifact_id"), F.col("s_name").alias("name"), F.nullif(F.col("s_nationkey"), F.lit(3)).alias("nation"))
+    return cap.unpivoted(s, ["artifact_id"], ["name", "nation"], "$x#", "supplier").select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def lineage_integrity(spark, d):
+    """Line items up to their region, by inner joins."""
+    li, o, c = (L.table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+    n, r = L.table(spark, d, "nation"), L.table(spark, d, "region")
+    up = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return up.groupBy("r_name").agg(F.count("*").alias("n_lines"), F.count_distinct("o_orderkey").alias("n_orders"))
+
+
+@query
+def orphans(spark, d):
+    """References that name nothing: parts that no line item has, labels without a document."""
+    p = guards.orphans(L.table(spark, d, "part"), L.table(spark, d, "lineitem"), "p_partkey", "l_partkey").agg(F.count("*").alias("n")).withColumn("what", F.lit("parts"))
+    return p.unionByName(guards.orphans(L.table(spark, d, "labels"), L.table(spark, d, "documents"), "doc_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("labels")))
+
+
+@query
+def closed_set_check(spark, d):
+    return guards.set_difference(L.table(spark, d, "labels"), L.table(spark, d, "documents"), "doc_id").groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query
+def duplicate_keys(spark, d):
+    return guards.duplicates(L.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query
+def count_mismatches(spark, d):
+    s = L.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("declared"))
+    li = L.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return guards.count_mismatches(s, li, "o_orderkey", "declared")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
