@@ -185,11 +185,10 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     label = np.arange(len(values))
     while len(a):
         least = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        np.minimum.at(label, old[a], least)
-        np.minimum.at(label, old[b], least)
+        # only roots are hooked: what hangs on them comes along, and no tie is lost
+        roots = label[a], label[b]
+        for r in roots:
+            np.minimum.at(label, r, least)
         while (label[label] != label).any():
             label = label[label]
         keep = label[a] != label[b]
