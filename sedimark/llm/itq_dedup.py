@@ -34,25 +34,28 @@ def _random_rotation(dim: int, bits: int) -> np.ndarray:
     return q[:, :bits] if q.shape[1] >= bits else np.random.default_rng(dim).standard_normal((dim, bits))
 
 
-def learn_rotation(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions by bits): principal directions, rotated to bring projections near their signs."""
+def learn_rotation(x: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Projection (dimensions by bits): principal directions, rotated to bring projections near their signs.
+
+    Vectors are unit vectors and aren't centred: planes through the origin keep near vectors on one side even where a single dense group
+    makes up the sample.
+    """
     dim, bits = x.shape[1], min(BITS, x.shape[1])
-    mean = x.mean(0)
     if len(x) < 2 * bits:
-        return np.zeros(dim), _random_rotation(dim, bits)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T))
+        return _random_rotation(dim, bits)
+    _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :bits]
-    v = (x - mean) @ axes
+    v = x @ axes
     r, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((bits, bits)))
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.sign(v @ r).T @ v)
         r = (left @ right).T
-    return mean, axes @ r
+    return axes @ r
 
 
-def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def encode(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
     bits = np.zeros((len(x), BITS), np.uint8)
-    bits[:, : projection.shape[1]] = (x - mean) @ projection > 0
+    bits[:, : projection.shape[1]] = x @ projection > 0
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(U)
 
 
@@ -73,15 +76,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _coder(models: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _coder(models: dict[int, np.ndarray]):
     def run(batches):
         for batch in batches:
             sizes = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
             codes = np.zeros(batch.num_rows, U)
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                mean, projection = models.get(int(dim)) or (np.zeros(dim), _random_rotation(int(dim), min(BITS, int(dim))))
-                codes[at] = encode(unit(_matrix(batch.column("embedding").take(pa.array(at)), int(dim))), mean, projection)
+                projection = models[int(dim)] if int(dim) in models else _random_rotation(int(dim), min(BITS, int(dim)))
+                codes[at] = encode(unit(_matrix(batch.column("embedding").take(pa.array(at)), int(dim))), projection)
             yield batch.append_column("code", pa.array(codes.view(np.int64)))
 
     return run
@@ -153,7 +156,7 @@ def _meet(radius: int, most: int = 1 << 20):
             i, j = i[ok], j[ok]
             if len(i):
                 yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(kin[i])), pa.array(code[i].view(np.int64)), pa.array(code[j].view(np.int64))], names=["kin", "a", "b"]
+                    [names.take(pa.array(kin[i])), *(pa.array(f(code[i].view(np.int64), code[j].view(np.int64))) for f in (np.minimum, np.maximum))], names=["kin", "a", "b"]
                 )
 
     return run
@@ -214,7 +217,9 @@ def near_groups(vectors: DataFrame, threshold: float = 0.93, radius: int = 15, s
     """(vec_id, n_links, component_id, kept) of every vector."""
     good = usable(vectors)
     copies = good.groupBy("kin", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    rows = copies.select("embedding", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).select("embedding").collect()
+    hashed = copies.withColumn("h", F.xxhash64("id"))
+    least = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= F.lit(least)).select("embedding").collect() if least is not None else []
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.embedding), []).append(r.embedding)
