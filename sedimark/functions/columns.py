@@ -185,7 +185,12 @@ def locator_lines(locator: Column | str) -> tuple[Column, Column]:
 
 def slice_lines(text: Column | str, first: Column, last: Column) -> Column:
     """Lines first to last, 1-based and inclusive; null outside the text."""
-    rows = lines(text)
+    return slice_rows(lines(text), first, last)
+
+
+def slice_rows(rows: Column | str, first: Column, last: Column) -> Column:
+    """The same of a text that is split into lines."""
+    rows = col(rows)
     ok = (first >= 1) & (last >= first) & (last <= F.size(rows))
     return F.when(ok, F.array_join(F.slice(rows, first, last - first + 1), "\n"))
 

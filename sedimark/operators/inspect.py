@@ -19,15 +19,16 @@ LIST_KEYS = {"entries": "path", "jobs": "id", "artifacts": "id", "steps": "numbe
 
 def resolved(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence (artifact_id, locator) with kind, the source text it stands for and whether it resolves; an unresolved locator is a row, not an error."""
-    met = evidence.join(artifacts.select("artifact_id", "source_locator", "text"), "artifact_id", "left")
+    # texts are split once an artifact, before the join gives every piece of evidence its artifact
+    met = evidence.join(artifacts.select("artifact_id", "source_locator", C.lines("text").alias("rows")), "artifact_id", "left")
     first, last = C.locator_lines("locator")
     own = F.col("locator").startswith(F.col("source_locator"))
     typed = met.withColumn("location_kind", F.when(own, C.location_kind("locator"))).withColumn("first_line", first).withColumn("last_line", last)
     key = F.regexp_extract("locator", r"#\$path\.(\w+)$", 1)
     p = F.col("source_locator")
     path_value = F.when(key == "basename", C.basename(p)).when(key == "suffix", C.suffix(p)).when(key == "path_depth", C.depth(p).cast("string")).when(key == "top_level_entry", C.top_level(p))
-    text = F.when(F.col("location_kind") == "artifact_metadata", path_value).when(F.col("location_kind").isin("text_lines", "text_range"), C.slice_lines("text", F.col("first_line"), F.col("last_line")))
-    return typed.withColumn("excerpt", text).drop("text")
+    text = F.when(F.col("location_kind") == "artifact_metadata", path_value).when(F.col("location_kind").isin("text_lines", "text_range"), C.slice_rows("rows", F.col("first_line"), F.col("last_line")))
+    return typed.withColumn("excerpt", text).drop("rows")
 
 
 def ranges(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -312,7 +312,8 @@ def exact_cover(spark, d):
 
 
 def _signals(spark, d):
-    deltas, plans = _tree_deltas(spark, d), _plans(spark, d)
+    deltas = tables.written(_tree_deltas(spark, d))  # read five times below
+    plans = planning.capture_plans(deltas)
     artifact = deltas.where("change_type in ('modified', 'removed')").select("path")
     structural = deltas.where("change_type = 'modified' and previous_object_sha <> current_object_sha").select("path")
     assertions = deltas.where("path like '%.md' and change_type <> 'added'").select("path")
