@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_codec, itq_dedup, license_scan, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd
 from .common import documents
+from .oracles import ORACLES
 
 
 def op1_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.ORACLE_SQL}
+    return dict(ORACLES)
