@@ -5,7 +5,7 @@ matrices of token ids; every round each row merges its leftmost pair of minimum
 table, and rows close up; finished rows leave the matrix. Matches longer than `LONG` bytes are rows of their own that merge all
 leftmost occurrences of the minimum pair in a round (one only, if that would create a lower rank), which gives the same ids.
 Decoding gathers the bytes of each id. Every text is a row of its own from start to end: no shuffle, nothing collected, and memory follows the
-batch (about 4 MB of text) or the longest single text.
+batch (about 1 MB of text) or the longest single text.
 
 Defined results: null text counts as empty, which has no ids; doc_id, null or repeated, is carried through; an empty table gives
 no rows; other columns are ignored.
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches, tidy
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG = 128
@@ -187,7 +187,7 @@ class Codec:
         for width in (1, 2, 4, 6, 8, 10, 12, 16, 24, 32, 64, LONG):
             rows = np.flatnonzero(short & (length <= width))
             short[rows] = False
-            for part in np.array_split(rows, len(rows) * width // 2_000_000 + 1):
+            for part in np.array_split(rows, len(rows) * width // 500_000 + 1):
                 if len(part):
                     data = np.frombuffer(b"".join(raw[k] for k in part), np.uint8)
                     ids = np.full((len(part), width), -1, np.int32)
@@ -209,7 +209,7 @@ class Codec:
 
     # whole batches
 
-    def encode(self, texts: list[str], remember: int = 800_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], remember: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each. Known matches are dropped when there are too many."""
         if len(self.known) > remember:
             self.clear()
@@ -252,9 +252,11 @@ def codec(ranks: str, pattern: str | None) -> Codec:
     return _LOADED[ranks, pattern]
 
 
-def encoded(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, with_ids: bool = True, piece: int = 2 << 20) -> DataFrame:
+def encoded(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, with_ids: bool = True, piece: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, token_ids]) of every text. The digests are of the ids and of the bytes decoded from them."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(ranks, pattern)
         for batch in batches:
@@ -272,4 +274,4 @@ def encoded(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, wit
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)

@@ -4,6 +4,8 @@ and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -121,8 +123,8 @@ class Words:
         return mix(h[at]), at
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Pieces of a batch with about `limit` bytes of text at most (one longer text is a piece of its own)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
+    """Pieces of a batch with about `limit` bytes of text at most, which bounds the arrays of a task (one longer text is a piece of its own)."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
     at = 0
@@ -133,6 +135,29 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         at = stop
 
 
+def tidy(run):
+    """A function over Arrow batches that gives its memory back when a task ends: workers live on and serve other operators."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of Arrow batches between the JVM and Python, unless the session's bound is lower."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -224,7 +249,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     schema = "u long, v long"
     edges = written(
         links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-        .where("u <> v").mapInArrow(_local_forest, schema)
+        .where("u <> v").mapInArrow(tidy(_local_forest), schema)
     )
     state = None
     while True:
@@ -236,7 +261,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        new = written(small.mapInArrow(_local_forest, schema))
+        new = written(small.mapInArrow(tidy(_local_forest), schema))
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = new

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, _powers, mix, slices, written
+from .common import U, Words, _powers, mix, slices, small_batches, tidy, written
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,8 @@ def measure(w: Words) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches):
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
@@ -114,7 +116,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 )
                 row += part.num_rows
 
-    return docs.select(F.col("doc_id").cast("long"), *keys("text", "source"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), *keys("text", "source"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
 
 
 def keys(text: str, source: str) -> list:
@@ -175,7 +177,7 @@ def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     same = met.where("__removed is null").select(*names)
     cut = met.where("__removed is not null").select(*names, "__removed")
     schema = cut.schema
-    cut = cut.mapInArrow(_without_lines, schema).drop("__removed")
+    cut = cut.mapInArrow(tidy(_without_lines), schema).drop("__removed")
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(cut.select(*names))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, slices, small_batches, tidy
 
 #: Fixed values of the contract: the base patterns; all their characters are ASCII, so they are matched on bytes.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -344,6 +344,7 @@ def written_out(spans: list[tuple[int, int, int]]) -> str:
 def scanned(docs: DataFrame, **sample) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) of every text."""
     scanner = Scanner(train(sample_texts(docs, **sample)))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -357,7 +358,7 @@ def scanned(docs: DataFrame, **sample) -> DataFrame:
                 )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -374,6 +375,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, **sample) -> DataFrame:
     """The documents with their secrets replaced; columns are those of docs (n_chars, where it is there, follows the text)."""
     scanner = Scanner(train(sample_texts(docs, **sample)))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -386,7 +388,7 @@ def redacted(docs: DataFrame, **sample) -> DataFrame:
                         texts[k] = redact(texts[k], spans)
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, connected_components, forest, shuffle_width, slices, written
+from .common import U, connected_components, forest, shuffle_width, slices, small_batches, tidy, written
 
 BITS = 64
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -49,13 +49,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, chunk: int = 65_5
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [fingerprint((t or "").encode(), shingle, seed) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(found, U).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -187,7 +189,7 @@ def link_fingerprints(fps: DataFrame, budget: int = 4, split_rows: int = 50_000)
         .where(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget)
         .select("trie", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "depth", "fp")
     )
-    return units.repartition(shuffle_width(spark), "trie", "left", "right").mapInArrow(_join_units(budget), "u long, v long")
+    return units.repartition(shuffle_width(spark), "trie", "left", "right").mapInArrow(tidy(_join_units(budget)), "u long, v long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:

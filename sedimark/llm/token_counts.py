@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import tokenizer_path
-from .common import slices
+from .common import slices, small_batches, tidy
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -32,7 +32,7 @@ _LOADED: dict[str, Counter] = {}
 class Counter:
     """Counts of a sentencepiece model; parts seen before are remembered, at most `remember` of them."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 250_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,9 +70,11 @@ def counter(model: str) -> Counter:
     return _LOADED[model]
 
 
-def counted(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, piece: int = 4 << 20) -> DataFrame:
+def counted(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, piece: int = 1 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         c = counter(model)
         for batch in batches:
@@ -83,4 +85,4 @@ def counted(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, piece: int
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches, tidy
 
 WIDTH, STEP, LEVEL = 3, 2, 5
 PHRASE = b" of the und der que les para con dans avec mit "
@@ -139,11 +139,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds)
     texts = sample(docs, labels, **bounds)
     model = Model(texts[1], texts[0]) if texts[1] and texts[0] else None
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [model.score((t or "").encode()) if model else 0.0 for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
