@@ -173,7 +173,7 @@ def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
     host, text = keys("text", "source")
     keyed = docs.select(*(docs[c] for c in names), host.alias("__h"), text.alias("__t"))
-    met = keyed.join(verdict, F.expr("doc_id <=> __id and __h = __host and __t = __text"), "left").where("coalesce(__kept, true)")
+    met = keyed.join(verdict.hint("shuffle_hash"), F.expr("doc_id <=> __id and __h = __host and __t = __text"), "left").where("coalesce(__kept, true)")
     same = met.where("__removed is null").select(*names)
     cut = met.where("__removed is not null").select(*names, "__removed")
     schema = cut.schema

@@ -217,10 +217,9 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null doc_id stay. Columns are those of docs.
     """
-    spark_cols = docs.columns
-    lead = near_groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__lead")).groupBy("__lead").agg(F.count("*").alias("__rows"))
-    kept = docs.join(lead, docs["doc_id"] == F.col("__lead"), "left").where("__lead is not null or doc_id is null")
-    single = kept.where("__rows is null or __rows = 1").select(*(docs[c] for c in spark_cols))
-    again = kept.where("__rows > 1").select(*(docs[c] for c in spark_cols))
-    repeated = again.groupBy(F.col("doc_id").alias("__lead")).agg(F.min(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(spark_cols)))).alias("r"))
-    return single.unionByName(repeated.select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(spark_cols))))
+    names = docs.columns
+    small_batches(docs.sparkSession)
+    lead = written(near_groups(docs, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__lead")).agg(F.count("*").alias("__rows")))
+    of = lambda rows: docs.join(lead.where(rows).select("__lead").hint("shuffle_hash"), docs["doc_id"] == F.col("__lead"), "left_semi")
+    again = of("__rows > 1").groupBy(F.col("doc_id").alias("__lead")).agg(F.min(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))).alias("r"))
+    return of("__rows = 1").unionByName(docs.where("doc_id is null")).unionByName(again.select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(names))))
