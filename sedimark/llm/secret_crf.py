@@ -299,7 +299,9 @@ def train(samples: list[str], width: int = 40) -> Field:
 def sample_texts(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 20_000) -> list[str]:
     """Training texts: of the documents of at most sample_chars characters, the sample_docs of least hash."""
     rows = docs.where(F.length("text") <= sample_chars).select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    return [r.text for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
+    # the threshold first, so that tasks send their least hashes and not the texts
+    least = rows.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    return sorted(r.text for r in rows.where(F.col("h") <= F.lit(least)).collect()) if least is not None else []
 
 
 class Scanner:
