@@ -131,6 +131,44 @@ def step_facts(jobs: DataFrame) -> DataFrame:
     return out.withColumn("locator", F.concat(F.lit("$github/run#/jobs/"), F.col("job").cast("string"), F.lit("/steps/"), F.col("step").cast("string"), "locator")).drop("job", "step")
 
 
+#: Fields of issues and pull requests that become facts; absent ones are skipped, null ones are kept.
+PROCESS_FIELDS = [
+    "id", "node_id", "number", "html_url", "state", "state_reason", "author", "author_association", "locked", "comments", "labels", "assignees", "created_at", "updated_at", "closed_at",
+    "draft", "merged", "merge_commit_sha", "requested_reviewers", "commits", "changed_files", "additions", "deletions", "merged_at", "head", "base",
+]
+RUN_FIELDS = [
+    "id", "name", "run_number", "run_attempt", "event", "status", "conclusion", "workflow_id", "head_branch", "head_sha", "path", "display_title", "created_at", "updated_at", "run_started_at", "actor", "html_url",
+]
+
+
+def process_facts(rows: DataFrame) -> DataFrame:
+    """Facts of issues and pull requests, of the fields that their payload has; lists of names are sorted and unique."""
+    names = [c for c in PROCESS_FIELDS if c in rows.columns]
+    flat = rows
+    for c in ("labels", "assignees", "requested_reviewers"):
+        if c in names:
+            flat = flat.withColumn(c, F.to_json(F.array_sort(F.array_distinct(c))))
+    return unpivoted(flat, ["artifact_id"], names, "$github/process#", "github-process-metadata")
+
+
+def process_assertions(rows: DataFrame) -> DataFrame:
+    """Titles and bodies, stripped; empty ones are dropped."""
+    one = lambda c: rows.select("artifact_id", F.lit(f"$github/process#/{c}").alias("locator"), F.trim(c).alias("statement"))
+    return one("title").unionByName(one("body")).where("statement is not null and statement <> ''")
+
+
+def run_facts(rows: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Facts of workflow runs; a run whose head isn't its revision's commit fails the query. revisions: artifact_id, commit_sha."""
+    met = rows.join(revisions, "artifact_id")
+    sound = met.withColumn("head_sha", F.when(F.col("head_sha") == F.col("commit_sha"), F.col("head_sha")).otherwise(F.raise_error(F.concat(F.lit("run of another commit: "), "head_sha")).cast("string")))
+    return unpivoted(sound, ["artifact_id"], [c for c in RUN_FIELDS if c in rows.columns], "$github/run#", "github-workflow-metadata")
+
+
+def inconsistent_metadata(rows: DataFrame) -> DataFrame:
+    """Repository payloads whose privacy contradicts their visibility."""
+    return rows.where(F.col("private") != (F.col("visibility") == "private"))
+
+
 def tree_facts(entries: DataFrame) -> DataFrame:
     """Per tree its count and paths, per entry its type, mode, sha and size."""
     one = unpivoted(entries, ["tree_sha", "path"], ["entry_type", "mode", "object_sha", "size"], "", "git-root-tree")

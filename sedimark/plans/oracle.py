@@ -190,6 +190,12 @@ ORACLES: dict[str, str] = {
     "signal_counts": f"select signal, count(*) as n from (select unnest(signals) as signal from {SIGNAL}) group by 1",
     "gap_signals": f"""select source, string_agg(distinct source_locator, '|' order by source_locator) as paths, coalesce(string_agg(case when side = 'previous' then id end, '|' order by id), '') as previous_diagnostic_ids, coalesce(string_agg(case when side = 'current' then id end, '|' order by id), '') as current_diagnostic_ids
       from {ART} join (select source_locator, 'previous' as side, 'previous-' || artifact_id as id from {PREV} where text like '%|%' union all select source_locator, 'current', 'current-' || artifact_id from {CUR} where text like '%|%') using (source_locator) group by source""",
+    "change_signal_counts": f"""with t as (select source_locator as path, substr(coalesce(content_hash, 'sha256:missing'), 8, 40) as sha, strlen(coalesce(text, '')) as size from {PREV}), u as (select source_locator as path, substr(coalesce(content_hash, 'sha256:missing'), 8, 40) as sha, strlen(coalesce(text, '')) as size from {CUR}),
+      d as (select coalesce(t.path, u.path) as path from t full outer join u on t.path = u.path where t.path is null or u.path is null or t.sha <> u.sha or t.size <> u.size),
+      c as (select d.path, string_split(d.path, '/')[1] as grp, coalesce(case when artifact_id % 2 = 0 then artifact_id % 9 + 1 end, 0) as ord from d join {ART} a on d.path = a.source_locator),
+      k as (select ord, grp, (row_number() over (partition by ord, grp order by path) - 1) // 50 as chunk from c), n as (select count(*) as n from (select distinct ord, grp, chunk from k))
+      select 'artifact deltas' as what, count(*) as n from {ADELTA} where change_type is not null union all select 'path deltas', count(*) from d union all select 'candidate paths', count(*) from c
+      union all select 'retained', n from n union all select 'reductions', n from n union all select 'gaps', 0 union all select 'structural deltas', 0""",
     "asof_tracking": f"select event_id, assignment_id, level from {ASOF}",
     "tracking_policy": f"""select event_id, case coalesce(level, '0') when '0' then 'none' when '3' then 'structural' else 'deep' end as capture_depth, case coalesce(level, '0') when '0' then 'never' else 'revision' end as polling_mode, coalesce(level, '0') <> '0' as reasoning_allowed from {ASOF}""",
     "tracking_history": f"select assignment_id, lag(assignment_id) over w as supersedes, row_number() over w as version from {TIMELINE} window w as (partition by user_id order by ts, assignment_id)",

@@ -13,6 +13,7 @@ from ..operators import delta, extract, governance, guards, inspect, planning, r
 from ..operators import capture as cap
 from ..sources import tables
 from . import lenses as L
+from . import pipelines
 from .oracle import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,6 +347,18 @@ def gap_signals(spark, d):
     return g.select("source", *map(_joined, ("paths", "previous_diagnostic_ids", "current_diagnostic_ids")))
 
 
+@query
+def change_signal_counts(spark, d):
+    """The whole change signal over two captures of the documents, whose paths are also the trees' paths: rows by product."""
+    was, now = (x.withColumn("capture_id", F.lit(side)) for x, side in zip(_sides(spark, d), ("previous", "current")))
+    tree = lambda x: x.select(F.col("source_locator").alias("path"), F.lit("blob").alias("entry_type"), F.lit("100644").alias("mode"), F.substring(F.coalesce("content_hash", F.lit("sha256:missing")), 8, 40).alias("object_sha"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    touched = L.artifacts(spark, d).where("artifact_id % 2 = 0").select(F.col("source_locator").alias("path"), (F.col("artifact_id") % 9 + 1).alias("commit_ordinal"))
+    r = pipelines.change_signal(was, now, (tree(was), tree(now)), touched, "run")
+    n = lambda df, what: df.agg(F.count("*").alias("n")).withColumn("what", F.lit(what))
+    retained = r.reductions.where("disposition = 'retain'")
+    return n(r.artifact_deltas, "artifact deltas").unionByName(n(r.path_deltas, "path deltas")).unionByName(n(r.candidates.select(F.explode("paths")), "candidate paths")).unionByName(n(retained, "retained")).unionByName(n(r.reductions, "reductions")).unionByName(n(r.gaps, "gaps")).unionByName(n(r.structural_deltas, "structural deltas"))
+
+
 # tracking, registry, profiles
 
 

@@ -250,3 +250,30 @@ def test_rules(spark):
     answers = spark.createDataFrame([("p", ["a", "b", "a"])], "packet_id string, cited array<string>")
     got = reasoning.normalized_packets(answers, spark.createDataFrame([("p", "a")], "packet_id string, support_id string")).first()
     assert (got.supports, got.rejected) == (["a"], ["b"])
+
+
+def test_extraction_runs(spark):
+    from sedimark.plans import pipelines
+
+    rows = [("1", "c", "a.md", "# h\nsome prose"), ("2", "c", "package.json", "{"), ("3", "c", "p/pyproject.toml", '[project]\nname = "x"\n')]
+    artifacts = spark.createDataFrame(rows, "artifact_id string, capture_id string, source_locator string, text string")
+    with pytest.raises(guards.GuardError, match="can't be read"):
+        pipelines.strict_extraction(artifacts, "r")
+    done = pipelines.strict_extraction(artifacts.where("artifact_id <> '2'"), "r")
+    assert done.facts.count() == 8 + 2 and done.assertions.count() == 1
+    assert done.facts.select("evidence_id").distinct().count() == 10
+    _, _, gaps = pipelines.gap_tolerant_pair(artifacts, artifacts.where("artifact_id <> '2'"), "r")
+    assert [tuple(r) for r in gaps.collect()] == [("package.json", "previous", "package-json")]
+
+
+def test_process_payloads(spark):
+    rows = spark.createDataFrame([("a", 7, None, ["b", "a", "b"], " t ", None)], "artifact_id string, number int, state_reason string, labels array<string>, title string, body string")
+    got = {r.locator: r.normalized_value for r in capture.process_facts(rows).collect()}
+    assert got == {"$github/process#/number": "7", "$github/process#/state_reason": "null", "$github/process#/labels": '["a","b"]'}
+    assert [r.statement for r in capture.process_assertions(rows).collect()] == ["t"]
+    runs = spark.createDataFrame([("a", 1, "x")], "artifact_id string, id int, head_sha string")
+    assert capture.run_facts(runs, spark.createDataFrame([("a", "x")], "artifact_id string, commit_sha string")).count() == 2
+    with pytest.raises(Exception, match="another commit"):
+        capture.run_facts(runs, spark.createDataFrame([("a", "y")], "artifact_id string, commit_sha string")).collect()
+    events = spark.createDataFrame([("i", [(2, "2020-01-01T00:00:00Z"), (1, "2020-01-01T01:00:00+01:00")])], "issue_id string, events array<struct<id int, created_at string>>")
+    assert [e.id for e in capture.ordered_events(events).first().events] == [1, 2]
