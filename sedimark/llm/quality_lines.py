@@ -2,11 +2,15 @@
 
 Each document's lines are normalised (words joined by one space, A-Z lower-cased) and hashed; a line's frequency is the
 number of distinct texts of a host (the source column) that hold it, so exact copies count once. A line in more than
-both `min_docs` texts and the share `max_share` of its host's texts is template text and is removed; a document of
+`min_docs` texts is template text and is removed, unless a group of near copies explains it; a document of
 whose words less than the share `min_left` then remain is depleted and rejected, as are those failing the base rules.
-The default share is above a third, so that a group of copies that fills a third of a host isn't taken for a template.
 
-One pass over the texts writes counts and line hashes, about 15 bytes a line; everything after works on that table.
+Near copies share more than the line: each text has `SKETCHES` min-hashes of the word triples in its other lines, and where by every
+one of them more than the share `copy_share` of the line's texts agree on one value, the line belongs to a group of copies.
+A line in more than the share `max_share` of its host's texts is a template even so; that share is above a third, so that a group
+of copies that fills a third of a host isn't taken for a template.
+
+One pass over the texts writes counts, line hashes (about 15 bytes a line) and sketches (72 bytes a text); everything after works on that table.
 Counting combines before the shuffle, and the join of frequent lines is one that adaptive execution can split.
 
 Defined results: null text counts as empty, and is rejected by the base rules; a null source is a host of its own; rows
@@ -33,13 +37,15 @@ class Rules:
     min_docs: int = 50
     max_share: float = 0.4
     min_left: float = 0.3
+    copy_share: float = 0.5
 
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
+SKETCHES = 3
 SCHEMA = (
     "row long, doc_id long, host long, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " lines array<long>, line_words array<long>"
+    " lines array<long>, line_words array<long>, least_line array<long>, least array<long>, second array<long>"
 )
 
 
@@ -63,6 +69,33 @@ def line_hashes(w: Words, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(words * _powers(int(at.max()) + 1)[0][at], first))
 
 
+def sketches(w: Words, first: np.ndarray, lines: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text and sketch: the line of the least triple, that triple's value, and the least value of the other lines.
+
+    at are the distinct lines of the texts, in order of text. Lines of fewer than three words have no triples.
+    """
+    n = len(w.count)
+    out = tuple(np.zeros((n, SKETCHES), U) for _ in range(3))
+    if not len(at):
+        return out
+    size = np.diff(np.r_[first, len(w.text)])
+    words = np.r_[w.spans(w.start, w.end, lower=True), np.zeros(2, U)]
+    p = _powers(3)[0]
+    grams = mix(words[:-2] * p[0] + words[1:-1] * p[1] + words[2:] * p[2])
+    beyond = np.arange(len(w.text)) + 2 >= np.repeat(first + size, size)
+    starts = np.searchsorted(text[at], np.arange(n + 1))
+    has, more = np.diff(starts) > 0, np.diff(starts) > 1
+    for k, salt in enumerate(mix(np.arange(1, SKETCHES + 1, dtype=U)) | U(1)):
+        values = grams * salt
+        values[beyond] = ~U(0)
+        low = np.minimum.reduceat(values, first)[at]
+        order = np.lexsort((low, text[at]))
+        best = order[starts[:-1][has]]
+        out[0][has, k], out[1][has, k] = lines[at][best], low[best]
+        out[2][more, k] = low[order[starts[:-1][more] + 1]]
+    return out
+
+
 def measure(w: Words) -> dict[str, np.ndarray]:
     """The contract's counts, and the hashes and words of each distinct normalised line of a text."""
     n, of = len(w.count), w.text
@@ -85,6 +118,7 @@ def measure(w: Words) -> dict[str, np.ndarray]:
     order = np.lexsort((lines, text))
     words = np.diff(np.r_[first, len(of)])[order]
     new = np.flatnonzero(np.r_[True, (text[order][1:] != text[order][:-1]) | (lines[order][1:] != lines[order][:-1])]) if len(order) else order
+    least_line, least, second = sketches(w, first, lines, text, order[new])
     return {
         "n_words": w.count,
         "word_chars": np.bincount(of, weights=solid[w.end] - solid[w.start], minlength=n).astype(np.int64),
@@ -94,6 +128,9 @@ def measure(w: Words) -> dict[str, np.ndarray]:
         "line_offsets": np.searchsorted(text[order][new], np.arange(n + 1)),
         "lines": lines[order][new].view(np.int64),
         "line_words": np.add.reduceat(words, new) if len(new) else words,
+        "least_line": least_line.ravel().view(np.int64),
+        "least": least.ravel().view(np.int64),
+        "second": second.ravel().view(np.int64),
     }
 
 
@@ -106,13 +143,15 @@ def measured(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 m = measure(Words(part.column("text")))
                 at = pa.array(m["line_offsets"].astype(np.int32))
+                each = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCHES)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + part.num_rows)), *(part.column(c) for c in ("doc_id", "host", "text_key")),
                         *(pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                         *(pa.ListArray.from_arrays(at, pa.array(m[c].astype(np.int64))) for c in ("lines", "line_words")),
+                        *(pa.ListArray.from_arrays(each, pa.array(m[c])) for c in ("least_line", "least", "second")),
                     ],
-                    names=["row", "doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+                    names=["row", "doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "least_line", "least", "second"],
                 )
                 row += part.num_rows
 
@@ -124,22 +163,36 @@ def keys(text: str, source: str) -> list:
     return [F.xxhash64(F.col(source), F.col(source).isNull()).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")]
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """A row for each document: the counts, template lines to remove (their hashes) with their words, and the verdict."""
-    table = written(measured(docs))
+def template_lines(table: DataFrame, rules: Rules) -> DataFrame:
+    """(host, line) of the template lines."""
     line = F.explode("lines").alias("line")
     texts = table.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    common = (
-        table.select("host", "text_key", line).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-        .where(F.col("n") > rules.min_docs).join(texts, "host").where(F.col("n") > rules.max_share * F.col("host_texts")).select("host", "line")
+    often = written(
+        table.select("host", "text_key", line).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
+        .join(texts, "host").select("host", "line", "n", (F.col("n") > rules.max_share * F.col("host_texts")).alias("most"))
     )
+    # grouped by a struct, so that the groups aren't dealt as the join is and a hot line's rows can be split
+    rest = F.zip_with("least_line", F.arrays_zip("least", "second"), lambda x, y: F.when(x == F.col("line"), y["second"]).otherwise(y["least"]))
+    held = (
+        table.select("host", "text_key", "least_line", "least", "second", line).join(often.where("not most").select("host", "line"), ["host", "line"])
+        .select(F.struct("host", "line").alias("of"), "text_key", rest.alias("rest")).distinct()
+    )
+    top = held.select("of", F.posexplode("rest").alias("k", "value")).groupBy("of", "k", "value").agg(F.count("*").alias("n")).groupBy("of", "k").agg(F.max("n").alias("top"))
+    group = top.groupBy("of").agg(F.min("top").alias("together")).select("of.*", "together")
+    return often.join(group, ["host", "line"], "left").where(F.col("most") | (F.col("together") <= rules.copy_share * F.col("n"))).select("host", "line")
+
+
+def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """A row for each document: the counts, template lines to remove (their hashes) with their words, and the verdict."""
+    table = written(measured(docs))
+    common = template_lines(table, rules)
     removed = (
         table.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("z")).select("row", "host", F.col("z.lines").alias("line"), F.col("z.line_words").alias("words"))
         .join(common, ["host", "line"]).groupBy("row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("n_removed"))
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return (
-        table.drop("lines", "line_words").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+        table.drop("lines", "line_words", "least_line", "least", "second").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed") >= rules.min_left * F.col("n_words")))
     )

@@ -79,6 +79,23 @@ def test_quality_stage(spark):
     assert all("Our  Site" not in x.text and x.n_chars == len(x.text) for x in found if x.source == "hot")
 
 
+def test_quality_line_of_a_part_of_a_large_host(spark):
+    """A line in a twentieth or a seventh of a host's texts is a template; lines of a group of near copies aren't."""
+    r = random.Random(2)
+    some = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    menu, foot = "Our  Site menu one two", "all rights reserved by the site\nread the terms of use here"
+    rows = [(k, "\n".join([*(some(20) for _ in range(4)), *([menu] if k % 20 == 0 else []), *([foot] if k % 7 == 0 else [])]), "hot") for k in range(1400)]
+    copied = [[f"w{r.randrange(3000)}" for _ in range(12)] for _ in range(8)]
+    for k in range(1400, 1700):
+        copy = [list(x) for x in copied]
+        for _ in range(4):
+            copy[r.randrange(8)][r.randrange(12)] = f"edit{k}"
+        rows.append((k, "\n".join(map(" ".join, copy)), "hot"))
+    got = {x.doc_id: x for x in quality_lines.scores(frame(spark, rows)).collect()}
+    for k in range(1700):
+        assert got[k].kept and got[k].n_template_words == (5 * (k % 20 == 0) + 12 * (k % 7 == 0) if k < 1400 else 0)
+
+
 def plain_spans(text):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII | re.IGNORECASE) if len(m[2]) >= 6]
     out += [(1, m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
