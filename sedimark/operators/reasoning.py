@@ -77,6 +77,25 @@ def fragment_hits(requirements: DataFrame, evidence: DataFrame, by: str) -> Data
     return met.groupBy(*requirements.columns).agg(F.coalesce(F.bool_or(F.contains(F.col("s"), C.folded("fragment"))), F.lit(False)).alias("covered"))
 
 
+def fragment_hits_anywhere(requirements: DataFrame, evidence: DataFrame, width: int = 4) -> DataFrame:
+    """Requirements (with a fragment) with whether any statement at all holds the fragment.
+
+    A statement that holds a fragment has the fragment's words, but for the first and last, as whole words: candidates meet by an
+    equi-join on the hash of `width` of them, and the fragment is then looked for itself. Fragments too short for that are compared with every statement.
+    """
+    ids = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, width), " "))
+    need = requirements.select(C.folded("fragment").alias("f")).distinct().withColumn("w", F.split("f", " ")).withColumn("long", F.size("w") >= width + 2)
+    s = evidence.select(C.folded("statement").alias("s")).where("s is not null").distinct().withColumn("id", F.xxhash64("s"))
+    # the words are an element of an array, so that a text is split once and not at every window
+    windows = lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda k: ids(w, k)))
+    has = s.select("id", F.explode(F.array_distinct(F.transform(F.array(F.split("s", " ")), windows)[0])).alias("h"))
+    pairs = has.join(need.where("long").select("f", ids(F.col("w"), F.lit(2)).alias("h")), "h").select("f", "id").distinct()
+    found = pairs.join(s, "id").where(F.contains(F.col("s"), F.col("f"))).select("f")
+    short = s.join(F.broadcast(need.where("not long").select("f")), F.contains(F.col("s"), F.col("f"))).select("f")
+    met = found.unionByName(short).distinct().withColumn("covered", F.lit(True))
+    return requirements.distinct().withColumn("f", C.folded("fragment")).join(met, "f", "left").drop("f").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
 def coverage(hits: DataFrame, by: str) -> DataFrame:
     """Covered requirements by case and in all, with their share (0.0 of none)."""
     share = F.coalesce(F.try_divide(F.count_if("covered"), F.count("*")), F.lit(0.0)).alias("fraction")

@@ -498,11 +498,9 @@ def pattern_min_sources(spark, d):
 
 
 def _hits(spark, d):
-    b = L.table(spark, d, "benchmark")
-    words = F.split("text", " ")
-    need = b.select(F.col("item_id").alias("requirement_id"), F.array_join(F.slice(words, 1, 3), " ").alias("fragment"), (F.col("item_id") % 20).cast("string").alias("k"), F.when(F.col("item_id") % 2 == 0, "tree").otherwise("ast").alias("needed_capability"))
-    ev = L.table(spark, d, "documents").select((F.col("doc_id") % 20).cast("string").alias("k"), F.col("text").alias("statement"))
-    return reasoning.fragment_hits(need, ev, "k")
+    """Whole benchmark items against all documents."""
+    need = L.table(spark, d, "benchmark").select(F.col("item_id").alias("requirement_id"), F.col("text").alias("fragment"), F.when(F.col("item_id") % 2 == 0, "tree").otherwise("ast").alias("needed_capability"))
+    return reasoning.fragment_hits_anywhere(need, L.table(spark, d, "documents").select(F.col("text").alias("statement")))
 
 
 @query

@@ -252,6 +252,28 @@ def test_rules(spark):
     assert (got.supports, got.rejected) == (["a"], ["b"])
 
 
+def test_fragments_anywhere(spark):
+    texts = ["xone two\n three  FOUR five six sevenx and more", "one two three four five seven", "short one", None, "", "a b c d e f g", "a b c d e f g"]
+    asked = [(1, "One two three four five six seven"), (2, "one two three four five six eight"), (3, "ort on"), (4, "none"), (5, ""), (6, None), (7, "b c d e f g"), (8, "two four three five six seven"), (9, "e two three four five six s")]
+    got = reasoning.fragment_hits_anywhere(spark.createDataFrame(asked, "requirement_id long, fragment string"), spark.createDataFrame([(t,) for t in texts], "statement string"))
+    fold = lambda t: " ".join(t.lower().split())
+    want = {i: f is not None and any(fold(f) in fold(t) for t in texts if t is not None) for i, f in asked}
+    assert {r.requirement_id: r.covered for r in got.collect()} == want and sum(want.values()) == 5
+
+
+def test_coverage_of_whole_items(spark, tmp_path):
+    """An item stands in a document of whatever id, and its first words alone don't cover it."""
+    from sedimark.plans import registry
+
+    item = lambda k: " ".join(f"i{k}w{j}" for j in range(20))
+    spark.createDataFrame([(k, item(k)) for k in range(6)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(k + 7, f"before {item(k)} after") for k in range(3)] + [(k, f"i{k}w0 i{k}w1 i{k}w2 and nothing else") for k in range(3, 6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.needed_capability: (r.n_required, r.n_covered) for r in registry.queries()["coverage_fraction"](spark, str(tmp_path)).collect()}
+    assert got == {"total": (6, 3), "tree": (3, 2), "ast": (3, 1)}
+    assert {r.needed_capability: r.n_gaps for r in registry.queries()["coverage_gaps"](spark, str(tmp_path)).collect()} == {"tree": 1, "ast": 2}
+
+
 def test_extraction_runs(spark):
     from sedimark.plans import pipelines
 
