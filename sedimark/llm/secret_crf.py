@@ -304,13 +304,23 @@ def sample_texts(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 2
     return sorted(r.text for r in rows.where(F.col("h") <= F.lit(least)).collect()) if least is not None else []
 
 
+def uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a to b that no span covers."""
+    out = []
+    for x, y in sorted(s for s in spans if s[0] < b and a < s[1]):
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
         self.own, self.near = field.tables()
 
     def spans(self, w: Words) -> list[list[tuple[int, int, int]]]:
-        """Of each text, (kind, start, end) in code points, in order; what the field adds overlaps no base span."""
+        """Of each text, (kind, start, end) in code points, in order; what the field adds is clipped, so that it overlaps no base span."""
         found = base_spans(w)
         own, near = features(w)
         if len(own):
@@ -328,8 +338,10 @@ class Scanner:
                 for i, j in zip(begin, end):
                     t = int(text[i])
                     a, b = int(w.start[i] - w.offsets[t]), int(w.end[j - 1] - w.offsets[t])
-                    if not any(a < y and x < b for x, y in taken.get(t, [])):
-                        found.append((t, 3, a, b))
+                    # a quote mark at an end of the secret isn't part of it
+                    for x, y in uncovered(a, b, taken.get(t, [])):
+                        if w.data[w.offsets[t] + x : w.offsets[t] + y].tobytes().strip(b"\"' \t\n\v\f\r"):
+                            found.append((t, 3, x, y))
         out: list[list[tuple[int, int, int]]] = [[] for _ in w.count]
         if found:
             points = _sums((w.data & 0xC0) != 0x80)
@@ -364,10 +376,10 @@ def scanned(docs: DataFrame, **sample) -> DataFrame:
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each stretch that spans cover replaced by a mark."""
+    """The text with each stretch that spans cover, touching ones together, replaced by a mark."""
     out, at, upto = [], 0, -1
     for _, a, b in spans:
-        if a >= upto:
+        if a > upto:
             out += [text[at:a], _MARK.decode()]
         upto = max(upto, b)
         at = max(at, upto)

@@ -138,6 +138,16 @@ def test_secret_redaction(spark):
     assert secret_crf.redact("abcdef", [(0, 1, 3), (1, 2, 4)]) == "a[SECRET]ef"
 
 
+def test_secret_rest_of_a_base_span():
+    """What the field finds beyond a base span is reported and redacted."""
+    scanner = secret_crf.Scanner(secret_crf.train([]))
+    texts = ['config password = "hunter2x!Qz81kdPq93" and more text', "token: abcdef12!Zk38fjQ2pX9 next", 'é password = "hunter2hunter2" rest']
+    found = scanner.spans(Words(pa.array(texts)))
+    assert [secret_crf.redact(t, x) for t, x in zip(texts, found)] == ["config [SECRET] and more text", "[SECRET] next", 'é [SECRET]" rest']
+    assert [[k for k, _, _ in x] for x in found] == [[0, 3], [0, 3], [0]]
+    assert secret_crf.uncovered(0, 10, [(2, 4), (3, 6), (20, 30)]) == [(0, 2), (6, 10)] and secret_crf.uncovered(3, 5, [(2, 6)]) == []
+
+
 def test_viterbi_is_exact():
     """Decoding in stretches gives the best path of the whole sequence."""
     import numpy as np
