@@ -158,6 +158,18 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def unused(names: list[str], *stems: str) -> list[str]:
+    """A column name for each stem that no column has, in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -239,32 +251,70 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+#: Keys that are joined by broadcast are at most so many: those with more than a share of 1 / HOT_KEYS of the rows, and CROWD rows at least.
+HOT_KEYS, CROWD = 10_000, 1_000
+
+
+def crowd_of(rows: int, least: int = CROWD) -> int:
+    return max(least, rows // HOT_KEYS)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], least: int = CROWD) -> DataFrame:
+    """Rows left-joined to the one row, if any, that table has for their keys, without a task that gets all rows of a hot key.
+
+    Adaptive execution can't split a join where one side comes straight from an aggregate of the same keys. So keys of more than
+    a crowd of rows (HOT_KEYS at most) are joined by broadcast, and only the others meet in an equi-join. rows and table should be tables already written, as
+    both are read twice. Null keys find nothing.
+    """
+    crowd = crowd_of(rows.count(), least)
+    hot = table.join(rows.groupBy(*keys).agg(F.count("*").alias("rows_")).where(F.col("rows_") > crowd).drop("rows_"), keys)
+    hot = written(hot)
+    if not hot.limit(1).count():
+        return rows.join(table, keys, "left")
+    mark = F.broadcast(hot.withColumn("hot_", F.lit(True)))
+    tagged = rows.join(mark, keys, "left")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys, "left")
+    return tagged.where("hot_").drop("hot_").unionByName(cold)
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): edges with the least v of their u (or u itself, if less)."""
+    crowd = crowd_of(rows)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hot = written(least.where(F.col("n") > crowd).select("u", "m"))
+    if not hot.limit(1).count():
+        return edges.join(least.select("u", "m"), "u")
+    tagged = edges.join(F.broadcast(hot), "u", "left")
+    cold = tagged.where("m is null").drop("m").join(least.where(F.col("n") <= crowd).select("u", "m"), "u")
+    return tagged.where("m is not null").unionByName(cold)
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least value reachable from every linked value, itself included.
 
     Alternating large-star and small-star rounds over links (u > v). Each round is two aggregates (combined before
-    the shuffle) and two equi-joins whose hot keys adaptive execution splits; it ends in a written table. The driver
-    sees only two numbers a round. Values in no link don't appear.
+    the shuffle) and two joins of edges with the least neighbour of their end; ends with a crowd of edges get it by broadcast (HOT_KEYS
+    of them at most), so no task holds all edges of the root of a large component. A round ends in a written table. The driver
+    sees only a few numbers a round. Values in no link don't appear.
     """
     schema = "u long, v long"
     edges = written(
         links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
         .where("u <> v").mapInArrow(tidy(_local_forest), schema)
     )
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+    state, rows = None, edges.count()
+    while rows:
+        both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = written(_with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = (
-            large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            _with_least(large, rows).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
         new = written(small.mapInArrow(tidy(_local_forest), schema))
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(edges)
-        edges = new
+        for done in (edges, both, large):
+            forget(done)
+        edges, rows = new, now[0]
         if tuple(now) == state:
             break
         state = tuple(now)
@@ -272,5 +322,20 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
+def least_ids(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """The `most` distinct ids of least hash as a column of that name: a sample that repeated ids don't enlarge, chosen without reading other columns."""
+    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias(key), F.xxhash64(F.col(key).cast("long")).alias("h"))
+    n, share = docs.count(), 1.0
+    if n > 8 * most:
+        share = 8 * most / n
+    while True:
+        # a first threshold by the number of rows, so that few ids go on to the distinct
+        low = ids if share >= 1 else ids.where(F.col("h") <= F.lit(int(-(2**63) + share * 2**64)))
+        low = low.distinct().orderBy("h", key).limit(most)
+        if share >= 1 or low.count() == most:
+            return low.select(key)
+        share *= 8
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,27 +1,30 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Fingerprints: every word shingle's XXH64 votes on 64 bits. Distinct fingerprints are linked at `budget` or fewer
-differing bits. With budget + 1 blocks of bits, two linked fingerprints agree on one block at least, so each
-fingerprint goes into that many tries, each with another block rotated to the front; the trie below a block value is one
-unit of work (a block value holding more than `split_rows` fingerprints is cut into pairs of child nodes further
-down, so that no task gets an unbounded group). In a unit the trie is joined with itself: pairs of nodes descend
-together, differing bits add up, and a pair beyond the budget is dropped with all below it. A task emits the links
-as a spanning forest, never all pairs of a group, and connected components join the forests.
+differing bits. The bits are cut into more blocks than the budget; two linked fingerprints agree on all blocks but `budget` at
+least, so each fingerprint goes into one trie for every choice of so many blocks, which stand in front there. With five blocks
+that is five tries of 12 bits in front, with six 15 tries of 21 bits, and so on: the number of blocks follows the number
+of fingerprints, so that the nodes below the front stay small. Such a node is one unit of work; one that holds more than `split_rows` fingerprints all
+the same is cut into child nodes further down, which meet where they differ by the budget at most, so no task gets an unbounded group. In a unit the
+trie is joined with itself: pairs of nodes descend together, differing bits add up, and a pair beyond the budget is dropped
+with all below it. A task emits the links as a spanning forest, never all pairs of a group, and connected components join the forests.
 
 Defined results: null text counts as empty; no word gives fingerprint zero, which links like any other; rows with a
-null doc_id are fingerprinted but take no part in groups (component_id null); repeated doc_ids share a component where
-any of their fingerprints link. Other columns are ignored, whatever their names.
+null doc_id are fingerprinted but take no part in groups (component_id null); rows that repeat a doc_id are documents of their own, so
+unlike texts under one id stay in groups of their own; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, connected_components, forest, shuffle_width, slices, small_batches, tidy, written
+from .common import U, connected_components, forest, shuffle_width, slices, small_batches, spread_join, tidy, unused, written
 
 BITS = 64
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -46,8 +49,13 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, chunk: int = 65_5
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def text_key():
+    """A hash that tells apart the texts of rows with one doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long."""
 
     small_batches(docs.sparkSession)
 
@@ -55,19 +63,48 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [fingerprint((t or "").encode(), shingle, seed) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(found, U).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.array(found, U).view(np.int64))], names=["doc_id", "text_key", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_key(), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, text_key long, fp long")
+
+
+Block = tuple[int, int]  # first bit and width
+
+
+def tries(budget: int, n_blocks: int) -> list[tuple[list[Block], int]]:
+    """The order of blocks in each trie, and the number of bits that two fingerprints in one unit have in common."""
+    edges = [BITS * k // n_blocks for k in range(n_blocks + 1)]
+    cut = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    out = []
+    for front in combinations(range(n_blocks), n_blocks - budget):
+        order = [*front, *(k for k in range(n_blocks) if k not in front)]
+        out.append(([cut[k] for k in order], sum(cut[k][1] for k in front)))
+    return out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
+def blocks_for(n: int, budget: int, split_rows: int) -> int:
+    """The least number of blocks with which n fingerprints, evenly spread, leave at most split_rows in a unit."""
+    n_blocks = budget + 1
+    while n >> min(bits for _, bits in tries(budget, n_blocks)) > split_rows and n_blocks < budget + 4:
+        n_blocks += 1
+    return n_blocks
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """First bit and width of budget + 1 blocks of all bits."""
-    edges = [BITS * k // (budget + 1) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
+def permuted(x: np.ndarray, order: list[Block]) -> np.ndarray:
+    """The bits of x with its blocks in that order."""
+    out, at = np.zeros_like(x), 0
+    for start, width in order:
+        out |= ((x >> U(BITS - start - width)) & U((1 << width) - 1)) << U(BITS - at - width)
+        at += width
+    return out
 
-def rotate(x: np.ndarray, by: int) -> np.ndarray:
-    return x if by % BITS == 0 else (x << U(by % BITS)) | (x >> U(BITS - by % BITS))
+
+def _permuted_column(order: list[Block]):
+    parts, at = [], 0
+    for start, width in order:
+        parts.append(f"shiftleft(shiftrightunsigned(fp, {BITS - start - width}) & {(1 << width) - 1}L, {BITS - at - width})")
+        at += width
+    return F.expr(" | ".join(parts))
 
 
 def join_tries(codes: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +165,9 @@ def join_tries(codes: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bud
     return forest(np.concatenate(out_u), np.concatenate(out_v))
 
 
-def _join_units(budget: int):
+def _join_units(budget: int, n_blocks: int):
     """Joins the units of a partition: rows (trie, left node, right node, depth, code), in any order."""
-    width = dict(enumerate(blocks(budget)))
+    order_of = [order for order, _ in tries(budget, n_blocks)]
 
     def run(batches):
         held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -139,10 +176,9 @@ def _join_units(budget: int):
         trie, left, right, depth = (held.column(k).combine_chunks().to_numpy() for k in range(4))
         fp = held.column(4).combine_chunks().to_numpy().view(U)
         for r in np.unique(trie):
-            by, bits = width[r]
             for t in np.unique(depth[trie == r]):
                 at = np.flatnonzero((trie == r) & (depth == t))
-                code = rotate(fp[at], by)
+                code = permuted(fp[at], order_of[r])
                 order = np.lexsort((code, right[at], left[at]))
                 at, code = at[order], code[order]
                 node = code >> U(BITS - t)
@@ -168,58 +204,65 @@ def _join_units(budget: int):
     return run
 
 
+def _masks(budget: int, most: int = 24) -> list[tuple[int, int]]:
+    """(more, mask): every mask of `more` bits with at most `budget` ones; some 65,000 rows."""
+    out = []
+    for more in range(most + 1):
+        out += [(more, sum(1 << k for k in bits)) for ones in range(min(budget, more) + 1) for bits in combinations(range(more), ones)]
+    return out
+
+
 def link_fingerprints(fps: DataFrame, budget: int = 4, split_rows: int = 50_000) -> DataFrame:
     """(u, v): links between the distinct values of column fp, as forests whose union has the components of all links."""
     spark = fps.sparkSession
-    tries = F.array(*[
-        F.struct(
-            F.lit(r).alias("trie"), F.lit(bits).alias("bits"),
-            (F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", BITS - by)) if by else F.col("fp")).alias("code"),
-        )
-        for r, (by, bits) in enumerate(blocks(budget))
-    ])
-    coded = fps.select("fp", F.explode(tries).alias("t")).select("fp", "t.*").withColumn("node", F.expr("shiftrightunsigned(code, 64 - bits)"))
-    crowded = coded.groupBy("trie", "node").count().where(F.col("count") > split_rows)
-    more = F.least(F.lit(12), F.ceil(F.log2(F.col("count") / split_rows)) + 1).cast("int")
-    units = (
-        coded.join(crowded.withColumn("more", more), ["trie", "node"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-        .withColumn("depth", F.expr("bits + more")).withColumn("own", F.expr("shiftrightunsigned(code, 64 - depth)"))
-        # a child node meets itself and every other child of its block within the budget; the lesser node stands left
-        .withColumn("other", F.explode(F.expr("transform(sequence(0L, shiftleft(1L, more) - 1), x -> shiftleft(node, more) + x)")))
-        .where(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget)
-        .select("trie", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "depth", "fp")
-    )
-    return units.repartition(shuffle_width(spark), "trie", "left", "right").mapInArrow(tidy(_join_units(budget)), "u long, v long")
+    n_blocks = blocks_for(fps.count(), budget, split_rows)
+    rows = [F.struct(F.lit(r).alias("trie"), F.lit(bits).alias("bits"), _permuted_column(order).alias("code")) for r, (order, bits) in enumerate(tries(budget, n_blocks))]
+    coded = fps.select("fp", F.explode(F.array(*rows)).alias("t")).select("fp", "t.*").withColumn("node", F.expr("shiftrightunsigned(code, 64 - bits)"))
+    more = F.ceil(F.log2(F.col("count") / split_rows)).cast("int") + 1
+    # nodes of more than split_rows are few: at most so many as their rows allow
+    crowded = written(coded.groupBy("trie", "node").count().where(F.col("count") > split_rows).select("trie", "node", F.least(more, F.lit(24)).alias("more")))
+    units = coded.withColumn("depth", F.col("bits")).withColumn("left", F.col("node")).withColumn("right", F.col("node"))
+    if crowded.limit(1).count():
+        masks = F.broadcast(spark.createDataFrame(_masks(budget, crowded.agg(F.max("more")).first()[0]), "more int, mask long"))
+        units = (
+            coded.join(crowded, ["trie", "node"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+            .withColumn("depth", F.expr("bits + more")).withColumn("own", F.expr("shiftrightunsigned(code, 64 - depth)"))
+            # a child node meets itself and every other child of its block within the budget; the lesser node stands left
+            .join(masks, "more").withColumn("other", F.col("own").bitwiseXOR(F.col("mask"))).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
+        )
+    return units.select("trie", "left", "right", "depth", "fp").repartition(shuffle_width(spark), "trie", "left", "right").mapInArrow(tidy(_join_units(budget, n_blocks)), "u long, v long")
+
+
+def grouped(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
+    """(doc_id, text_key, fp, label, component_id) of every row: label stands for the group of fingerprints, component_id is its least doc_id."""
+    prints = written(fingerprints(docs, shingle, seed))
+    with_id = prints.where("doc_id is not null")
+    first = written(with_id.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    component = connected_components(link_fingerprints(first.select("fp"), budget), "u", "v")
+    named = written(first.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("label")))
+    least = written(named.groupBy("label").agg(F.min("first").alias("component_id")))
+    of = written(spread_join(named.select("fp", "label"), least, ["label"]))
+    known = spread_join(with_id, of, ["fp"]).select("doc_id", "text_key", "fp", "label", "component_id")
+    return known.unionByName(prints.where("doc_id is null").withColumn("label", F.lit(None).cast("long")).withColumn("component_id", F.lit(None).cast("long")))
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
-    prints = written(fingerprints(docs, shingle, seed))
-    with_id = prints.where("doc_id is not null")
-    # rows with the same id tie their fingerprints together
-    first = with_id.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = link_fingerprints(first.select("fp"), budget)
-    of = first.select("fp", "first")
-    doc_links = (
-        links.join(of.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-        .unionByName(with_id.join(of, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    )
-    component = connected_components(doc_links, "a", "b")
-    return prints.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-    )
+    return grouped(docs, shingle, seed, budget).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which each group of near copies keeps one, the least doc_id; of repeated rows of an id one stays.
+    """The documents of which each group of near copies keeps one: that of the least doc_id (of several texts under it, the one of least hash;
+    of equal rows and of rows that differ in other columns only, one).
 
-    Rows with a null doc_id stay. Columns are those of docs.
+    Rows with a null doc_id stay. Columns are those of docs, of any type and name.
     """
     names = docs.columns
     small_batches(docs.sparkSession)
-    lead = written(near_groups(docs, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__lead")).agg(F.count("*").alias("__rows")))
-    of = lambda rows: docs.join(lead.where(rows).select("__lead").hint("shuffle_hash"), docs["doc_id"] == F.col("__lead"), "left_semi")
-    again = of("__rows > 1").groupBy(F.col("doc_id").alias("__lead")).agg(F.min(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))).alias("r"))
-    return of("__rows = 1").unionByName(docs.where("doc_id is null")).unionByName(again.select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(names))))
+    found = grouped(docs, **options).where("doc_id = component_id").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    lead = written(found.groupBy("label", "doc_id").agg(F.min(F.struct("text_key", "n")).alias("m")).select("doc_id", "m.*"))
+    of, key, n, row = unused(names, "of", "key", "n", "row")
+    keyed = docs.where("doc_id is not null").withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key()))
+    met = keyed.join(lead.select(F.struct("doc_id", "text_key").alias(of), F.col("n").alias(n)), F.col(key) == F.col(of))
+    again = met.where(F.col(n) > 1).groupBy(key).agg(F.min_by(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names))), F.to_json(F.struct(*names))).alias(row))
+    return met.where(F.col(n) == 1).select(*names).unionByName(docs.where("doc_id is null")).unionByName(again.select(*(F.col(f"{row}.c{k}").alias(c) for k, c in enumerate(names))))

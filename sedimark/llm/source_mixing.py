@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, written
+from .common import WORD_RE, unused, written
 
 #: Fixed values of the contract: the weights of sources in order, again and again; a target's limit as a multiple of its source's size.
 WEIGHTS = (5, 2, 1)
@@ -29,12 +29,16 @@ BUCKET_BITS = 10
 LEVELS = 6
 
 
+def hash60():
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), 64 - BUCKET_BITS * LEVELS)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): h is a hash of 60 bits."""
     return docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text")), 64 - BUCKET_BITS * LEVELS).alias("h"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
+        hash60().alias("h"),
     )
 
 
@@ -46,9 +50,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     spark = sizes.sparkSession
     totals = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = len(WEIGHTS)
-    # UTF-8 binary order is code point order
-    ordered = totals.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    ranked = written(spark.createDataFrame(ordered, "source string, source_size long, place long").withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % n + 1).cast("int"))))
+    # UTF-8 binary order is code point order; a source's place is its row in its range of the sort, after the rows of the ranges before
+    ranges = written(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("row", F.monotonically_increasing_id())).withColumn("range", F.shiftright("row", 33))
+    upto, offsets = 0, []
+    for r in ranges.groupBy("range").count().orderBy("range").collect():
+        offsets.append((r["range"], upto))
+        upto += r["count"]
+    offset = F.broadcast(spark.createDataFrame(offsets, "range long, offset long"))  # a row for each shuffle partition at most
+    place = F.col("offset") + F.col("row") - F.shiftleft("range", 33)
+    ranked = written(ranges.join(offset, "range").select("source", "source_size", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % n + 1).cast("int")).alias("weight")))
     words = ranked.agg(F.sum("source_size")).first()[0] or 0
     rate = None
     full = F.lit(False)
@@ -115,14 +125,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns are those of docs."""
+    """The documents of the mix, each as often as it is taken; columns are those of docs, of any type and name."""
     names = docs.columns
     sizes = written(sized(docs))
-    cut = thresholds(sizes, source_targets(sizes)).select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("below").alias("__below"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), 64 - BUCKET_BITS * LEVELS)
-    hashed = docs.select("*", h.alias("__h"))
+    of, copies, below, h, n = unused(names, "of", "copies", "below", "h", "n")
+    cut = thresholds(sizes, source_targets(sizes)).select(F.col("source").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
+    hashed = docs.withColumn(h, hash60())
+    times = F.least(F.lit(MOST), F.col(copies) + F.when(F.col(h) < F.col(below), 1).otherwise(0)).cast("int")
     return (
-        hashed.join(cut, F.expr("source <=> __s"))
-        .withColumn("__n", F.least(F.lit(MOST), F.col("__copies") + F.when(F.col("__h") < F.col("__below"), 1).otherwise(0)).cast("int"))
-        .where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
+        hashed.join(cut, F.col("source").cast("string").eqNullSafe(F.col(of))).where(times > 0)
+        .withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(*names)
     )

@@ -69,10 +69,17 @@ def test_simhash_groups(spark):
     got = simhash_trie.near_groups(frame(spark, rows)).select("doc_id", "fingerprint", "component_id").collect()
     prints = [(i, plain_fingerprint(t)) for i, t in rows]
     assert sorted(((x.doc_id, x.fingerprint) for x in got), key=str) == sorted(((i, f"{p:016x}") for i, p in prints), key=str)
-    known = [(i, p) for i, p in prints if i is not None]
-    links = [(a, b) for a, p in known for b, q in known if (p ^ q).bit_count() <= 4]
-    want = components({i for i, _ in known}, links)
-    assert all(x.component_id == want.get(x.doc_id) for x in got)
+    want = least_of_groups([(i, p) for i, p in prints if i is not None])
+    assert all(x.component_id == (want[x.fingerprint] if x.doc_id is not None else None) for x in got)
+
+
+def least_of_groups(known):
+    """Of each fingerprint, the least id of its group; rows with one id are documents of their own."""
+    label = components({p for _, p in known}, [(p, q) for _, p in known for _, q in known if (p ^ q).bit_count() <= 4])
+    least = {}
+    for i, p in known:
+        least[label[p]] = min(least.get(label[p], i), i)
+    return {f"{p:016x}": least[label[p]] for _, p in known}
 
 
 def test_simhash_crowded_blocks(spark):
@@ -91,11 +98,55 @@ def test_simhash_keeps_one(spark):
     kept = simhash_trie.one_of_each_group(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     ids = [x.doc_id for x in kept.collect()]
-    groups = {x.component_id for x in simhash_trie.near_groups(frame(spark, rows)).collect() if x.doc_id is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(groups)
+    known = [(i, plain_fingerprint(t)) for i, t in rows if i is not None]
+    label = components({p for _, p in known}, [(p, q) for _, p in known for _, q in known if (p ^ q).bit_count() <= 4])
+    least = {}
+    for i, p in known:
+        least[label[p]] = min(least.get(label[p], i), i)
+    assert sorted(i for i in ids if i is not None) == sorted(least.values())
     assert ids.count(None) == 2
 
 
+def test_simhash_keeps_other_texts_of_an_id(spark):
+    """A repeated id with another text stays, of equal rows one stays; columns of any type and name are carried."""
+    r = random.Random(8)
+    a, b = (" ".join(r.choice(["red", "green", "blue", "owl", "fox", "hen"]) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    rows = [(1, a, {"k": 1}, "x"), (1, b, {"k": 2}, "y"), (1, a, {"k": 1}, "x"), (2, a, None, "z"), (3, b, {"k": 3}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of map<string, int>, `key` string")
+    got = sorted((x.doc_id, x.text, str(x.of), x["key"]) for x in simhash_trie.one_of_each_group(docs).collect())
+    assert got == sorted([(1, a, str({"k": 1}), "x"), (1, b, str({"k": 2}), "y")])
+
+
+def test_simhash_many_blocks():
+    """More blocks put more bits in front; every pair within the budget still shares one unit at least."""
+    r = np.random.default_rng(5)
+    for n_blocks in (5, 6, 7):
+        tries = simhash_trie.tries(4, n_blocks)
+        x = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+        y = x.copy()
+        for k in range(4):
+            y ^= np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)
+        met = np.zeros(200, bool)
+        for order, bits in tries:
+            p, q = simhash_trie.permuted(x, order), simhash_trie.permuted(y, order)
+            assert (np.bitwise_count(p ^ q) == np.bitwise_count(x ^ y)).all()
+            met |= (p >> np.uint64(64 - bits)) == (q >> np.uint64(64 - bits))
+        assert met.all()
+    assert [simhash_trie.blocks_for(n, 4, 50_000) for n in (0, 10**6, 10**9, 10**12)] == [5, 5, 6, 7]
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Joins and components with keys of more than a crowd of rows."""
+    monkeypatch.setattr(common, "crowd_of", lambda rows, least=0: 5)
+    rows = common.written(spark.createDataFrame([(k % 3 if k < 60 else k, k) for k in range(90)] + [(None, -1)], "k long, v long"))
+    table = common.written(spark.createDataFrame([(k, -k) for k in range(0, 80)], "k long, w long"))
+    got = sorted(common.spread_join(rows, table, ["k"]).collect(), key=str)
+    assert got == sorted(rows.join(table, "k", "left").collect(), key=str) and len(got) == 91
+    links = [(5000, k) for k in range(5001, 5060)] + [(4000 + k, 4001 + k) for k in range(30)] + [(5059, 4030)]
+    got = {x.node: x.component for x in common.connected_components(spark.createDataFrame(links, "x long, y long"), "x", "y").collect()}
+    assert got == components({i for e in links for i in e}, links)
+
+
 def test_simhash_empty(spark):
     assert simhash_trie.near_groups(frame(spark, [])).count() == 0
     assert simhash_trie.one_of_each_group(frame(spark, [])).count() == 0
