@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import ORACLE_SQL as LICENSE
-from .quality_lines import Rules
+from .quality_lines import BASE, PRIME, SALTS, TRIPLE, WORD_BYTES, Rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = "regexp_extract_all(coalesce({}, ''), '[^ \\t-\\r]+')"
@@ -37,25 +37,37 @@ def substrings(window: int = 13) -> str:
 
 
 def quality(rules: Rules = Rules()) -> str:
+    norm = f"translate(array_to_string({WORDS.format('line')}, ' '), '{_UPPER}', '{_LOWER}')"
+    byte = "('0x' || substr(x, 2 * i + 1, 2))::bigint"
+    value = f"(list_reduce(list_prepend(0::bigint, list_transform(range(0, least({WORD_BYTES}, len(x) // 2)), lambda i: {byte})), lambda a, c: (a * {BASE} + c) % {PRIME}) * {BASE} + len(x) // 2) % {PRIME}"
+    triple = " + ".join(f"vs[i + {k}] * {m} % {PRIME}" for k, m in enumerate(TRIPLE))
+    failed = f"(n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)"
     return f"""
-    with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {WORDS.format('text')} as ws from documents),
+    with d as (select row_number() over () as r, doc_id, coalesce('i' || doc_id, 't' || text, 't') as document, source, coalesce(text, '') as t, {WORDS.format('text')} as ws from documents),
     w as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as p from d),
     g as (select r, p, case when lead(w, 2) over o is not null then [w, lead(w) over o, lead(w, 2) over o] end as k from w window o as (partition by r order by p)),
     rep as (select r, p, k is not null and count(*) over (partition by r, k) > 1 as again from g),
     cov as (select r, max(again::int) over (partition by r order by p rows between 2 preceding and current row) as c from rep),
     nrep as (select r, sum(c)::bigint as n from cov group by r),
-    lines as (select r, source, t, unnest(string_split(t, chr(10))) as line from d),
-    norm as (select r, source, t, line, array_to_string({WORDS.format('line')}, ' ') as raw, translate(array_to_string({WORDS.format('line')}, ' '), '{_UPPER}', '{_LOWER}') as l, len({WORDS.format('line')}) as n from lines),
-    full_ as (select * from norm where n > 0),
+    lines as (select r, document, source, unnest(string_split(t, chr(10))) as line from d),
+    full_ as (select r, document, source, line, array_to_string({WORDS.format('line')}, ' ') as raw, {norm} as l, len({WORDS.format('line')}) as n from lines where len({WORDS.format('line')}) > 0),
     dup as (select r, count(*) - count(distinct line) as n from full_ group by r),
-    texts as (select source, count(distinct t) as texts from d group by source),
-    common as (select f.source, l from full_ f join texts s on f.source is not distinct from s.source group by f.source, l, s.texts
-        having count(distinct t) > {rules.min_docs} and count(distinct t) > {rules.max_share} * s.texts),
+    often as (select source, l, count(distinct document) as n from full_ group by source, l having count(distinct document) > {rules.max_docs}),
+    held as (select distinct r from full_ f join often o on f.source is not distinct from o.source and f.l = o.l),
+    own as (select distinct f.r, f.document, f.source, f.l from full_ f join held using (r)),
+    texts as (select l, string_split(l, ' ') as ws from (select distinct l from own)),
+    valued as (select l, list_transform(ws, lambda w: list_transform([hex(encode(w))], lambda x: {value})[1]) as vs from texts),
+    triples as (select l, list_transform(range(1, len(vs) - 1), lambda i: ({triple}) % {PRIME}) as gs from valued),
+    low as (select l, k, coalesce(list_min(list_transform(gs, lambda g: g * salt % {PRIME})), {PRIME}) as v from triples, (values {", ".join(f"({k}, {s}::bigint)" for k, s in enumerate(SALTS))}) s(k, salt)),
+    ranked as (select r, document, source, l, k, v, min(v) over (partition by r, k) as v1, row_number() over (partition by r, k order by v) as at from own join low using (l)),
+    rest as (select a.document, a.source, a.l, a.k, case when a.at > 1 then a.v1 else coalesce(b.v, {PRIME}) end as v from ranked a left join ranked b on a.r = b.r and a.k = b.k and b.at = 2),
+    tops as (select o.source, o.l, o.n, k, v, count(distinct document) as c from rest x join often o on x.source is not distinct from o.source and x.l = o.l group by all),
+    grouped as (select source, l, n, k, max(c) as c from tops group by all),
+    common as (select source, l from grouped group by source, l, n having min(c) <= {rules.copy_share} * n),
     removed as (select r, sum(f.n)::bigint as n from full_ f join common c on f.source is not distinct from c.source and f.l = c.l group by r),
     all_ as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
         coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(nrep.n, 0)::bigint as n_repeat_words, coalesce(removed.n, 0)::bigint as n_template_words from d left join dup using (r) left join nrep using (r) left join removed using (r))
-    select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed,
-      not (n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) and n_words - n_template_words >= {rules.min_left} * n_words as kept from all_
+    select *, {failed} as base_failed, not {failed} and n_words - n_template_words >= {rules.min_left} * n_words as kept from all_
     """
 
 
