@@ -1,21 +1,24 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over the words of each text.
 
-The field tags every word as secret begin, inside or outside from its shape, its neighbours and features of its file
-(document), decoded by Viterbi. It is trained here, by gradient ascent on the log-likelihood, on at most
-`sample_docs` documents of the corpus (those of least id hash, of `sample_chars` characters at most), tagged by the
-base patterns, and on fixed generated lines that also show forms which the patterns miss. The sample bounds what reaches the driver; every
-text is scanned whole.
+The field tags every word as secret begin, inside or outside from its shape, the neighbouring words and features of its file
+(document), decoded by Viterbi. It is trained here, by gradient ascent on the log-likelihood, on generated lines whose secrets
+are known by construction: forms that the base patterns miss (spoken hints, command-line options, headers, addresses with
+credentials, prefixed keys, marks other than : and =) among filler words taken from the corpus, with lines that look alike
+but hold none. Lines of the corpus in which no base pattern matches join as lines without secrets; lines in which one does take no
+part, so the field isn't taught the patterns. The sample of the corpus (at most `sample_docs` documents, those of least id hash, of
+`sample_chars` characters at most) bounds what reaches the driver; every text is scanned whole.
 
 Decoding is exact but cheap: a word whose score for outside leads by more than twice the range of the
 transitions is outside on the best path, whatever stands next to it, so texts are cut there and only the few
 stretches between are decoded, in padded matrices by length.
 
 Defined results: null text counts as empty; doc_id, null or repeated, is carried through; an empty table gives no rows
-(and trains on the generated lines alone); only doc_id and text are read.
+(and trains on the generated lines alone); only doc_id and text are read, and columns of any other name are carried through.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, small_batches, tidy
+from .common import Words, least_ids, slices, small_batches, tidy
 
 #: Fixed values of the contract: the base patterns; all their characters are ASCII, so they are matched on bytes.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -39,6 +42,8 @@ O, B, I = range(3)
 #: Buckets of a word's own features: length, share of digits, case, switches between letters and digits, then flags.
 _OWN = (6, 4, 5, 3, 2, 2, 2, 2, 2)
 _NEAR = 8  # flags of neighbours and of the file
+#: Places whose word, by the hash of its letters and digits, is a feature: the word before, the one before that, the one after.
+_PLACES, _WORDS = (-1, -2, 1), 1 << 12
 _MARK = b"[SECRET]"
 
 
@@ -49,6 +54,7 @@ def _lut(chars: bytes) -> np.ndarray:
 
 
 _DIGIT, _UPPER, _LOWER = (_lut(x.encode()) for x in (string.digits, string.ascii_uppercase, string.ascii_lowercase))
+_LETTERS = _DIGIT | _UPPER | _LOWER | (np.arange(256) > 127)
 _HEX, _JOINT, _INNER, _QUOTE = _lut(b"0123456789abcdef"), _lut(b"=:"), _lut(b"_+/-.@"), _lut(b"\"'`")
 
 
@@ -88,11 +94,22 @@ def _sums(flags: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(flags, dtype=np.int64)]
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: the code of its own features, and the flags of its neighbours and its file as bits."""
+def word_codes(w: Words) -> np.ndarray:
+    """Of each word: the bucket of its letters and digits, lower-cased, without the other characters around them; 0 where there are none."""
+    solid = np.flatnonzero(_LETTERS[w.data])
+    if not len(solid):
+        return np.zeros(len(w.start), np.int64)
+    i, j = np.searchsorted(solid, w.start), np.searchsorted(solid, w.end) - 1
+    some = j >= i
+    a, b = solid[np.minimum(i, len(solid) - 1)], solid[np.maximum(j, 0)] + 1
+    return np.where(some, 1 + (w.spans(np.where(some, a, 0), np.where(some, b, 0), lower=True) % np.uint64(_WORDS - 1)).astype(np.int64), 0)
+
+
+def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: the code of its own features, the flags of its neighbours and its file as bits, and the codes of neighbouring words."""
     data, s, e, n = w.data, w.start, w.end, len(w.start)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(_PLACES)), np.int64)
     size = e - s
     digit, upper, lower = _DIGIT[data], _UPPER[data], _LOWER[data]
     digits, uppers, lowers = (x[e] - x[s] for x in map(_sums, (digit, upper, lower)))
@@ -128,7 +145,12 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     near = np.zeros(n, np.int64)
     for flag in (before(key), before(ends_joint), two, before(before(ends_joint)), after(ends_joint), after(odd), has_key[of], dense[of]):
         near = near * 2 + flag
-    return own, near
+    code, at, beside = word_codes(w), np.arange(n), np.zeros((n, len(_PLACES)), np.int64)
+    for k, step in enumerate(_PLACES):
+        j = at + step
+        ok = (j >= w.first[:-1][of]) & (j < w.first[1:][of])
+        beside[ok, k] = code[j[ok]]
+    return own, near, beside
 
 
 class Field:
@@ -137,6 +159,7 @@ class Field:
     def __init__(self):
         self.groups = [np.zeros((k, 3)) for k in _OWN]
         self.flags = np.zeros((_NEAR, 3))
+        self.words = np.zeros((len(_PLACES), _WORDS, 3))
         self.bias = np.zeros(3)
         self.trans = np.zeros((3, 3))
 
@@ -152,7 +175,7 @@ class Field:
         parts, bits = self.unpack(np.arange(np.prod(_OWN)), np.arange(1 << _NEAR))
         return self.bias + sum(g[p] for g, p in zip(self.groups, parts)), bits @ self.flags
 
-    def fit(self, own, near, tags, mask, rounds: int = 100, rate: float = 0.2, decay: float = 1e-4) -> Field:
+    def fit(self, own, near, beside, tags, mask, rounds: int = 80, rate: float = 0.2, decay: float = 1e-4) -> Field:
         """Gradient ascent (Adam) on the mean log-likelihood of padded sequences (rows by positions); forward and
         backward sums are kept as probabilities, scaled at each position."""
         rows, width = own.shape
@@ -162,9 +185,11 @@ class Field:
         gold_trans = np.einsum("rti,rtj->ij", gold[:, :-1], gold[:, 1:])
         on = mask[..., None] > 0
         weights = np.zeros((hot.shape[1], 3))
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, self.trans)]
+        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, self.trans, self.words)]
+        beside = beside.reshape(-1, len(_PLACES)).T
         for step in range(1, rounds + 1):
-            score = np.exp(hot @ weights.astype(np.float32)).astype(float).reshape(rows, width, 3)
+            score = hot @ weights.astype(np.float32) + sum(words[code] for words, code in zip(self.words, beside))
+            score = np.exp(score.astype(float)).reshape(rows, width, 3)
             ways = np.exp(self.trans)
             alpha, beta = np.empty((rows, width, 3)), np.ones((rows, width, 3))
             alpha[:, 0] = score[:, 0] / score[:, 0].sum(1, keepdims=True)
@@ -178,7 +203,9 @@ class Field:
             off = gold - one / one.sum(2, keepdims=True) * mask[..., None]
             two = alpha[:, :-1, :, None] * ways * (score * beta)[:, 1:, None, :]
             two = (two / two.sum((2, 3), keepdims=True) * mask[:, 1:, None, None]).sum((0, 1))
-            for p, g, (m, v) in zip((weights, self.trans), (hot.T @ off.reshape(-1, 3).astype(np.float32), gold_trans - two), moments):
+            flat = off.reshape(-1, 3)
+            words = np.stack([np.stack([np.bincount(code, weights=flat[:, k], minlength=_WORDS) for k in range(3)], 1) for code in beside])
+            for p, g, (m, v) in zip((weights, self.trans, self.words), (hot.T @ flat.astype(np.float32), gold_trans - two, words), moments):
                 g = g / rows - decay * p
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -227,58 +254,67 @@ class Field:
             tag = came[row, t, tag]
 
 
-def generated_lines(seed: int = 7, n: int = 1200) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Lines with the character spans of secrets, from a fixed generator: assignments, spoken hints, keys, and lines without any."""
+#: Forms of lines with a secret for training, and others that only tests use. {v} is the secret, {k} a random key of letters and digits, {u} a name.
+FORMS = (
+    "the password is {v}", "password for {u} is {v}", "my passphrase is {v}", "log in as {u} with {v}", "passcode {v}", "pin code {v}", "credentials: {u} / {v}", "user {u} pass {v}",
+    "--password {v}", "--token {v}", "-p {v}", "mysql -u {u} -p{v}", "export DB_PASS {v}", "pwd: {v}", "pwd={v}", "pass = {v}", "credential: {v}", "private_key: {v}", "client key {v}",
+    "Authorization: Bearer {v}", "Authorization: Basic {v}", "Bearer {v}", "X-Auth: {v}", "Cookie: session={v}", "postgres://{u}:{v}@db.{u}.net/main", "https://{u}:{v}@git.{u}.org/{u}.git",
+    "ghp_{k}", "sk_live_{k}", "xoxb-{k}", "key-{k}", "eyJ{k}.{k}.{k}", "ssh-rsa AAAAB3{k}{k}", "signing key {v}", "secret -> {v}", "password => {v}", "shared secret {v}",
+)
+#: Lines that look alike and hold none.
+PLAIN_FORMS = (
+    "the password is wrong", "the password is required", "password for {u} was reset", "forgot your password ?", "a token of {u}", "the secret of {u}", "Bearer of the ring", "--verbose {u}",
+    "-p 8080", "{n}", "{d}", "{u}@{u}.com", "{u}.{n}@{u}{n}.{u}.com", "{u}{n}@{u}.org", "{u}_{u}@{u}{n}.net", "http://{u}.com/{u}/{n}", "+{n} {n}", "{n}.{n}.{n}.{n}", "v{n}.{n}", "order {n}", "isbn {n}-{n}-{n}", "key {u}", "pass the {u}", "user {u}", "log in as {u}",
+    "authorization {u}", "commit message", "###{u}", "{u}: {u}", "room {n}b", "model {U}{n}", "session {u}", "export {u}", "client {u}", "credentials of {u}", "pin {u}", "{d} {n}:{n}",
+)
+TEST_FORMS = (
+    "passwort lautet {v}", "unlock with {v}", "--api-token {v}", "the new password will be {v}", "Proxy-Authorization: Bearer {v}", "amqp://{u}:{v}@queue.{u}.io", "glpat-{k}", "pk_live_{k}",
+    "db password -> {v}", "wifi passphrase : {v}", "use token {v}", "login {u} password {v}", "set secret {v}", "SESSION_KEY {v}",
+)
+
+
+def generated_lines(forms: tuple[str, ...] = FORMS, seed: int = 7, n: int = 2000, filler: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Lines with the character spans of secrets, from a fixed generator: every second one holds a secret in one of the forms, among filler words."""
     r = random.Random(seed)
-    plain = lambda: "".join(r.choice(("th", "er", "on", "an", "in", "de", "que", "sch", "ó", "é", "ti", "la", "um")) for _ in range(r.randint(1, 4))) + r.choice(("", "", "", ".", ","))
-    value = lambda k: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(k))
-    kinds = [
-        lambda: (f"{r.choice(('password', 'passwd', 'token', 'secret', 'api_key', 'apikey'))}{r.choice(('=', ': ', ' = ', ':'))}{value(r.randint(8, 40))}"),
-        lambda: f'{r.choice(("secret", "token", "password"))} = "{value(r.randint(8, 40))}"',
-        lambda: "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16)),
-        lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40, 64)))),
-        lambda: f"{r.choice(('pwd', 'private_key', 'credential'))}: {value(r.randint(12, 32))}",
-        lambda: f"Bearer {value(r.randint(20, 40))}.{value(r.randint(10, 30))}",
-    ]
-    near = [
-        lambda: str(r.randint(1, 99999)), lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/20{r.randint(10, 29)}", lambda: f"{plain()}@{plain().strip('.,')}.com",
-        lambda: f"http://{plain().strip('.,')}.example.com/{plain().strip('.,')}/{r.randint(1, 999)}", lambda: f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(1000000, 9999999)}",
-        lambda: f"{r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", lambda: f"{plain().upper()}{r.randint(1, 99)}", lambda: "the secret: " + plain(),
-        lambda: f"a token {plain()}", lambda: f"{plain()}: {plain()}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: "###" + plain(), lambda: "password " + plain(),
-    ]
+    made = lambda: "".join(r.choice(("th", "er", "on", "an", "in", "de", "que", "sch", "ó", "é", "ti", "la", "um")) for _ in range(r.randint(1, 4)))
+    plain = lambda: r.choice(filler) if filler and r.random() < 0.7 else made() + r.choice(("", "", "", ".", ","))
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    mixed = string.ascii_letters + string.digits
+    values = (
+        lambda: pick(mixed, r.randint(8, 40)), lambda: pick(mixed + "!#$%&*+-_@?", r.randint(8, 24)), lambda: pick(string.ascii_lowercase + string.digits, r.randint(8, 32)),
+        lambda: pick("0123456789ABCDEF", r.choice((16, 32, 40))), lambda: made() + made() + pick(string.digits, 3) + r.choice("!?#$"), lambda: pick(mixed + "+/", r.randint(20, 43)) + "=",
+        lambda: "-".join(pick(mixed, 5) for _ in range(4)),
+    )
     out = []
     for k in range(n):
         line, spans = " ".join(plain() for _ in range(r.randint(0, 12))), []
-        for _ in range(r.randint(0, 2)):
-            line += " " + r.choice(near)()
-        if k % 2:
-            found = r.choice(kinds)()
-            line += " "
-            spans.append((len(line), len(line) + len(found)))
-            line += found
-        line += " " + " ".join(plain() for _ in range(r.randint(0, 10)))
+        parts = [r.choice(PLAIN_FORMS) for _ in range(r.randint(0, 2))] + ([r.choice(forms)] if k % 2 else [])
+        for part in parts:
+            line += " " * bool(line)
+            start = len(line)
+            value = None
+            for x in re.split(r"(\{\w\})", part):
+                if x == "{v}":
+                    value = r.choice(values)()
+                    x = r.choice((value, value, value, f'"{value}"'))
+                elif x == "{k}":
+                    x = pick(mixed, r.randint(16, 36))
+                    value = part
+                else:
+                    x = {"{u}": made, "{U}": lambda: made().upper(), "{n}": lambda: str(r.randint(1, 99999)), "{d}": lambda: f"20{r.randint(10, 29)}-{r.randint(1, 12)}-{r.randint(1, 28)}"}.get(x, lambda: x)()  # noqa: B023
+                line += x
+            if value is not None:
+                # the secret is the last word of its form
+                spans.append((max(start, line.rfind(" ") + 1), len(line)))
+        line += "".join(" " + plain() for _ in range(r.randint(0, 10)))
         out.append((line, spans))
     return out
 
 
-def train(samples: list[str], width: int = 40) -> Field:
-    """A field fitted to generated lines and to the lines of sample texts, tagged by the base patterns."""
-    made = generated_lines()
-    lines = [x for x, _ in made]
-    spans = [[(len(x[:a].encode()), len(x[:b].encode())) for a, b in found] for x, found in made]
-    for text in samples:
-        rows = [x for x in text.split("\n") if x]
-        w = Words(pa.array(rows, pa.string()))
-        hits: dict[int, list] = {}
-        for t, _, a, b in base_spans(w):
-            hits.setdefault(t, []).append((a, b))
-        plain = [k for k in range(len(rows)) if k not in hits][:2]  # two lines of each text show what is outside
-        for k in [*hits, *plain]:
-            lines.append(rows[k])
-            spans.append(hits.get(k, []))
+def labelled(lines: list[str], spans: list[list[tuple[int, int]]]) -> tuple[Words, np.ndarray]:
+    """The words of lines and their tags; spans are in bytes of their line."""
     w = Words(pa.array(lines, pa.string()))
-    own, near = features(w)
-    tag = np.zeros(len(own), np.int64)
+    tag = np.zeros(len(w.start), np.int64)
     for k, found in enumerate(spans):
         lo, hi = w.first[k], w.first[k + 1]
         s, e = w.start[lo:hi] - w.offsets[k], w.end[lo:hi] - w.offsets[k]
@@ -286,6 +322,22 @@ def train(samples: list[str], width: int = 40) -> Field:
             at = lo + np.flatnonzero((s < b) & (e > a))
             tag[at] = I
             tag[at[:1]] = B
+    return w, tag
+
+
+def in_bytes(line: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(len(line[:a].encode()), len(line[:b].encode())) for a, b in spans]
+
+
+def train(samples: list[str], width: int = 24, most_lines: int = 1500) -> Field:
+    """A field fitted to generated lines, with words of the sample texts as filler, and to sample lines in which no base pattern matches."""
+    rows = [x for text in samples for x in text.split("\n") if x.strip()]
+    hit = {t for t, *_ in base_spans(Words(pa.array(rows, pa.string())))}
+    clean = [x for k, x in enumerate(rows) if k not in hit]
+    clean = clean[:: max(1, len(clean) // most_lines)]
+    made = generated_lines(filler=tuple(x for line in clean[:500] for x in line.split()[:40]))
+    w, tag = labelled([x for x, _ in made] + clean, [in_bytes(*x) for x in made] + [[]] * len(clean))
+    own, near, beside = features(w)
     # sequences of at most `width` words; in longer lines the stretch around a secret, else the start
     begin = [max(0, int(np.argmax(tag[lo:hi] > 0)) - width // 2) if hi - lo > width else 0 for lo, hi in zip(w.first, w.first[1:])]
     first = w.first[:-1] + np.array(begin)
@@ -293,24 +345,36 @@ def train(samples: list[str], width: int = 40) -> Field:
     first, size = first[size > 0], size[size > 0]
     at = np.minimum(first[:, None] + np.arange(width), len(own) - 1)
     mask = (np.arange(width) < size[:, None]).astype(float)
-    return Field().fit(own[at], near[at], tag[at], mask)
+    return Field().fit(own[at], near[at], beside[at], tag[at], mask)
 
 
 def sample_texts(docs: DataFrame, sample_docs: int = 1000, sample_chars: int = 20_000) -> list[str]:
-    """Training texts: of the documents of at most sample_chars characters, the sample_docs of least hash."""
-    rows = docs.where(F.length("text") <= sample_chars).select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    # the threshold first, so that tasks send their least hashes and not the texts
-    least = rows.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    return sorted(r.text for r in rows.where(F.col("h") <= F.lit(least)).collect()) if least is not None else []
+    """Training texts: of the sample_docs documents of least id hash those of at most sample_chars characters; of repeated ids one text."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(least_ids(docs, sample_docs)), "doc_id", "left_semi")
+    return sorted(r.text for r in rows.where(F.length("text") <= sample_chars).groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+
 
+def disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover together."""
+    starts, ends = [], []
+    for a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
-def uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of a to b that no span covers."""
+
+def uncovered(a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The stretches of a to b outside disjoint ones."""
     out = []
-    for x, y in sorted(s for s in spans if s[0] < b and a < s[1]):
-        if a < x:
-            out.append((a, x))
-        a = max(a, y)
+    for k in range(bisect.bisect_right(ends, a), len(starts)):
+        if starts[k] >= b:
+            break
+        if a < starts[k]:
+            out.append((a, starts[k]))
+        a = ends[k]
     return [*out, (a, b)] if a < b else out
 
 
@@ -319,14 +383,19 @@ class Scanner:
         self.field = field
         self.own, self.near = field.tables()
 
+    def tags(self, w: Words) -> np.ndarray:
+        own, near, beside = features(w)
+        first = np.zeros(len(own), bool)
+        first[w.first[:-1][w.count > 0]] = True
+        return self.field.decode(self.own[own] + self.near[near] + sum(words[code] for words, code in zip(self.field.words, beside.T)), first)
+
     def spans(self, w: Words) -> list[list[tuple[int, int, int]]]:
         """Of each text, (kind, start, end) in code points, in order; what the field adds is clipped, so that it overlaps no base span."""
         found = base_spans(w)
-        own, near = features(w)
-        if len(own):
-            first = np.zeros(len(own), bool)
+        if len(w.start):
+            tags = self.tags(w)
+            first = np.zeros(len(tags), bool)
             first[w.first[:-1][w.count > 0]] = True
-            tags = self.field.decode(self.own[own] + self.near[near], first)
             begin = np.flatnonzero((tags > 0) & ((tags == B) | first | (np.r_[0, tags[:-1]] == 0)))
             if len(begin):
                 stops = np.flatnonzero(np.r_[(tags[1:] != I) | first[1:], True]) + 1
@@ -335,12 +404,13 @@ class Scanner:
                 taken: dict[int, list[tuple[int, int]]] = {}
                 for t, _, a, b in found:
                     taken.setdefault(t, []).append((a, b))
+                covered = {t: disjoint(x) for t, x in taken.items()}
                 for i, j in zip(begin, end):
                     t = int(text[i])
                     a, b = int(w.start[i] - w.offsets[t]), int(w.end[j - 1] - w.offsets[t])
-                    # a quote mark at an end of the secret isn't part of it
-                    for x, y in uncovered(a, b, taken.get(t, [])):
-                        if w.data[w.offsets[t] + x : w.offsets[t] + y].tobytes().strip(b"\"' \t\n\v\f\r"):
+                    # what a base span leaves counts only where it isn't mere punctuation
+                    for x, y in uncovered(a, b, *covered.get(t, ([], []))):
+                        if _LETTERS[w.data[w.offsets[t] + x : w.offsets[t] + y]].any():
                             found.append((t, 3, x, y))
         out: list[list[tuple[int, int, int]]] = [[] for _ in w.count]
         if found:
