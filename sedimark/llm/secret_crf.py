@@ -4,8 +4,8 @@ The field tags every word as secret begin, inside or outside from its shape, the
 (document), decoded by Viterbi. It is trained here, by gradient ascent on the log-likelihood, on generated lines whose secrets
 are known by construction: forms that the base patterns miss (spoken hints, command-line options, headers, addresses with
 credentials, prefixed keys, marks other than : and =) among filler words taken from the corpus, with lines that look alike
-but hold none. Lines of the corpus in which no base pattern matches join as lines without secrets; lines in which one does take no
-part, so the field isn't taught the patterns. The sample of the corpus (at most `sample_docs` documents, those of least id hash, of
+but hold none. Plain lines of the corpus join as lines without secrets; lines in which a base pattern matches, or that might hold another
+secret (a telling word, or letters and digits mixed in a long word that is no address), take no part, so the field is taught neither the patterns nor mistakes. The sample of the corpus (at most `sample_docs` documents, those of least id hash, of
 `sample_chars` characters at most) bounds what reaches the driver; every text is scanned whole.
 
 Decoding is exact but cheap: a word whose score for outside leads by more than twice the range of the
@@ -329,11 +329,14 @@ def in_bytes(line: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(len(line[:a].encode()), len(line[:b].encode())) for a, b in spans]
 
 
+_DOUBTFUL = re.compile(r"(?i:pass|pwd|secret|token|key|bearer|auth|credential)|(?<!\S)(?=\S*[0-9])(?=\S*[A-Za-z])[^\s@]{10,}(?!\S)")
+
+
 def train(samples: list[str], width: int = 24, most_lines: int = 1500) -> Field:
     """A field fitted to generated lines, with words of the sample texts as filler, and to sample lines in which no base pattern matches."""
     rows = [x for text in samples for x in text.split("\n") if x.strip()]
     hit = {t for t, *_ in base_spans(Words(pa.array(rows, pa.string())))}
-    clean = [x for k, x in enumerate(rows) if k not in hit]
+    clean = [x for k, x in enumerate(rows) if k not in hit and not _DOUBTFUL.search(x)]
     clean = clean[:: max(1, len(clean) // most_lines)]
     made = generated_lines(filler=tuple(x for line in clean[:500] for x in line.split()[:40]))
     w, tag = labelled([x for x, _ in made] + clean, [in_bytes(*x) for x in made] + [[]] * len(clean))

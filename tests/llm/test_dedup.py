@@ -235,6 +235,17 @@ def test_itq_groups(spark):
     assert all(got[i].n_links == k and got[i].component_id == component[i] and got[i].kept == (component[i] == i) for (i, *_), k in zip(rows, n))
 
 
+def test_itq_repeated_ids_and_large_numbers(spark):
+    """Rows with one id are vectors of their own; squares of components may exceed a double."""
+    r = np.random.default_rng(9)
+    a, b = r.standard_normal(32), r.standard_normal(32)
+    near = (a + 0.01 * r.standard_normal(32)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, (a * 1.01 + 0.001).tolist()), (3, near), (3, near), (4, (1e200 * r.standard_normal(32)).tolist()), (5, [2.0, 1.0]), (6, [2.0, 1.1])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in itq_dedup.near_groups(df).collect())
+    assert got == sorted([(1, 3, 1, True), (1, 0, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)])
+
+
 def test_itq_crowded_places_and_blocks(spark):
     r = np.random.default_rng(5)
     base = r.standard_normal(64)

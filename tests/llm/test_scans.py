@@ -62,7 +62,28 @@ def test_quality_depletion(spark):
     assert {x.kept for x in quality_lines.scores(frame(spark, rows)).collect()} == {False}
 
 
-def test_quality_exact_copies_are_one_text(spark):
+def test_quality_small_host_and_repeated_ids(spark):
+    """A host of ten documents: the line in six of them goes, one in five stays; a repeated id counts as one document."""
+    r = random.Random(3)
+    some = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    rows = [(k, "\n".join([some(40), some(40), *(["six of ten here"] if k < 6 else []), *(["five of ten here"] if k < 5 else [])]), "h") for k in range(10)]
+    rows += [(9, f"{some(60)}\nfive of ten here", "h") if k else (0, rows[0][1], "h") for k in range(2)]
+    rows += [(0, rows[0][1], "h"), (20, "six of ten here\n" + some(60), "other")]
+    got = [(x.doc_id, x.n_template_words, x.kept) for x in quality_lines.scores(frame(spark, rows)).collect()]
+    both = lambda k, t: 4 * ("six of" in t) + 4 * ("five of" in t)
+    assert Counter(got) == Counter((i, both(i, t) if s == "h" else 0, True) for i, t, s in rows)
+
+
+def test_quality_stage_carries_any_column(spark):
+    rows = [(k, "\n".join(["menu of the whole site", " ".join(f"w{k}_{j}" for j in range(60))]), "h", {"a": k}, "x", "y") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, of map<string, int>, gone string, `Kept` string")
+    out = quality_lines.cleaned(docs)
+    assert out.columns == docs.columns
+    assert {(x.doc_id, x.of["a"], x.gone, x.Kept, "menu" in x.text) for x in out.collect()} == {(k, k, "x", "y", False) for k in range(8)}
+    assert quality_lines.cleaned(docs.limit(0)).count() == 0
+
+
+def test_quality_exact_copies_are_no_templates(spark):
     text = "\n".join(" ".join(f"w{j}_{k}" for k in range(20)) for j in range(5))
     rows = [(k, text, "h") for k in range(200)]
     assert {x.kept for x in quality_lines.scores(frame(spark, rows)).collect()} == {True}
@@ -103,6 +124,14 @@ def plain_spans(text):
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
+def test_mixing_stage_carries_any_column(spark):
+    rows = [(k, "a b c d", ("x", "y", None)[k % 3], {"a": k}, "p", 1) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, of map<string, int>, __s string, copies int")
+    out = source_mixing.taken(docs)
+    assert out.columns == docs.columns and all(x.of["a"] == x.doc_id for x in out.collect())
+    assert source_mixing.taken(docs.limit(0)).count() == 0 and secret_crf.redacted(docs.limit(0)).count() == 0
+
+
 def secret_rows():
     key = "AKIA" + "B" * 16
     return [
@@ -145,7 +174,8 @@ def test_secret_rest_of_a_base_span():
     found = scanner.spans(Words(pa.array(texts)))
     assert [secret_crf.redact(t, x) for t, x in zip(texts, found)] == ["config [SECRET] and more text", "[SECRET] next", 'é [SECRET]" rest']
     assert [[k for k, _, _ in x] for x in found] == [[0, 3], [0, 3], [0]]
-    assert secret_crf.uncovered(0, 10, [(2, 4), (3, 6), (20, 30)]) == [(0, 2), (6, 10)] and secret_crf.uncovered(3, 5, [(2, 6)]) == []
+    spans = secret_crf.disjoint([(2, 4), (3, 6), (20, 30)])
+    assert spans == ([2, 20], [6, 30]) and secret_crf.uncovered(0, 10, *spans) == [(0, 2), (6, 10)] and secret_crf.uncovered(3, 5, *spans) == []
 
 
 def test_viterbi_is_exact():
@@ -172,15 +202,14 @@ def test_viterbi_is_exact():
 
 
 def test_field_held_out():
-    lines = secret_crf.generated_lines(seed=99, n=400)
-    scanner = secret_crf.Scanner(secret_crf.train([]))
-    hit = miss = false = 0
-    for (text, want), found in zip(lines, scanner.spans(Words(pa.array([x for x, _ in lines])))):
-        for a, b in want:
-            ok = any(x < b and a < y for _, x, y in found)
-            hit, miss = hit + ok, miss + (not ok)
-        false += sum(k == 3 and not any(x < b and a < y for a, b in want) for k, x, y in found)
-    assert hit / (hit + miss) > 0.95 and false < 0.05 * (hit + miss)
+    """What the field adds on forms of lines that it wasn't trained on and the base patterns miss."""
+    made = secret_crf.generated_lines(secret_crf.TEST_FORMS, seed=99, n=1000)
+    w, tag = secret_crf.labelled([x for x, _ in made], [secret_crf.in_bytes(*x) for x in made])
+    assert not set(secret_crf.FORMS) & set(secret_crf.TEST_FORMS)
+    assert len({t for t, *_ in secret_crf.base_spans(w)}) < 0.1 * len(made)
+    got = secret_crf.Scanner(secret_crf.train([])).tags(w)
+    hit = ((tag > 0) & (got > 0)).sum()
+    assert hit >= 0.8 * (tag > 0).sum() and hit >= 0.9 * (got > 0).sum()
 
 
 def test_license_rules(spark):
