@@ -2,8 +2,8 @@
 
 Texts are split by the tokenizer's pattern. The distinct matches of a batch are bucketed by length into padded
 matrices of token ids; every round each row merges its leftmost pair of minimum rank, found in a hashed pair
-table, and rows close up; finished rows leave the matrix. Matches longer than `LONG` bytes are rows of their own that merge all
-leftmost occurrences of the minimum pair in a round (one only, if that would create a lower rank), which gives the same ids.
+table, and rows close up; finished rows leave the matrix. Matches longer than `LONG` bytes, for which a matrix would cost the square of their
+length, are linked lists with a heap of pairs by rank and place: the same merges in the same order, in n log n steps.
 Decoding gathers the bytes of each id. Every text is a row of its own from start to end: no shuffle, nothing collected, and memory follows the
 batch (about 1 MB of text) or the longest single text.
 
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,7 @@ class Codec:
         tokens = [b""] * n
         for token, rank in self.ranks.items():
             tokens[rank] = token
+        self.tokens = tokens
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs, merged = [], []
         for token, rank in self.ranks.items():
@@ -157,26 +160,31 @@ class Codec:
         return out
 
     def _long(self, ids: np.ndarray) -> np.ndarray:
-        """Merges one long row."""
-        rank = self.table(ids[:-1], ids[1:])
-        while len(rank):
-            low = rank.min()
-            if low == NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            # leftmost occurrences that don't overlap: every second one of a run of neighbours
-            run = np.r_[True, np.diff(at) > 1]
-            start = np.flatnonzero(run)
-            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))) % 2 == 0]
-            for take in (at, at[:1]):
-                new = ids.copy()
-                new[take] = low
-                new = np.delete(new, take + 1)
-                fresh = self.table(new[:-1], new[1:])
-                if len(take) == 1 or not len(fresh) or fresh.min() >= low:
-                    break
-            ids, rank = new, fresh
-        return ids
+        """Merges one long row: the leftmost pair of minimum rank is the least of a heap of rank and place."""
+        n, none = len(ids), int(NONE)
+        rank = array("i", self.table(ids[:-1], ids[1:]).tolist() + [none])
+        heap = [(r << 40) | i for i, r in enumerate(rank) if r != none]
+        heapq.heapify(heap)
+        ids = array("i", ids.tolist())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        tokens, ranks = self.tokens, self.ranks
+        while heap:
+            top = heapq.heappop(heap)
+            i, r = top & ((1 << 40) - 1), top >> 40
+            if ids[i] < 0 or rank[i] != r:
+                continue  # merged meanwhile
+            j = after[i]
+            ids[i], ids[j] = r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((i, k), (before[i], i)):
+                if left >= 0:
+                    rank[left] = new = none if right >= n else ranks.get(tokens[ids[left]] + tokens[ids[right]], none)
+                    if new != none:
+                        heapq.heappush(heap, (new << 40) | left)
+        ids = np.frombuffer(ids, np.int32)
+        return ids[ids >= 0].copy()
 
     def _learn(self, matches: list[str]) -> None:
         """Adds distinct matches that aren't known."""

@@ -23,8 +23,8 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 _MULT = U(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
-_INV = pow(_BASE, -1, 1 << 64)
+#: Bases of two independent hashes; odd, so they have inverses modulo 2**64.
+_BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,18 +39,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * _MULT)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_POWERS: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least n of each."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(size, U(base))
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse, at least n of each."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            p = np.full(max(n, 1 << 16), U(base))
             p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=U)
-    return _POWERS[0], _POWERS[1]
+            made.append(np.cumprod(p, dtype=U))
+        _POWERS[which] = made[0], made[1]
+    return _POWERS[which]
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +87,22 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         self.lower = lower
-        self._sums: dict[bool, np.ndarray] = {}
+        self._sums: dict[tuple[bool, int], np.ndarray] = {}
         self._hash: np.ndarray | None = None
 
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """Hashes of byte ranges."""
+    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False, which: int = 0) -> np.ndarray:
+        """Hashes of byte ranges; `which` picks one of two independent ones."""
         n = len(self.data)
-        power, inverse = _powers(n + 1)
-        if lower not in self._sums:
-            sums = self._sums[lower] = np.empty(n + 1, U)
+        power, inverse = _powers(n + 1, which)
+        if (lower, which) not in self._sums:
+            sums = self._sums[lower, which] = np.empty(n + 1, U)
             sums[0] = 0
             np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[:n], out=sums[1:])
-        sums = self._sums[lower]
+        sums = self._sums[lower, which]
         return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
 
     @property
@@ -110,9 +111,9 @@ class Words:
             self._hash = self.spans(self.start, self.end, self.lower)
         return self._hash
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words at each word where they fit in the text, and those words' indices."""
-        w, n = self.hash, len(self.start) - k + 1
+        w, n = self.spans(self.start, self.end, self.lower, which) if which else self.hash, len(self.start) - k + 1
         if n <= 0:
             return np.zeros(0, U), np.zeros(0, np.int64)
         h = w[:n].copy()

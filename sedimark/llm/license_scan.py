@@ -1,14 +1,17 @@
 """License scans in DataFrame functions only.
 
-Every text is cut into segments (lines, and sentences within them). Segments that hold a trigger phrase are compared with
-licence templates by the cosine of sparse TF-IDF vectors; a term no template has counts with the weight of a term in none. A
-file's own licence is that of its best segment with a cosine of `LEAST` or more (ties: the lesser name). A file of which licence
-segments make up `FILE_SHARE` of the words or more is its directory's licence file. A file without a licence
-of its own gets that of the nearest directory at or above it that has a licence file (several: the largest share, then the least
-licence and path).
-
-Comparing needs no shuffle: it is an expression of the row. Directories are resolved on their distinct paths: licence files by directory,
-joined to each directory's ancestors, the deepest taken; that small table is joined to the files, where adaptive execution
+Every file is compared with licence templates by the cosine of sparse TF-IDF vectors, in three kinds of units: its whole text, its header (the
+lines before the first blank one, at most `HEADER_LINES`) and each of its segments (lines, and sentences within them). Templates are short notices, standard headers and whole licence
+texts. Frequent English words are left out everywhere, and terms that no template has count one by one. A file's own licence is that of its best unit with a cosine of
+`LEAST` or more (ties: the lesser name). A file of which licence segments make up `FILE_SHARE` of the words or more, or whose
+whole text is a licence, is its directory's licence file. A file without a licence of its own gets that of the
+nearest directory at or above it that has a licence file (several: the largest share, then the least licence and path).
+
+Two bounds save work and lose nothing: a unit within reach of a template holds one of the template's heaviest terms (the others together can't
+make up the cosine), and the terms it shares with all templates weigh enough against its other terms.
+
+Comparing needs no shuffle: it is an expression of the row, and its small result is written once. Directories are resolved on their distinct paths: licence
+files by directory, joined to each directory's ancestors, the deepest taken; that small table is joined to the files, where adaptive execution
 may split a directory that holds a large part of all rows.
 
 Defined results: null text counts as empty; null parts of a path are left out, and a file without directories is in the root ''; rows that
@@ -23,33 +26,66 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, FILE_SHARE = 0.6, 0.15
+from .common import written
 
-#: Phrases that mark a licence segment, and short notices by licence (SPDX names).
-TRIGGERS = ("licen", "copyright", "spdx", "public domain", "permission is hereby granted", "redistribution and use")
+LEAST, FILE_SHARE, HEADER_LINES = 0.6, 0.15, 25
+
+#: Short notices, standard headers and whole texts by licence (SPDX names).
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_WAIVER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details. You should have received a copy of the GNU {name} General Public License along with this program."
 TEMPLATES = (
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. SPDX-License-Identifier: 0BSD"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format(name="Affero", n=3)),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_WAIVER}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_WAIVER}"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format(name="", n=2)),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", _GNU.format(name="", n=3)),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _GNU.format(name="Lesser", n=3)),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
 )
+#: Words that say nothing about a licence.
+STOP = frozenset("a all an and any are as at be but by can do for from has have if in into is it its more no not of on one only or other out see shall should so such that the these this to use used was way which will with you your".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _terms(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOP]
 
 
 def idf() -> tuple[dict[str, float], float]:
@@ -72,25 +108,49 @@ def template_vectors() -> list[tuple[str, dict[str, float]]]:
     return out
 
 
+def key_terms() -> list[str]:
+    """Terms of which any text with a cosine of LEAST to some template has one: without these terms of a template, what is left of it weighs less.
+
+    Numbers and short terms, which stand in any text, are taken last.
+    """
+    out: set[str] = set()
+    for _, vector in template_vectors():
+        rest = 1.0
+        for term, w in sorted(vector.items(), key=lambda x: (len(x[0]) < 3 or x[0].isdigit(), -x[1], x[0])):
+            if rest < LEAST**2 - 1e-9:
+                break
+            out.add(term)
+            rest -= w * w
+    return sorted(out)
+
+
 def _map(values: dict[str, float]) -> str:
     return "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in values.items()) + ")"
 
 
-def _segment_matches() -> str:
-    """SQL: from lower-case text `low`, the licence segments as structs (score, name, n_words)."""
+def _matches(units: str) -> str:
+    """SQL: from an array of units (kind, s), those that match a template as structs (kind, n, best (score, name)); scores are rounded and negated."""
     known, other = idf()
+    listed = lambda terms: ", ".join(f"'{t}'" for t in terms)
     scores = ", ".join(
-        f"named_struct('score', aggregate(v, 0D, (a, x) -> a + x.w * coalesce(element_at({_map(vector)}, x.t), 0D)), 'name', '{name}')" for name, vector in template_vectors()
+        f"named_struct('score', -round(aggregate(g.v, 0D, (a, x) -> a + x.w * coalesce(element_at({_map(vector)}, x.t), 0D)) / g.norm, 6), 'name', '{name}')" for name, vector in template_vectors()
     )
-    trigger = " or ".join(f"contains(s, '{t}')" for t in TRIGGERS)
     return f"""
-      transform(
+      filter(
         transform(
-          transform(
-            filter(split(regexp_replace(low, '([.!?])[ \\\\t]+', '$1\\n'), '\\n'), s -> {trigger}),
-            s -> regexp_extract_all(s, '[a-z0-9]+', 0)),
-          t -> named_struct('n', size(t), 'v', transform(array_sort(array_distinct(t)), x -> named_struct('t', x, 'w', size(filter(t, y -> y = x)) * coalesce(element_at({_map(known)}, x), {other!r}D))))),
-        g -> named_struct('n', g.n, 'norm', sqrt(aggregate(g.v, 0D, (a, x) -> a + x.w * x.w)), 'all', transform(array(g.v), v -> array({scores}))[0]))
+          filter(
+            transform(
+              transform(
+                filter(
+                  {units},
+                  u -> arrays_overlap(u.t, array({listed(key_terms())}))),
+                u -> named_struct('kind', u.kind, 'n', size(filter(u.t, y -> y <> '')), 'm', size(filter(u.t, y -> y not in ({listed(['', *sorted(STOP)])}))), 't', filter(u.t, y -> y in ({listed(known)})))),
+              u -> named_struct('kind', u.kind, 'n', u.n, 'm', u.m, 'v', transform(array_sort(array_distinct(u.t)),
+                x -> named_struct('t', x, 'c', size(filter(u.t, y -> y = x)), 'w', size(filter(u.t, y -> y = x)) * element_at({_map(known)}, x))))),
+            u -> aggregate(u.v, 0D, (a, x) -> a + x.w * x.w) >= {LEAST**2 - 1e-5} * (aggregate(u.v, 0D, (a, x) -> a + x.w * x.w) + (u.m - aggregate(u.v, 0, (a, x) -> a + x.c)) * {other * other!r}D)),
+          u -> transform(array(named_struct('v', u.v, 'norm', sqrt(aggregate(u.v, 0D, (a, x) -> a + x.w * x.w) + (u.m - aggregate(u.v, 0, (a, x) -> a + x.c)) * {other * other!r}D))),
+            g -> named_struct('kind', u.kind, 'n', u.n, 'best', array_min(array({scores}))))[0]),
+        m -> m.best.score <= -{LEAST})
     """
 
 
@@ -104,16 +164,17 @@ def notices(files: DataFrame) -> DataFrame:
     low = files.select(
         "doc_id", "dir", F.coalesce(F.translate(F.col("text").cast("string"), _UPPER, _LOWER), F.lit("")).alias("low"),
     ).withColumn("n_words", F.regexp_count("low", F.lit("[^ \\t-\\r]+")).cast("long"))
-    any_trigger = " or ".join(f"contains(low, '{t}')" for t in TRIGGERS)
-    # ties of scores go to the lesser name: scores are rounded, then ordered with the name
-    best = """transform(found, g -> named_struct('n', g.n, 'best', array_sort(transform(g.all, x -> named_struct('score', -round(x.score / g.norm, 6), 'name', x.name)))[0]))"""
+    cut = lambda text: f"split({text}, '[^a-z0-9]+')"
+    header = "array_join(slice(split(split(low, '\\n[ \\t]*\\n', 2)[0], '\\n'), 1, %d), '\\n')" % HEADER_LINES
+    segments = f"transform(split(regexp_replace(low, '([.!?])[ \\\\t]+', '$1\\n'), '\\n'), s -> named_struct('kind', 's', 't', {cut('s')}))"
+    units = f"concat(array(named_struct('kind', 'w', 't', tokens), named_struct('kind', 'h', 't', {cut(header)})), {segments})"
+    keys = "array(" + ", ".join(f"'{t}'" for t in key_terms()) + ")"
     return (
-        low.withColumn("found", F.expr(f"case when {any_trigger} then {_segment_matches()} end"))
-        .withColumn("matched", F.expr(f"filter({best}, m -> m.best.score <= -{LEAST})"))
-        .withColumn("top", F.expr("try_element_at(array_sort(transform(matched, m -> m.best)), 1)"))
+        low.withColumn("tokens", F.expr(cut("low"))).withColumn("matched", F.expr(f"case when arrays_overlap(tokens, {keys}) then {_matches(units)} end"))
+        .withColumn("top", F.expr("array_min(transform(matched, m -> m.best))"))
         .select(
             "doc_id", "dir", "n_words", F.col("top.name").alias("own_license"), (-F.col("top.score")).alias("own_score"),
-            F.expr("coalesce(aggregate(matched, 0L, (a, m) -> a + m.n), 0L)").alias("license_words"),
+            F.expr("coalesce(greatest(aggregate(matched, 0L, (a, m) -> a + if(m.kind = 's', m.n, 0)), aggregate(matched, 0L, (a, m) -> a + if(m.kind = 'w', m.n, 0))), 0L)").alias("license_words"),
         )
     )
 
@@ -129,7 +190,7 @@ def directory_licenses(found: DataFrame) -> DataFrame:
 
 def scanned(files: DataFrame) -> DataFrame:
     """A row for each file: own licence and score, and the licence it has in the end, with the directory it comes from."""
-    found = notices(files)
+    found = written(notices(files))
     held = directory_licenses(found)
     joined = found.join(held, "dir", "left")
     own = F.col("own_license").isNotNull()
@@ -146,22 +207,22 @@ def _oracle() -> str:
     rows = lambda it: ", ".join(f"({', '.join(x)})" for x in it)
     terms = rows((f"'{t}'", f"{w!r}::double") for t, w in known.items())
     vectors = rows((str(k), f"'{name}'", f"'{t}'", f"{w!r}::double") for k, (name, v) in enumerate(template_vectors()) for t, w in v.items())
-    trigger = " or ".join(f"contains(s, '{t}')" for t in TRIGGERS)
     return f"""
     with known(t, w) as (values {terms}), vectors(k, name, t, w) as (values {vectors}),
     low as (select row_number() over () as r, doc_id, concat_ws('/', source, lang) as dir,
               coalesce(translate(text, '{_UPPER}', '{_LOWER}'), '') as low from documents),
     files as (select *, len(regexp_extract_all(low, '[^ \\t-\\r]+'))::bigint as n_words from low),
-    segments as (select r, unnest(string_split(regexp_replace(low, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) as s from low),
-    marked as (select row_number() over () as g, r, s from segments where {trigger}),
-    terms as (select g, r, unnest(regexp_extract_all(s, '[a-z0-9]+')) as t from marked),
-    tf as (select g, r, t, count(*) as n from terms group by g, r, t),
-    weighed as (select g, r, t, n, n * coalesce(w, {other!r}::double) as w from tf left join known using (t)),
-    norms as (select g, any_value(r) as r, sum(n) as n, sqrt(sum(w * w)) as norm from weighed group by g),
-    dots as (select g, k, any_value(name) as name, sum(x.w * v.w) as dot from weighed x join vectors v using (t) group by g, k),
+    units as (select r, 's' as kind, unnest(string_split(regexp_replace(low, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) as s from low union all select r, 'w', low from low
+              union all select r, 'h', array_to_string(string_split(regexp_split_to_array(low, '\\n[ \\t]*\\n')[1], chr(10))[1:{HEADER_LINES}], chr(10)) from low),
+    numbered as (select row_number() over () as g, r, kind, s from units),
+    terms as (select g, r, kind, unnest(regexp_extract_all(s, '[a-z0-9]+')) as t from numbered),
+    tf as (select g, any_value(r) as r, any_value(kind) as kind, t, count(*) as n from terms group by g, t),
+    weighed as (select g, r, kind, t, n, w, n * w as x from tf left join known using (t)),
+    norms as (select g, any_value(r) as r, any_value(kind) as kind, sum(n) as n, sqrt(sum(case when t in ({", ".join(f"'{t}'" for t in sorted(STOP))}) then 0 when w is null then n * {other * other!r}::double else x * x end)) as norm from weighed group by g),
+    dots as (select g, k, any_value(name) as name, sum(x.x * v.w) as dot from weighed x join vectors v using (t) group by g, k),
     best as (select g, min(struct_pack(score := -round(dot / norm, 6), name := name)) as b from dots join norms using (g) group by g),
-    matched as (select r, n, b from best join norms using (g) where b.score <= -{LEAST}),
-    own as (select r, min(b) as b, sum(n)::bigint as license_words from matched group by r),
+    matched as (select r, kind, n, b from best join norms using (g) where b.score <= -{LEAST}),
+    own as (select r, min(b) as b, greatest(coalesce(sum(n) filter (kind = 's'), 0), coalesce(sum(n) filter (kind = 'w'), 0))::bigint as license_words from matched group by r),
     found as (select f.r, doc_id, dir, n_words, coalesce(license_words, 0)::bigint as license_words, b.name as own_license, -b.score as own_score from files f left join own using (r)),
     held as (select dir as place, min(struct_pack(s := -round(license_words / n_words, 6), name := own_license)).name as name from found
              where own_license is not null and license_words >= {FILE_SHARE} * n_words group by dir),

@@ -6,8 +6,9 @@ length go on to the next. At the first length it is enough to look at one window
 length, that of least hash: equal longer windows pick equal ones, so nothing is lost and three quarters of the windows go nowhere.
 
 Texts are dealt once into pieces of a few megabytes by the hash of their id; all levels read that same exchange. A piece
-sends its distinct window hashes (64 bits), packed as one row for each hash range and piece; a range's task finds those
-that several pieces hold and answers the pieces. Windows repeated within a piece are found there. So a
+sends its distinct window hashes, packed as one row for each hash range and piece; a range's task finds those
+that several pieces hold and answers the pieces. Shorter windows only choose candidates, so 64 bits are enough for them; windows
+of the last length decide, and are compared by 128 bits of two independent hashes. Windows repeated within a piece are found there. So a
 passage that a third of all documents share costs one entry a piece, not one a document, and no task sees a group of
 unbounded size.
 
@@ -22,14 +23,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Words, shuffle_width
 
-SENT = "slot long, piece long, keys binary, firsts binary"
-ANSWER = "piece long, keys binary, firsts binary"
+SENT = "slot long, piece long, keys binary, more binary, firsts binary"
+ANSWER = "piece long, keys binary, more binary, firsts binary"
 
 
 def lengths(window: int, least: int = 7) -> list[int]:
@@ -67,6 +69,12 @@ class Piece:
         ok = self.known[self.words.text[start]]
         return start[ok], keys[least[ok]], at[least[ok]]
 
+    def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes and first word of the windows of documents with an id."""
+        keys, at = self.windows(length)
+        more, all_at = self.words.grams(length, 1)
+        return keys, more[np.searchsorted(all_at, at)] if len(at) else np.zeros(0, U), at
+
     def docs(self, at: np.ndarray) -> np.ndarray:
         return self.ids[self.words.text[at]] if len(at) else np.zeros(0, np.int64)
 
@@ -78,29 +86,47 @@ def _sorted_in(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
 
 
-def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The keys, sorted, and least ids of a piece's answers."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
-    firsts = np.frombuffer(b"".join(table.column("firsts").to_pylist()), np.int64)
-    order = np.argsort(keys)
-    return keys[order], firsts[order] if len(firsts) else firsts
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys, sorted, their second hashes and least ids (where there are any) of a piece's answers."""
+    keys, more, firsts = _joined(table, "keys", U), _joined(table, "more", U), _joined(table, "firsts", np.int64)
+    if not len(firsts):
+        return np.sort(keys), more, firsts
+    order = np.lexsort((more, keys))
+    return keys[order], more[order], firsts[order]
+
+
+def _find(keys: np.ndarray, more: np.ndarray, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where each pair of hashes stands in the pairs sorted by key; -1 where it doesn't."""
+    at, out, todo = np.searchsorted(keys, key), np.full(len(key), -1), np.arange(len(key))
+    while len(todo):
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] == key[todo]]
+        hit = more[at[todo]] == second[todo]
+        out[todo[hit]] = at[todo[hit]]
+        todo = todo[~hit]
+        at[todo] += 1
+    return out
 
 
-def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with their least id."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    return keys[new], docs[new]
+def _least(keys: np.ndarray, more: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, sorted, with their least id."""
+    order = np.lexsort((docs, more, keys))
+    keys, more, docs = keys[order], more[order], docs[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.zeros(0, bool)
+    return keys[new], more[new], docs[new]
 
 
-def _send(piece: int, keys: np.ndarray, firsts: np.ndarray | None, slots: int) -> pa.Table:
+def _send(piece: int, slots: int, keys: np.ndarray, more: np.ndarray | None = None, firsts: np.ndarray | None = None) -> pa.Table:
     """Rows for the hash ranges; keys are sorted, so ranges are slices."""
     slot = ((keys >> U(32)) * U(slots)) >> U(32)
     used, at = np.unique(slot, return_index=True)
     ends = np.r_[at[1:], len(keys)]
     cut = lambda x: pa.array([x[a:b].tobytes() if x is not None else b"" for a, b in zip(at, ends)], pa.binary())
-    return pa.table({"slot": pa.array(used.astype(np.int64)), "piece": pa.array(np.full(len(used), piece)), "keys": cut(keys), "firsts": cut(firsts)})
+    return pa.table({"slot": pa.array(used.astype(np.int64)), "piece": pa.array(np.full(len(used), piece)), "keys": cut(keys), "more": cut(more), "firsts": cut(firsts)})
 
 
 def _answer(batches):
@@ -110,31 +136,38 @@ def _answer(batches):
     if not rows:
         return
     table = pa.Table.from_batches(rows)
-    raw = table.column("keys").to_pylist()
-    keys, firsts = np.frombuffer(b"".join(raw), U), np.frombuffer(b"".join(table.column("firsts").to_pylist()), np.int64)
-    piece = np.repeat(table.column("piece").to_numpy(), [len(r) // 8 for r in raw])
-    order = np.argsort(keys, kind="stable")
-    new = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+    keys, more, firsts = _joined(table, "keys", U), _joined(table, "more", U), _joined(table, "firsts", np.int64)
+    piece = np.repeat(table.column("piece").to_numpy(), pc.binary_length(table.column("keys")).to_numpy() // 8)
+    del table, rows
+    final = len(firsts) > 0
+    order = np.lexsort((more, keys)) if final else np.argsort(keys, kind="stable")
+    keys = keys[order]
+    change = keys[1:] != keys[:-1]
+    if final:
+        more, firsts = more[order], firsts[order]
+        change = change | (more[1:] != more[:-1])
+    new = np.flatnonzero(np.r_[True, change])
     count = np.diff(np.r_[new, len(keys)])
-    if len(firsts):
-        least = np.repeat(np.minimum.reduceat(firsts[order], new), count)
-        ok = least < firsts[order]
+    if final:
+        least = np.repeat(np.minimum.reduceat(firsts, new), count)
+        ok = least < firsts
     else:
-        least, ok = np.zeros(0, np.int64), np.repeat(count > 1, count)
-    order, least = order[ok], least[ok] if len(firsts) else least
-    by = np.argsort(piece[order], kind="stable")
-    keys, piece, least = keys[order][by], piece[order][by], least[by] if len(firsts) else least
+        least, ok = None, np.repeat(count > 1, count)
+    piece, keys = piece[order[ok]], keys[ok]
+    by = np.argsort(piece, kind="stable")
+    piece, columns = piece[by], [keys[by], more[ok][by] if final else None, least[ok][by] if final else None]
     used, at = np.unique(piece, return_index=True)
     ends = np.r_[at[1:], len(piece)]
     for k in range(0, len(used), 1000):
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[k : k + 1000], ends[k : k + 1000])], pa.binary())  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([pa.array(used[k : k + 1000]), cut(keys), cut(least)], names=["piece", "keys", "firsts"])
+        cut = lambda x: pa.array([x[a:b].tobytes() if x is not None else b"" for a, b in zip(at[k : k + 1000], ends[k : k + 1000])], pa.binary())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(used[k : k + 1000]), *map(cut, columns)], names=["piece", "keys", "more", "firsts"])
 
 
-def pieces(docs: DataFrame, piece_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+def pieces(docs: DataFrame, piece_bytes: int = 4 << 20, range_bytes: int = 128 << 20) -> tuple[DataFrame, int]:
     """(piece, doc_id, text) and the number of hash ranges; rows of an id share a piece."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    ranges = 2 * shuffle_width(docs.sparkSession)
+    # a range's task holds the hashes of its range at once: about half as many bytes as that share of the texts
+    ranges = max(2 * shuffle_width(docs.sparkSession), -(-size // range_bytes))
     n = max(ranges, -(-size // piece_bytes))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     piece = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).alias("piece")
@@ -143,7 +176,7 @@ def pieces(docs: DataFrame, piece_bytes: int = 4 << 20) -> tuple[DataFrame, int]
 
 def repeated_elsewhere(dealt: DataFrame, ranges: int, window: int) -> DataFrame:
     """Answers to the pieces: keys of their windows that another piece holds in a document of smaller id, with the least such id."""
-    width = shuffle_width(dealt.sparkSession)
+    width = max(shuffle_width(dealt.sparkSession), ranges // 2)
     steps = lengths(window)
     ask = lambda sent: sent.repartition(width, "slot").mapInArrow(_answer, ANSWER)
     last = len(steps) - 1
@@ -151,9 +184,9 @@ def repeated_elsewhere(dealt: DataFrame, ranges: int, window: int) -> DataFrame:
     def first(key, table):
         p = Piece(table)
         if last == 0:
-            keys, at = p.windows(window)
-            return _send(key[0].as_py(), *_least(keys, p.docs(at)), ranges)
-        return _send(key[0].as_py(), np.unique(p.anchors(steps[0], steps[1])[1]), None, ranges)
+            keys, more, at = p.pairs(window)
+            return _send(key[0].as_py(), ranges, *_least(keys, more, p.docs(at)))
+        return _send(key[0].as_py(), ranges, np.unique(p.anchors(steps[0], steps[1])[1]))
 
     def longer(k):
         def extend(key, table, answer):
@@ -167,10 +200,12 @@ def repeated_elsewhere(dealt: DataFrame, ranges: int, window: int) -> DataFrame:
                 repeated[at[_sorted_in(keys, held)]] = True
                 start = p.windows(steps[k])[1]
                 start = start[repeated[start] & repeated[start + steps[k] - steps[k - 1]]] if len(start) else start
-            keys, at = p.windows(steps[k])
+            if k < last:
+                keys, at = p.windows(steps[k])
+                return _send(key[0].as_py(), ranges, np.unique(keys[np.isin(at, start, assume_unique=True)]))
+            keys, more, at = p.pairs(steps[k])
             ok = np.isin(at, start, assume_unique=True)
-            keys, docs = _least(keys[ok], p.docs(at[ok]))
-            return _send(key[0].as_py(), keys, docs if k == last else None, ranges)
+            return _send(key[0].as_py(), ranges, *_least(keys[ok], more[ok], p.docs(at[ok])))
 
         return extend
 
@@ -180,16 +215,15 @@ def repeated_elsewhere(dealt: DataFrame, ranges: int, window: int) -> DataFrame:
     return answers
 
 
-def _covered(p: Piece, window: int, keys: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def _covered(p: Piece, window: int, keys: np.ndarray, more: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Of each word, whether it is removed."""
-    mine, at = p.windows(window)
+    mine, second, at = p.pairs(window)
     docs = p.docs(at)
-    own, least = _least(mine, docs)
-    place = np.searchsorted(own, mine)
-    first = least[place]
+    own, own_more, least = _least(mine, second, docs)
+    first = least[_find(own, own_more, mine, second)] if len(mine) else docs
     if len(keys):
-        j = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        first = np.where(keys[j] == mine, np.minimum(first, firsts[j]), first)
+        j = _find(keys, more, mine, second)
+        first = np.where(j >= 0, np.minimum(first, firsts[j]), first)
     gone = at[first < docs]
     cover = np.zeros(len(p.words.start) + window + 1, np.int64)
     np.add.at(cover, gone, 1)

@@ -125,13 +125,12 @@ def held_out():
 def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordinary: int = 4000, sample_chars: int = 20_000) -> dict[int, list[bytes]]:
     """Texts of the labelled sample by label. The ids joined by broadcast are at most most_toxic + most_ordinary."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    short = docs.where(F.length("text") <= sample_chars).select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    for label, most in ((1, most_toxic), (0, most_ordinary)):
-        ids = [r.doc_id for r in known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
-        rows = short.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
-        found[label] = sorted(r.text.encode() for r in rows.collect())
-    return found
+    ids = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, most_toxic), (0, most_ordinary))]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") <= sample_chars)
+    for r in texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect():  # of repeated ids one text, so the bound holds
+        found[r.toxic].append(r.text.encode())
+    return {label: sorted(x) for label, x in found.items()}
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:

@@ -226,6 +226,31 @@ def test_license_rules(spark):
     assert license_scan.scanned(license_scan.as_files(frame(spark, []))).count() == 0
 
 
+def test_license_files_headers_and_neighbours(spark):
+    """Whole licence files, headers of code, and licences that differ by a version or a word."""
+    text = {name: max((t for n, t in license_scan.TEMPLATES if n == name), key=len) for name, _ in license_scan.TEMPLATES}
+    code = "\n".join(f"x{k} = compute(y{k}, {k})" for k in range(200))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + text["MIT"].replace(". ", ".\n"), "mit"), (2, "no notice", "mit"),
+        (3, "# " + text["GPL-3.0"].replace(", ", ",\n# ") + "\n\n" + code, "gpl"), (4, text["GPL-2.0"], "old"), (5, text["AGPL-3.0"], "agpl"), (6, text["LGPL-3.0"], "lgpl"),
+        (7, "ISC License\n" + text["ISC"], "isc"), (8, text["BSD-2-Clause"], "b2"), (9, text["BSD-3-Clause"], "b3"), (10, code, "none"),
+        (11, "This work is licensed under the GNU General Public License, version 2.", "v2"), (12, "Licensed under CC BY-SA 4.0.", "sa"),
+        (13, "/* " + text["Apache-2.0"].replace(" you", "\n * you") + " */\n\n" + code, "apache"),
+    ]
+    want = {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "GPL-2.0", 5: "AGPL-3.0", 6: "LGPL-3.0", 7: "ISC", 8: "BSD-2-Clause", 9: "BSD-3-Clause", 10: None, 11: "GPL-2.0", 12: "CC-BY-SA-4.0", 13: "Apache-2.0"}
+    got = {x.doc_id: x for x in license_scan.scanned(license_scan.as_files(frame(spark, rows))).collect()}
+    assert {k: x.license for k, x in got.items()} == want
+    assert got[2].origin == "inherited" and got[1].license_words > 100
+
+
+def test_license_ties_and_equal_rows(spark):
+    """Licences of one score: the lesser name; equal rows are scanned one by one; a directory's licence file of the largest share wins."""
+    both = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC"
+    rows = [(1, both, "a"), (1, both, "a"), (2, "SPDX-License-Identifier: MIT\n" + "word " * 6, "a"), (3, "plain", "a")]
+    got = sorted((x.doc_id, x.license, x.origin) for x in license_scan.scanned(license_scan.as_files(frame(spark, rows))).collect())
+    assert got == [(1, "ISC", "own"), (1, "ISC", "own"), (2, "MIT", "own"), (3, "ISC", "inherited")]
+
+
 def test_license_nearest_directory(spark):
     files = spark.createDataFrame([(1, "a", "Released under the MIT License."), (2, "a/b/c", "x"), (3, "a/b", "Licensed under CC BY 4.0."), (4, "z", "x"), (5, "", "x")], "doc_id long, dir string, text string")
     got = {x.doc_id: (x.license, x.license_dir) for x in license_scan.scanned(files).collect()}

@@ -52,6 +52,16 @@ def test_long_rows_equal_short_rule():
         assert codec._long(ids).tolist() == codec._matrix(ids[None, :].copy())[0].tolist()
 
 
+def test_very_long_match():
+    """An unbroken run of letters takes n log n steps, and gives the library's ids."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    text = "".join(r.choice("etaoinshr") for _ in range(150_000))
+    ids, _ = bpe_codec.codec(bpe_codec.RANKS, None).encode([text])
+    assert ids.tolist() == library.encode_ordinary(text)
+
+
 def test_token_counts(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     got = token_counts.counted(frame(spark, texts())).collect()
