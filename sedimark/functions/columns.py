@@ -183,20 +183,27 @@ def locator_lines(locator: Column | str) -> tuple[Column, Column]:
     return at(1), at(2)
 
 
-def slice_lines(text: Column | str, first: Column, last: Column) -> Column:
-    """Lines first to last, 1-based and inclusive; null outside the text."""
-    return slice_rows(lines(text), first, last)
+def kept_lines(text: Column | str) -> Column:
+    """Lines with their ends, so that joined they are the text."""
+    parts = F.split(col(text), r"(?<=\n)|(?<=\r)(?!\n)")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def slice_rows(rows: Column | str, first: Column, last: Column) -> Column:
-    """The same of a text that is split into lines."""
+    """Lines first to last of kept_lines, 1-based and inclusive, ends as they were; null outside the text."""
     rows = col(rows)
     ok = (first >= 1) & (last >= first) & (last <= F.size(rows))
-    return F.when(ok, F.array_join(F.slice(rows, first, last - first + 1), "\n"))
+    return F.when(ok, F.array_join(F.slice(rows, first, last - first + 1), ""))
 
 
-def slice_bytes(text: Column | str, line: Column, first: Column, last: Column) -> Column:
-    """Bytes first to last (exclusive) of a line; null outside it or where a character would be cut."""
-    raw = F.encode(F.try_element_at(lines(text), line), "UTF-8")
-    part = F.substring(raw, first + 1, last - first)
-    return F.when((first >= 0) & (last >= first) & (last <= F.octet_length(raw)) & F.is_valid_utf8(part), F.decode(part, "UTF-8"))
+def slice_range(rows: Column | str, first: Column, start: Column, last: Column, end: Column) -> Column:
+    """From byte `start` of a line of kept_lines to byte `end` (exclusive) of the same or a later one; null outside a line or where a character would be cut."""
+    rows = col(rows)
+    raw = lambda line: F.encode(F.try_element_at(rows, line), "UTF-8")
+    head, tail = raw(first), raw(last)
+    within = F.substring(head, start + 1, F.greatest(end - start, F.lit(0)))
+    between = F.encode(F.array_join(F.slice(rows, first + 1, F.greatest(last - first - 1, F.lit(0))), ""), "UTF-8")
+    across = F.concat(F.substring(head, start + 1, F.octet_length(head)), between, F.substring(tail, F.lit(1), end))
+    part = F.when(first == last, within).otherwise(across)
+    ok = (first >= 1) & (last >= first) & (start >= 0) & (end >= 0) & (start <= F.octet_length(head)) & (end <= F.octet_length(tail))
+    return F.when(ok & F.is_valid_utf8(part), F.decode(part, "UTF-8"))

@@ -78,8 +78,10 @@ def assertion_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def tree_deltas(previous: DataFrame, current: DataFrame, run: str = "run") -> DataFrame:
-    """Path changes of two recursive trees (path, entry_type, mode, object_sha, size); directories alone make none."""
+def tree_deltas(previous: DataFrame, current: DataFrame, run: str = "run", revisions: tuple[str, str] = ("previous", "current")) -> DataFrame:
+    """Path changes of two recursive trees (path, entry_type, mode, object_sha, size); directories alone make none.
+
+    Both revisions are part of a change's identity, so the intervals of one run don't collide."""
     differs = F.lit(False)
     for c in ("object_sha", "mode", "size"):
         differs = differs | ~F.col(f"previous_{c}").eqNullSafe(F.col(f"current_{c}"))
@@ -90,7 +92,7 @@ def tree_deltas(previous: DataFrame, current: DataFrame, run: str = "run") -> Da
     tree_only = F.coalesce(F.col("previous_entry_type"), F.lit("tree")).eqNullSafe(F.lit("tree")) & F.coalesce(F.col("current_entry_type"), F.lit("tree")).eqNullSafe(F.lit("tree"))
     return (
         _sides(previous, current, ["path"]).where(~tree_only).withColumn("change_type", change).where("change_type is not null").withColumn("surface", C.change_surface("path"))
-        .withColumn("git_path_delta_id", C.identity("git-path-delta", F.lit(run), "path", "change_type")).drop("in_previous", "in_current")
+        .withColumn("git_path_delta_id", C.identity("git-path-delta", F.lit(run), *map(F.lit, revisions), "path", "change_type")).drop("in_previous", "in_current")
     )
 
 

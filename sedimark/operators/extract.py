@@ -1,7 +1,8 @@
 """Extraction: artifacts to facts and assertions.
 
-Path facts, Markdown prose and list items are relational plans. Formats that need a parser (JSON, TOML, package manifests,
-Python and TypeScript) are versioned table functions over Arrow batches; a function that can't read an artifact
+Path facts are a relational plan. Markdown prose and list items are folds over the lines of one text, and formats that need a parser (JSON, TOML,
+package manifests, Python and TypeScript) are versioned table functions: both run over Arrow batches, row by row, so no text and no line
+crosses the network; a function that can't read an artifact
 gives a diagnostic row, so strict and gap-tolerant runs are the same plan with another guard.
 
 Artifacts have at least artifact_id, source_locator and text. Facts: (artifact_id, source_locator, locator, raw_value, normalized_value,
@@ -18,9 +19,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 
@@ -38,67 +41,108 @@ def path_facts(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(artifacts: DataFrame) -> DataFrame:
-    """Lines by artifact, 1-based, with whether they open or close a fence or stand inside one."""
-    rows = artifacts.select("artifact_id", "source_locator", F.posexplode(C.lines(F.coalesce("text", F.lit("")))).alias("at", "line")).select(
-        "artifact_id", "source_locator", (F.col("at") + 1).alias("n"), "line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("s")
-    )
-    fence = F.col("s").startswith("```") | F.col("s").startswith("~~~")
-    upto = W.partitionBy("artifact_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("fence", fence).withColumn("inside", (F.sum(F.col("fence").cast("int")).over(upto) % 2 == 1) & ~F.col("fence"))
+_TABLE_RULE = re.compile(r"[|:\-\s]+")
+_LIST_MARK = re.compile(r"[-+*]\s+|\d+[.)]\s+")
+_ITEM = re.compile(r"(?P<lead>[ \t]*)(?:[-+*]|\d+[.)])[ \t]+(?P<body>\S.*)")
 
+#: First line, last line and text of a statement; lines are 1-based.
+Statement = tuple[int, int, str]
 
-_TABLE_RULE = r"^[|:\-\s]+$"
 
+def _fenced(text: str) -> Iterator[tuple[int, str, str, bool, bool]]:
+    """Lines with their number, their text without outer whitespace, whether they open or close a fence and whether they stand inside one."""
+    inside = False
+    for n, line in enumerate(text.splitlines(), 1):
+        s = line.strip()
+        fence = s.startswith(("```", "~~~"))
+        inside ^= fence
+        yield n, line, s, fence, inside and not fence
 
-def markdown_paragraphs(artifacts: DataFrame) -> DataFrame:
-    """Prose paragraphs: runs of lines between blank lines, fences, headings, quotes, markup, list items and tables."""
-    s = F.col("s")
-    out = (
-        F.col("fence") | F.col("inside") | (s == "") | s.rlike(r"^[#><]") | s.rlike(r"^([-+*]\s+|\d+[.)]\s+)") | s.startswith("|")
-        | (F.contains(s, F.lit("|")) & s.rlike(_TABLE_RULE))
-    )
-    upto = W.partitionBy("artifact_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    prose = _numbered(artifacts).withColumn("out", out).withColumn("island", F.sum(F.col("out").cast("int")).over(upto)).where("not out")
-    return _joined(prose, "island", "markdown-prose", F.col("s"))
-
-
-def _joined(rows: DataFrame, group: str, name: str, part) -> DataFrame:
-    """Assertions from groups of lines in their order."""
-    return (
-        rows.groupBy("artifact_id", "source_locator", group)
-        .agg(F.min("n").alias("first_line"), F.max("n").alias("last_line"), F.array_sort(F.collect_list(F.struct("n", part.alias("s")))).alias("parts"))
-        .select(
-            "artifact_id", "source_locator", C.line_locator("source_locator", "first_line", "last_line").alias("locator"),
-            F.array_join(F.col("parts.s"), " ").alias("statement"), F.lit(name).alias("extractor_name"), F.lit("1").alias("extractor_version"),
-        )
-    )
 
+def _is_table(s: str) -> bool:
+    return s.startswith("|") or ("|" in s and _TABLE_RULE.fullmatch(s) is not None)
 
-def markdown_list_items(artifacts: DataFrame) -> DataFrame:
+
+def prose_statements(text: str) -> Iterator[Statement]:
+    """Paragraphs: runs of lines between blank lines, fences, headings, quotes, markup, list items and tables."""
+    run: list[tuple[int, str]] = []
+    for n, _, s, fence, inside in _fenced(text):
+        if fence or inside or not s or s[0] in "#><" or _LIST_MARK.match(s) or _is_table(s):
+            if run:
+                yield run[0][0], run[-1][0], " ".join(x for _, x in run)
+            run = []
+        else:
+            run.append((n, s))
+    if run:
+        yield run[0][0], run[-1][0], " ".join(x for _, x in run)
+
+
+def _indent(lead: str) -> int:
+    """The width of an item's lead; tabs count to multiples of four."""
+    width = 0
+    for ch in lead:
+        width = (width // 4 + 1) * 4 if ch == "\t" else width + 1
+    return width
+
+
+def list_statements(text: str) -> Iterator[Statement]:
     """List items with their indented continuation lines.
 
     A line goes on with the item above it if every line between does: it isn't blank, fenced, a new item or markup, and is
     indented further than the item's marker (tabs of the marker count to multiples of four, its own count as one).
     """
-    item = r"^([ \t]*)([-+*]|\d+[.)])[ \t]+(\S.*)$"
-    lead = F.regexp_extract("line", r"^[ \t]*", 0)
-    widths = F.aggregate(
-        F.split(F.regexp_extract("line", item, 1), ""), F.lit(0),
-        lambda a, ch: F.when(ch == "\t", (F.floor(a / 4).cast("int") + 1) * 4).when(ch == " ", a + 1).otherwise(a),
-    )
-    s = F.col("s")
-    plain = ~s.rlike(r"^[#><|]") & ~(F.contains(s, F.lit("|")) & s.rlike(_TABLE_RULE))
-    whole = W.partitionBy("artifact_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = (
-        _numbered(artifacts).withColumn("starts", ~F.col("fence") & ~F.col("inside") & F.col("line").rlike(item))
-        .withColumn("item", F.sum(F.col("starts").cast("int")).over(whole)).where("item > 0")
-        .withColumn("indent", F.when(F.col("starts"), widths))
+    run: list[tuple[int, str]] = []
+    indent = 0
+    for n, line, s, fence, inside in _fenced(text):
+        item = None if fence or inside else _ITEM.fullmatch(line)
+        if item:
+            if run:
+                yield run[0][0], run[-1][0], " ".join(x for _, x in run)
+            run, indent = [(n, item["body"].strip())], _indent(item["lead"])
+        elif run:
+            lead = len(line) - len(line.lstrip(" \t"))
+            if fence or inside or not s or s[0] in "#><|" or _is_table(s) or lead <= indent:
+                yield run[0][0], run[-1][0], " ".join(x for _, x in run)
+                run = []
+            else:
+                run.append((n, s))
+    if run:
+        yield run[0][0], run[-1][0], " ".join(x for _, x in run)
+
+
+def _statements(artifacts: DataFrame, fold: Callable[[str], Iterator[Statement]], name: str) -> DataFrame:
+    """Assertions of each text: a map over rows, without an exchange."""
+    kind = artifacts.schema["artifact_id"].dataType
+
+    def run(batches):
+        for batch in batches:
+            row, first, last, said = [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                for a, b, statement in fold(text or ""):
+                    row.append(k)
+                    first.append(a)
+                    last.append(b)
+                    said.append(statement)
+            at = pa.array(row, pa.int64())
+            columns = [batch.column("artifact_id").take(at), batch.column("source_locator").take(at), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["artifact_id", "source_locator", "first_line", "last_line", "statement"])
+
+    schema = StructType().add("artifact_id", kind).add("source_locator", "string").add("first_line", "long").add("last_line", "long").add("statement", "string")
+    rows = artifacts.select("artifact_id", F.col("source_locator").cast("string").alias("source_locator"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.select(
+        "artifact_id", "source_locator", C.line_locator("source_locator", "first_line", "last_line").alias("locator"), "statement",
+        F.lit(name).alias("extractor_name"), F.lit("1").alias("extractor_version"),
     )
-    of_item = W.partitionBy("artifact_id", "item").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    stops = ~F.col("starts") & (F.col("fence") | (~F.col("inside") & ((s == "") | ~plain | (F.length(lead) <= F.first("indent").over(of_item)))))
-    kept = rows.withColumn("stops", stops).withColumn("ended", F.max(F.col("stops").cast("int")).over(of_item)).where("ended = 0 and not inside")
-    return _joined(kept, "item", "markdown-list", F.when(F.col("starts"), F.trim(F.regexp_extract("line", item, 3))).otherwise(s))
+
+
+def markdown_paragraphs(artifacts: DataFrame) -> DataFrame:
+    """Prose paragraphs with the lines that they stand in."""
+    return _statements(artifacts, prose_statements, "markdown-prose")
+
+
+def markdown_list_items(artifacts: DataFrame) -> DataFrame:
+    """List items with the lines that they stand in."""
+    return _statements(artifacts, list_statements, "markdown-list")
 
 
 # table functions: (path, text) to rows (kind, locator suffix, value, normalized, name of the emitting extractor)
@@ -341,6 +385,13 @@ def numbered_assertions(assertions: DataFrame, run: str, by: str = "capture_id")
 
 
 def envelope(rows: DataFrame, by: list[str], *fields: str):
-    """Digest of each group's rows, whatever their order: what a run's outputs are authenticated with. Rows count by their own digests, so hot groups combine before the shuffle."""
+    """Digest of each group's rows, whatever their order: what a run's outputs are authenticated with.
+
+    Rows count by their own digests. Those are folded in 256 ranges of their first two digits, and the digests of the ranges give the group's, so
+    that no task holds all digests of a large run.
+    """
     one = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
-    return rows.withColumn("__d", one).groupBy(*by).agg(C.digest(F.array_join(F.array_sort(F.collect_list("__d")), "\n")).alias("outputs_hash"), F.count("*").alias("n_rows"))
+    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = rows.select(*by, one.alias("row_digest")).withColumn("row_range", F.substring("row_digest", 1, 2)).groupBy(*by, "row_range").agg(fold("row_digest").alias("part"), F.count("*").alias("n_part"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("row_range", "part"))), lambda x: F.concat(x["row_range"], F.lit(":"), x["part"]))
+    return parts.groupBy(*by).agg(C.digest(F.array_join(whole, "\n")).alias("outputs_hash"), F.sum("n_part").alias("n_rows"))

@@ -20,7 +20,7 @@ LIST_KEYS = {"entries": "path", "jobs": "id", "artifacts": "id", "steps": "numbe
 def resolved(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence (artifact_id, locator) with kind, the source text it stands for and whether it resolves; an unresolved locator is a row, not an error."""
     # texts are split once an artifact, before the join gives every piece of evidence its artifact
-    met = evidence.join(artifacts.select("artifact_id", "source_locator", C.lines("text").alias("rows")), "artifact_id", "left")
+    met = evidence.join(artifacts.select("artifact_id", "source_locator", C.kept_lines("text").alias("rows")), "artifact_id", "left")
     first, last = C.locator_lines("locator")
     own = F.col("locator").startswith(F.col("source_locator"))
     typed = met.withColumn("location_kind", F.when(own, C.location_kind("locator"))).withColumn("first_line", first).withColumn("last_line", last)
@@ -32,11 +32,11 @@ def resolved(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def ranges(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Range locators within one line with the text between their byte columns."""
+    """Range locators, of one line or several, with the exact text between their byte columns; null where that is no place in the text."""
     pattern = r":L(\d+):C(\d+)-L(\d+):C(\d+)"
     part = lambda k: F.regexp_extract("locator", pattern, k).cast("int")
-    met = evidence.where(F.col("locator").rlike(pattern)).join(artifacts.select("artifact_id", "text"), "artifact_id")
-    return met.where(part(1) == part(3)).withColumn("excerpt", C.slice_bytes("text", part(1), part(2), part(4))).drop("text")
+    met = evidence.where(F.col("locator").rlike(pattern)).join(artifacts.select("artifact_id", C.kept_lines("text").alias("rows")), "artifact_id")
+    return met.withColumn("excerpt", C.slice_range("rows", part(1), part(2), part(3), part(4))).drop("rows")
 
 
 def _step(value: object, token: str) -> object:
@@ -68,25 +68,33 @@ def structured(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     kind_of = artifacts.schema["artifact_id"].dataType.simpleString()
     kinds = {"artifact_id": "Int64" if kind_of in ("bigint", "int") else object}
 
+    def look(path: str, document: object, place: str) -> object:
+        if path.lower().endswith(".toml"):
+            for key in place.split("."):
+                document = document[key]
+            return document
+        return resolve_pointer(document, place)
+
     def run(batches):
         for batch in batches:
             out = []
-            for artifact, at, path, text in zip(batch["artifact_id"], batch["locator"], batch["source_locator"], batch["text"]):
-                place = at[len(path) + 1 :]
+            for artifact, path, text, places in zip(batch["artifact_id"], batch["source_locator"], batch["text"], batch["places"]):
+                # a text is parsed once, whatever the number of its locators
                 try:
-                    if path.lower().endswith(".toml"):
-                        value = tomllib.loads(text)
-                        for key in place.split("."):
-                            value = value[key]
-                    else:
-                        value = resolve_pointer(json.loads(text), place)
-                    out.append((artifact, at, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str), None))
-                except (ValueError, KeyError, IndexError, TypeError) as x:
-                    out.append((artifact, at, None, type(x).__name__))
+                    document, fault = (tomllib.loads if path.lower().endswith(".toml") else json.loads)(text), None
+                except (ValueError, TypeError, RecursionError) as x:
+                    document, fault = None, type(x).__name__
+                for at in places:
+                    try:
+                        value = None if fault else json.dumps(look(path, document, at[len(path) + 1 :]), sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+                        out.append((artifact, at, value, fault))
+                    except (ValueError, KeyError, IndexError, TypeError) as x:
+                        out.append((artifact, at, None, type(x).__name__))
             yield pd.DataFrame(out, columns=["artifact_id", "locator", "value", "error"]).astype(kinds)
 
-    met = evidence.select("artifact_id", "locator").join(artifacts.select("artifact_id", "source_locator", "text"), "artifact_id")
-    return met.where(F.contains("locator", F.lit("#"))).mapInPandas(run, f"artifact_id {kind_of}, locator string, value string, error string")
+    places = evidence.where(F.contains("locator", F.lit("#"))).groupBy("artifact_id").agg(F.collect_list("locator").alias("places"))
+    met = artifacts.select("artifact_id", "source_locator", "text").join(places, "artifact_id")
+    return met.mapInPandas(run, f"artifact_id {kind_of}, locator string, value string, error string")
 
 
 def audit(evidence: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -130,9 +130,9 @@ ASOF = f"(select e.event_id, e.event_type, t.assignment_id, t.level from events
 THREAD = "(select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as parent from (select distinct conv_id, turn from conversations))"
 CLOSURE = f"""with recursive edge as (select * from {THREAD} where parent is not null),
   up as (select conv_id, turn as child, parent as ancestor, 1::bigint as distance from edge union all select u.conv_id, u.child, e.parent, u.distance + 1 from up u join edge e on u.conv_id = e.conv_id and u.ancestor = e.turn)"""
-HIT = """(select requirement_id, any_value(needed_capability) as needed_capability, coalesce(bool_or(contains(s, f)), false) as covered from
-  (select item_id as requirement_id, case when item_id % 2 = 0 then 'tree' else 'ast' end as needed_capability, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '\\s+', ' ', 'g')) as f, item_id % 20 as k from benchmark)
-  left join (select doc_id % 20 as k, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as s from documents) using (k) group by requirement_id)"""
+HIT = """(select requirement_id, needed_capability, coalesce(bool_or(contains(s, f)), false) as covered from
+  (select item_id as requirement_id, case when item_id % 2 = 0 then 'tree' else 'ast' end as needed_capability, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as f from benchmark)
+  left join (select distinct trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as s from documents) on contains(s, f) group by all)"""
 AGAIN = "(select o_orderkey, case when o_orderkey % 7 = 0 then o_orderpriority || '!' else o_orderpriority end as payload from orders)"
 URL = "(select page_id as artifact_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as source_locator from pages)"
 SUFFIX = "regexp_extract(lower(string_split(path, '/')[-1]), '[^.].*?(\\.[^.]+)$', 1)"
@@ -158,10 +158,26 @@ ORACLES: dict[str, str] = {
       from (values ('', 1), ('function', 1), ('declaration', 1), ('call', 1), ('if', 1), ('throw', 1)) t(kind, n)""",
     "evidence_ordinals": f"""select capture_id, fact_index, locator, 'fact:' || sha256('fact' || chr(0) || 'run' || chr(0) || fact_index || chr(0) || 'artifact-path' || chr(0) || locator) as evidence_id from
       (select *, row_number() over (partition by capture_id order by locator, value) as fact_index from (select string_split(source_locator, '/')[1] as capture_id, source_locator || '#$path.' || k as locator, value from {_path_values(ART)}))""",
-    "run_envelopes": f"select string_split(source_locator, '/')[1] as capture_id, count(*) as n_rows from {_path_values(ART)} group by 1",
-    "locator_slices": f"""select p.artifact_id, p.source_locator || ':L' || first_line || '-L' || last_line as locator, 'text_lines' as location_kind, string_agg(line, ' ' order by n) as excerpt
-      from {_paragraphs(ART)} p join {_marked(ART)} l on p.artifact_id = l.artifact_id and l.n between first_line and last_line group by all""",
+    "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
+      parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
+      select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",
+    "locator_slices": f"""select p.artifact_id, p.source_locator || ':L' || first_line || '-L' || last_line as locator, 'text_lines' as location_kind, string_agg(line || case when n < last then ' ' else '' end, '' order by n) as excerpt
+      from {_paragraphs(ART)} p join (select *, max(n) over (partition by artifact_id) as last from {_marked(ART)}) l on p.artifact_id = l.artifact_id and l.n between first_line and last_line group by all""",
     "inspect_paths": f"select artifact_id, source_locator || '#$path.' || k as locator, value as excerpt, true as agrees from {_path_values(ART)}",
+    "inspect_ranges": f"""with a as (select artifact_id, source_locator, text, string_split(text, chr(10)) as parts from {ART} where text is not null),
+      l as (select *, list_transform(list_filter(range(1, len(parts) + 1), lambda i: i < len(parts) or parts[i] <> ''), lambda i: parts[i] || case when i < len(parts) then chr(10) else '' end) as ls from a),
+      t as (select *, case when artifact_id % 2 = 0 then least(len(ls), 3) else 1 end as last, artifact_id % 5 as c1, artifact_id % 11 + 4 as c2 from l),
+      b as (select *, hex(encode(ls[1])) as h1, hex(encode(ls[last])) as h2, case when last > 2 then hex(encode(ls[2])) else '' end as mid from t),
+      x as (select *, case when last = 0 or 2 * c1 > len(h1) or 2 * c2 > len(h2) then null when last = 1 then h1[2 * c1 + 1:2 * c2] else h1[2 * c1 + 1:] || mid || h2[:2 * c2] end as h from b)
+      select artifact_id, source_locator || ':L1:C' || c1 || '-L' || last || ':C' || c2 || '#x' as locator,
+        'sha256:' || sha256(coalesce(case when h = '' then '' when h is not null and not regexp_matches(h, '^(..)*?$', 's') then null
+          when h is not null and try(decode(unhex(h))) is not null then try(decode(unhex(h))) end, 'none')) as excerpt_hash from x""",
+    "inspect_toml": """select p_partkey as artifact_id, 'pyproject.toml#project.' || k as locator, case k when 'name' then to_json(p_brand)::varchar when 'size' then p_size::varchar end as value, case when k = 'none' then 'KeyError' end as error
+      from part, (values ('name'), ('size'), ('none')) v(k)""",
+    "delta_identities": f"""with a as (select source_locator, change_type, 'artifact-delta:' || sha256('artifact-delta' || chr(0) || 'run' || chr(0) || source_locator) as id from {ADELTA} where change_type is not null)
+      select 'artifact' as kind, source_locator as at, id from a union all
+      select 'structure', source_locator || '|' || structural_key, 'structural-delta:' || sha256('structural-delta' || chr(0) || 'run' || chr(0) || a.id || chr(0) || structural_key || chr(0) || s.change_type) from {SDELTA} s join (select * from a where change_type in ('content_changed', 'metadata_changed')) a using (source_locator) where s.change_type is not null
+      union all select 'path', path, 'git-path-delta:' || sha256('git-path-delta' || chr(0) || 'run' || chr(0) || 'previous' || chr(0) || 'current' || chr(0) || path || chr(0) || change_type) from {TDELTA}""",
     "inspect_pointers": "select event_id as artifact_id, 'event-' || event_id || '.json#/' || k as locator, json_extract(props, '$.' || k)::varchar as value from (select event_id, props, unnest(json_keys(props)) as k from events)",
     "artifact_delta": f"select source_locator, change_type, previous_content_hash, current_content_hash from {ADELTA} where change_type is not null",
     "artifact_delta_counts": f"select change_type, count(*) as n from {ADELTA} where change_type is not null group by change_type",

@@ -144,7 +144,7 @@ def evidence_ordinals(spark, d):
 @query
 def run_envelopes(spark, d):
     f = extract.path_facts(L.artifacts(spark, d)).withColumn("capture_id", F.split("source_locator", "/")[0])
-    return extract.envelope(f, ["capture_id"], "locator", "normalized_value").select("capture_id", "n_rows")
+    return extract.envelope(f, ["capture_id"], "locator", "normalized_value").select("capture_id", "n_rows", "outputs_hash")
 
 
 # inspection
@@ -162,6 +162,27 @@ def inspect_paths(spark, d):
     return inspect.resolved(extract.path_facts(a).select("artifact_id", "locator", "normalized_value"), a).select("artifact_id", "locator", "excerpt", F.col("excerpt").eqNullSafe(F.col("normalized_value")).alias("agrees"))
 
 
+@query
+def inspect_ranges(spark, d):
+    """Ranges of one line and of several in documents, by bytes; some end inside a character or beyond a line."""
+    a = L.artifacts(spark, d).where("text is not null")
+    n = F.size(C.kept_lines("text"))
+    to = F.least(n, F.lit(3)) * F.when(F.col("artifact_id") % 2 == 0, 1).otherwise(0) + F.when(F.col("artifact_id") % 2 == 0, 0).otherwise(1)
+    at = F.concat("source_locator", F.lit(":L1:C"), (F.col("artifact_id") % 5).cast("string"), F.lit("-L"), to.cast("string"), F.lit(":C"), (F.col("artifact_id") % 11 + 4).cast("string"), F.lit("#x"))
+    found = inspect.ranges(a.select("artifact_id", at.alias("locator")), a)
+    return found.select("artifact_id", "locator", C.digest(F.coalesce("excerpt", F.lit("none"))).alias("excerpt_hash"))
+
+
+@query
+def inspect_toml(spark, d):
+    """TOML keys of generated manifests, one of which isn't there."""
+    p = L.table(spark, d, "part")
+    text = F.concat(F.lit('[project]\nname = "'), "p_brand", F.lit('"\nsize = '), F.col("p_size").cast("string"), F.lit("\n"))
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.lit("pyproject.toml").alias("source_locator"), text.alias("text"))
+    keys = F.explode(F.array(*(F.lit(f"pyproject.toml#project.{k}") for k in ("name", "size", "none"))))
+    return inspect.structured(a.select("artifact_id", keys.alias("locator")), a)
+
+
 @query
 def inspect_pointers(spark, d):
     a = _props(spark, d)
@@ -230,6 +251,19 @@ def _tree_deltas(spark, d):
     return delta.tree_deltas(L.tree(spark, d, "previous"), L.tree(spark, d, "current"))
 
 
+@query
+def delta_identities(spark, d):
+    """Identities of changed artifacts, facts and paths."""
+    was, now = _sides(spark, d)
+    a, p = _artifact_deltas(spark, d), _tree_deltas(spark, d)
+    s = delta.structural_deltas(_facts(was), _facts(now), a)
+    return (
+        a.select(F.lit("artifact").alias("kind"), F.col("source_locator").alias("at"), F.col("artifact_delta_id").alias("id"))
+        .unionByName(s.select(F.lit("structure").alias("kind"), F.concat_ws("|", "source_locator", "structural_key").alias("at"), F.col("structural_delta_id").alias("id")))
+        .unionByName(p.select(F.lit("path").alias("kind"), F.col("path").alias("at"), F.col("git_path_delta_id").alias("id")))
+    )
+
+
 @query
 def tree_path_diff(spark, d):
     return _tree_deltas(spark, d).select("path", "change_type", "surface", "previous_object_sha", "current_object_sha")
