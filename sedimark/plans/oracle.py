@@ -254,4 +254,46 @@ ORACLES: dict[str, str] = {
     "closed_set_check": """select * from (select 'left' as side, count(*) as n from (select doc_id from labels except select doc_id from documents) union all select 'right', count(*) from (select doc_id from documents except select doc_id from labels)) where n > 0""",
     "duplicate_keys": "select count(*) as n from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)",
     "count_mismatches": "select o_orderkey, declared, actual from (select o_orderkey, o_orderkey % 8 as declared, coalesce(n, 0) as actual from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey) where declared <> actual",
+    "inconsistent_metadata": "select s_suppkey, s_suppkey % 3 = 0 as private, case when s_suppkey % 4 = 0 then 'private' else 'public' end as visibility from supplier where (s_suppkey % 3 = 0) <> (s_suppkey % 4 = 0)",
+    "commit_facts": """select o_orderkey as artifact_id, '$git/commit#/' || unnest(['sha', 'tree_sha', 'parent_shas', 'parent_count', 'author_date', 'committer_date']) as locator,
+      unnest([sha256(o_orderkey::varchar), sha256(o_orderpriority), '["' || (o_orderkey - 1) || '"]', '1', strftime(o_orderdate, '%Y-%m-%d'), case when o_orderkey % 4 <> 0 then strftime(o_orderdate, '%Y-%m-%d') else 'null' end]) as value from orders""",
+    "event_facts": """select user_id as artifact_id, '$github/events#/events/' || place || '/' || k as locator, v as value from (select user_id, place, unnest(['id', 'node_id', 'event', 'actor', 'commit_id', 'created_at']) as k,
+        unnest([event_id::varchar, 'n' || event_id, event_type, user_id::varchar, case when event_id % 3 = 0 then event_id::varchar end, strftime(ts, '%Y-%m-%dT%H:%M:%SZ')]) as v
+        from (select *, row_number() over (partition by user_id order by date_trunc('second', ts), event_id) - 1 as place from events)) where v is not null""",
+    "repository_metadata_facts": """select s_suppkey as artifact_id, '$github/repository#/' || unnest(['id', 'owner', 'name', 'default_branch', 'archived', 'fork', 'visibility']) as locator,
+      unnest([s_suppkey::varchar, lower(s_name), s_name, case when s_nationkey <> 3 then 'main' else 'null' end, (s_suppkey % 2 = 0)::varchar, 'false', 'public']) as value from supplier""",
+    "workflow_step_facts": """select l_orderkey % 100 as artifact_id, k as field, v as value, count(*) as n from (select l_orderkey, unnest(['number', 'name', 'status', 'conclusion', 'started_at', 'completed_at']) as k,
+      unnest([l_linenumber::varchar, l_returnflag, 'completed', case when l_linestatus = 'O' then 'success' else 'null' end, strftime(l_shipdate, '%Y-%m-%d'), 'null']) as v from lineitem) group by all""",
+    "tree_facts": f"""with t as (select *, string_split(path, '/')[1] as tree_sha from {TC})
+      select tree_sha, locator, 'sha256:' || sha256(v) as value_hash from (
+        select tree_sha, '$git/tree#/entries/' || replace(replace(path, '~', '~0'), '/', '~1') || '/' || unnest(['entry_type', 'mode', 'object_sha', 'size']) as locator, unnest([entry_type, mode, object_sha, size::varchar]) as v from t
+        union all select tree_sha, '$git/tree#/' || unnest(['entry_count', 'entry_paths']), unnest([count(*)::varchar, to_json(list(path order by path))::varchar]) from t group by tree_sha)""",
+    "incomplete_collections": "select l_orderkey, o_orderkey % 5 as jobs_total, count(*) as n_jobs from lineitem join orders on l_orderkey = o_orderkey group by all having count(*) <> o_orderkey % 5",
+    "job_logs": """select o_orderstatus as conclusion, case when o_orderkey % 3 = 0 then null when o_orderkey % 2 = 0 then 'available' else 'expired' end as availability, case when o_orderkey % 3 = 0 then null when o_orderkey % 2 = 0 then 302 else 410 end as http_status,
+      case when o_orderkey % 3 = 0 then null else o_orderkey % 2 = 0 end as redirected, count(*) as n from orders group by all""",
+    "registry_drift": """select s_suppkey, case when s_suppkey % 6 = 0 then s_name || '!' else s_name end as s_name, case when s_suppkey % 10 <> 0 then s_nationkey end as s_nationkey from supplier
+      where s_suppkey % 6 = 0 or (s_suppkey % 10 = 0 and s_nationkey is not null)""",
+    "resolution_conflicts": "select c_custkey as hit_id, c_nationkey as source_id, 'unresolved' as state from customer where c_custkey % 8 = 0",
+    "authorised_captures": """with latest as (select o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k as loc from orders group by 1)
+      select o_orderkey as capture_id, o.o_custkey as source_id, loc as repository_locator_id from orders o join latest l on o.o_custkey = l.o_custkey where loc % 10 < 7 and loc % 9 <> 0""",
+    "backdated_assignments": "select event_id from events where event_id % 4 = 0 and date_trunc('day', ts) <> ts",
+    "incomplete_runs": "select o_orderkey as run_id from orders where o_orderkey % 11 = 0 or o_orderstatus = 'P' or o_orderkey % 7 = 0",
+    "out_of_order": "select l_returnflag, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate group by 1",
+    "scope_mismatches": f"""select * from (select 'both' as side, 'not captured' as fault, count(*) as n from (select path from {TP} except select path from {TC})
+      union all select 'both', 'not required', count(*) from (select path from {TC} except select path from {TP})) where n > 0""",
+    "multiple_successors": "select user_id as superseded, count(*) as n from events where event_type <> 'view' group by 1 having count(*) > 1",
+    "pattern_faults": """select event_type, what, count(*) as n_values, sum(n)::bigint as n_occurrences from (select event_type, 'source_id' as what, user_id::varchar as v, count(*) as n from events group by all
+      union all select event_type, 'source_revision_id', date_trunc('day', ts)::varchar, count(*) from events group by all) where n > 1 group by all""",
+    "matching_facts": """select c_custkey as selector_id, coalesce(count(*) filter (case when c_custkey % 2 = 0 then json_extract_string(props, '$.k') = (c_custkey % 10)::varchar else contains(json_extract_string(props, '$.k'), (c_custkey % 10)::varchar) end), 0) as n_matches
+      from customer left join events on user_id = c_custkey group by c_custkey""",
+    "comparison_pair_faults": """with p as (select o_orderkey as pair_id, lag(o_custkey) over w % 3 as ps, o_custkey % 3 as cs, lag(o_orderdate) over w as po, o_orderdate as co, lag(o_orderkey) over w as pc, case when o_orderkey % 8 = 0 then 0 else o_orderkey end as cc
+        from orders window w as (partition by o_orderkey % 50 order by o_orderkey))
+      select pair_id, 'another source' as fault from p where pc is not null and ps <> cs union all select pair_id, 'revision newer than the current one' from p where po > co union all select pair_id, 'capture newer than the current one' from p where pc > cc""",
+    "comparison_run_faults": """with runs as (select s_suppkey as run_id, s_suppkey % 11 = 0 as other, s_suppkey % 7 = 0 as open, s_suppkey % 5 = 0 as bare, s_suppkey % 2 as code, s_suppkey % 3 = 0 as nopolicy from supplier where s_suppkey % 13 <> 0),
+      p as (select s_suppkey as pair_id, a.run_id as pr, a.other as po, a.open as pf, a.bare as pb, b.run_id as cr, b.other as co, b.open as cf, b.bare as cb, a.code <> b.code as c, a.nopolicy <> b.nopolicy as n
+        from supplier left join runs a on a.run_id = s_suppkey left join runs b on b.run_id = s_suppkey + 1 + s_suppkey % 2)
+      select pair_id, fault from (select pair_id, unnest(['previous: unknown run', 'previous: another type', 'previous: unfinished', 'previous: no digest', 'current: unknown run', 'current: another type', 'current: unfinished', 'current: no digest', 'unlike code_version', 'unlike policy_version']) as fault,
+        unnest([pr is null, po, pf, pb, cr is null, co, cf, cb, c, n]) as hit from p) where hit""",
+    "generation_faults": "select l_orderkey as interval_id, (l_partkey % 4)::varchar as policy_version, count(*) as n_summaries from lineitem group by all having count(*) <> 1",
+    "tampered_runs": """select distinct source as run_id from documents where (source = 'src3' and doc_id % 97 = 0) or (source = 'src5' and doc_id % 50 = 5 and text is not null)""",
 }

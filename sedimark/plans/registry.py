@@ -12,8 +12,8 @@ from ..functions import columns as C
 from ..operators import delta, extract, governance, guards, inspect, planning, reasoning
 from ..operators import capture as cap
 from ..sources import tables
+from . import comparison, pipelines
 from . import lenses as L
-from . import pipelines
 from .oracle import ORACLES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,6 +631,203 @@ def count_mismatches(spark, d):
     return guards.count_mismatches(s, li, "o_orderkey", "declared")
 
 
+# provider facts, guards and comparisons
+
+
+@query
+def inconsistent_metadata(spark, d):
+    s = L.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3 == 0).alias("private"), F.when(F.col("s_suppkey") % 4 == 0, "private").otherwise("public").alias("visibility"))
+    return cap.inconsistent_metadata(s)
+
+
+@query
+def commit_facts(spark, d):
+    """Orders as commits whose parent is the order before."""
+    o = L.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    rows = o.select(
+        key.alias("artifact_id"), F.sha2(key.cast("string"), 256).alias("sha"), F.sha2("o_orderpriority", 256).alias("tree_sha"), F.array((key - 1).cast("string")).alias("parent_shas"), F.lit(1).alias("parent_count"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_date"), F.when(key % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("committer_date"),
+    )
+    return cap.commit_facts(rows).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def event_facts(spark, d):
+    """Each user's events as the history of an issue, in order; null fields make no fact."""
+    e = L.events(spark, d)
+    one = F.struct(
+        F.col("event_id").alias("id"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("node_id"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("actor"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("commit_id"), F.lit(None).cast("string").alias("commit_url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+    )
+    histories = cap.ordered_events(e.groupBy(F.col("user_id").alias("artifact_id")).agg(F.collect_list(one).alias("events")))
+    return cap.event_facts(histories).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def repository_metadata_facts(spark, d):
+    s = L.table(spark, d, "supplier")
+    rows = s.select(
+        F.col("s_suppkey").alias("artifact_id"), F.col("s_suppkey").alias("id"), F.lower("s_name").alias("owner"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") != 3, "main").alias("default_branch"),
+        (F.col("s_suppkey") % 2 == 0).alias("archived"), F.lit(False).alias("fork"), F.lit("public").alias("visibility"),
+    )
+    return cap.metadata_facts(rows).select("artifact_id", "locator", F.col("normalized_value").alias("value"))
+
+
+@query
+def workflow_step_facts(spark, d):
+    """Orders as jobs, their line items as steps."""
+    li = L.table(spark, d, "lineitem")
+    step = F.struct(F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("name"), F.lit("completed").alias("status"), F.when(F.col("l_linestatus") == "O", "success").alias("conclusion"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("started_at"), F.lit(None).cast("string").alias("completed_at"))
+    jobs = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(step).alias("steps")).withColumn("artifact_id", F.col("id") % 100)
+    return cap.step_facts(jobs).groupBy("artifact_id", F.substring_index("locator", "/", -1).alias("field"), F.col("normalized_value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query
+def tree_facts(spark, d):
+    t = L.tree(spark, d, "current").withColumn("tree_sha", F.split("path", "/")[0])
+    return cap.tree_facts(t).select("tree_sha", "locator", C.digest("normalized_value").alias("value_hash"))
+
+
+@query
+def incomplete_collections(spark, d):
+    o = L.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 5).alias("jobs_total"), F.lit(0).alias("artifacts_total"))
+    n = L.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("jobs"))
+    runs = o.join(n, "l_orderkey").withColumn("artifacts", F.array().cast("array<int>"))
+    return cap.incomplete_collections(runs).select("l_orderkey", "jobs_total", F.size("jobs").alias("n_jobs"))
+
+
+@query
+def job_logs(spark, d):
+    """Jobs with the probe of their log, where there is one."""
+    jobs = L.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("conclusion"))
+    probes = jobs.where("id % 3 <> 0").select(F.col("id").alias("job_id"), F.when(F.col("id") % 2 == 0, "available").otherwise("expired").alias("availability"), F.when(F.col("id") % 2 == 0, 302).otherwise(410).alias("http_status"), (F.col("id") % 2 == 0).alias("redirected"))
+    return cap.jobs_with_logs(jobs, probes).groupBy("conclusion", "availability", "http_status", "redirected").agg(F.count("*").alias("n"))
+
+
+@query
+def registry_drift(spark, d):
+    """Suppliers observed again, some renamed, some moved to no nation."""
+    s = L.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    again = s.withColumn("s_name", F.when(F.col("s_suppkey") % 6 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name"))).withColumn("s_nationkey", F.when(F.col("s_suppkey") % 10 != 0, F.col("s_nationkey")))
+    return cap.drift(s, again, "s_suppkey", ["s_name", "s_nationkey"])
+
+
+@query
+def resolution_conflicts(spark, d):
+    c = L.table(spark, d, "customer").select(F.col("c_custkey").alias("hit_id"), F.col("c_nationkey").alias("source_id"), F.lit("resolved").alias("state"))
+    again = c.where("hit_id % 2 = 0").withColumn("state", F.when(F.col("hit_id") % 8 == 0, "unresolved").otherwise(F.col("state")))
+    return governance.resolution_conflicts(c, again, "hit_id", ["source_id", "state"])
+
+
+@query
+def authorised_captures(spark, d):
+    """Orders as captures of customers; a customer's latest locator must come from a registry run and be resolved once."""
+    o = L.table(spark, d, "orders")
+    captures = o.select(F.col("o_orderkey").alias("capture_id"), F.col("o_custkey").alias("source_id"))
+    locators = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("repository_locator_id"), F.col("o_orderdate").alias("observed_at"), (F.col("o_orderkey") % 10).cast("string").alias("pipeline_run_id"))
+    runs = spark.range(10).select(F.col("id").cast("string").alias("run_id"), F.when(F.col("id") < 7, "registry").otherwise("capture").alias("run_type"))
+    resolutions = o.select(F.col("o_orderkey").alias("repository_locator_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0))).alias("k"))
+    return cap.authorised(captures, locators, runs, resolutions).select("capture_id", "source_id", "repository_locator_id")
+
+
+@query
+def backdated_assignments(spark, d):
+    e = L.events(spark, d).select("event_id", F.col("ts").alias("recorded_at"), F.when(F.col("event_id") % 4 == 0, F.date_trunc("day", "ts")).otherwise(F.col("ts")).alias("effective_at"))
+    return governance.backdated(e).select("event_id")
+
+
+@query
+def incomplete_runs(spark, d):
+    o = L.table(spark, d, "orders")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 11 == 0, "capture").otherwise("extraction").alias("run_type"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("finished_at"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("outputs_hash"))
+    return guards.incomplete_runs(runs, "extraction").select("run_id")
+
+
+@query
+def out_of_order(spark, d):
+    """Line items shipped before they were ordered."""
+    both = L.table(spark, d, "lineitem").join(L.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return guards.out_of_order(both, "o_orderdate", "l_shipdate").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query
+def scope_mismatches(spark, d):
+    side = lambda s: L.tree(spark, d, s).select(F.lit("both").alias("side"), "path")
+    return planning.scope_mismatches(side("previous"), side("current")).groupBy("side", "fault").agg(F.count("*").alias("n"))
+
+
+@query
+def multiple_successors(spark, d):
+    return reasoning.multiple_successors(L.events(spark, d).select(F.when(F.col("event_type") != "view", F.col("user_id")).alias("superseded")), "superseded")
+
+
+@query
+def pattern_faults(spark, d):
+    e = L.events(spark, d).select("event_type", F.col("user_id").alias("source_id"), F.date_trunc("day", "ts").cast("string").alias("source_revision_id"))
+    return reasoning.pattern_faults(e, "event_type").groupBy("event_type", "what").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_occurrences"))
+
+
+@query
+def matching_facts(spark, d):
+    """Selectors on a JSON field of the facts of a path."""
+    facts = L.events(spark, d).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_locator"), F.col("props").alias("normalized_value"))
+    wanted = L.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("selector_id"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("source_locator"), F.lit("k").alias("field"),
+        F.when(F.col("c_custkey") % 2 == 0, "equals").otherwise("contains").alias("op"), (F.col("c_custkey") % 10).cast("string").alias("expected"),
+    )
+    return reasoning.matching_facts(facts, wanted).select("selector_id", "n_matches")
+
+
+@query
+def comparison_pair_faults(spark, d):
+    """Consecutive orders as captures; sources are customers or, for some, priorities; some are dated the other way round."""
+    o = L.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    w = W.partitionBy((F.col("o_orderkey") % 50).alias("k")).orderBy("o_orderkey")
+    pairs = o.select(
+        F.col("o_orderkey").alias("pair_id"), (F.lag("o_custkey").over(w) % 3).alias("previous_source_id"), (F.col("o_custkey") % 3).alias("current_source_id"), F.lag("o_orderdate").over(w).alias("previous_observed_at"),
+        F.col("o_orderdate").alias("current_observed_at"), F.lag("o_orderkey").over(w).alias("previous_captured_at"), F.when(F.col("o_orderkey") % 8 == 0, 0).otherwise(F.col("o_orderkey")).alias("current_captured_at"),
+    ).where("previous_captured_at is not null")
+    return comparison.pair_faults(pairs)
+
+
+@query
+def comparison_run_faults(spark, d):
+    """Pairs of extraction runs of which some are unknown, of another type, unfinished, without digest or of another generation."""
+    s = L.table(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    runs = s.where("s_suppkey % 13 <> 0").select(
+        key.alias("run_id"), F.when(key % 11 == 0, "capture").otherwise("extraction").alias("run_type"), F.when(key % 7 != 0, F.lit("2026-01-01")).alias("finished_at"), F.when(key % 5 != 0, F.lit("x")).alias("outputs_hash"),
+        (key % 2).cast("string").alias("code_version"), F.lit("1").alias("contract_schema_version"), F.when(key % 3 != 0, F.lit("p")).alias("policy_version"),
+    )
+    pairs = s.select(key.alias("pair_id"), key.alias("previous_run_id"), (key + 1 + key % 2).alias("current_run_id"))
+    return comparison.run_faults(pairs, runs)
+
+
+@query
+def generation_faults(spark, d):
+    """Line items as interval summaries: order and part size class have one each, or they are listed."""
+    li = L.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("interval_id"), (F.col("l_partkey") % 4).cast("string").alias("policy_version"))
+    return comparison.generation_faults(li, ["interval_id"], ["policy_version"])
+
+
+def _outputs(spark, d, changed: bool):
+    a = L.artifacts(spark, d).withColumn("run_id", F.split("source_locator", "/")[0])
+    value = F.col("normalized_value")
+    if changed:
+        value = F.when((F.col("artifact_id") % 97 == 0) & (F.col("run_id") == "src3"), F.concat(value, F.lit("!"))).otherwise(value)
+    facts = extract.path_facts(a).withColumn("run_id", F.split("source_locator", "/")[0]).withColumn("evidence_id", F.col("locator")).withColumn("normalized_value", value)
+    said = a.where("text is not null").select("run_id", F.col("source_locator").alias("assertion_id"), "artifact_id", F.col("source_locator").alias("locator"), F.substring("text", 1, 20).alias("statement"), F.lit("t").alias("extractor_name"), F.lit("1").alias("extractor_version"))
+    return {"facts": facts, "assertions": said if not changed else said.where("not (run_id = 'src5' and artifact_id % 50 = 5)")}
+
+
+@query
+def tampered_runs(spark, d):
+    """Runs whose stored facts or assertions were changed after their digest was recorded."""
+    recorded = comparison.outputs_digest(_outputs(spark, d, False)).select("run_id", "outputs_hash")
+    return comparison.tampered_runs(recorded, _outputs(spark, d, True)).select("run_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
