@@ -11,8 +11,8 @@ Two bounds save work and lose nothing: a unit within reach of a template holds o
 make up the cosine), and the terms it shares with all templates weigh enough against its other terms.
 
 Comparing needs no shuffle: it is an expression of the row, and its small result is written once. Directories are resolved on their distinct paths: licence
-files by directory, joined to each directory's ancestors, the deepest taken; that small table is joined to the files, where adaptive execution
-may split a directory that holds a large part of all rows.
+files by directory, joined to each directory's ancestors, the deepest taken; that small table is joined to the files, by broadcast for the
+directories that hold a large part of all rows.
 
 Defined results: null text counts as empty; null parts of a path are left out, and a file without directories is in the root ''; rows that
 repeat are scanned one by one; an empty table gives no rows; other columns are ignored.
@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 LEAST, FILE_SHARE, HEADER_LINES = 0.6, 0.15, 25
 
@@ -191,8 +191,7 @@ def directory_licenses(found: DataFrame) -> DataFrame:
 def scanned(files: DataFrame) -> DataFrame:
     """A row for each file: own licence and score, and the licence it has in the end, with the directory it comes from."""
     found = written(notices(files))
-    held = directory_licenses(found)
-    joined = found.join(held, "dir", "left")
+    joined = spread_join(found, written(directory_licenses(found)), ["dir"])
     own = F.col("own_license").isNotNull()
     return joined.select(
         "doc_id", "dir", "n_words", "license_words", "own_license", F.round("own_score", 4).alias("own_score"),
