@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's
 docs. All but the last return the columns of documents; the last has (doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids), a row
 for each document of the mix as often as it is taken.
+
+Defined results: a null text counts as empty and goes at the quality rules; rows with a null doc_id pass near-dedup as they are; a null source is one of its
+own; of rows that repeat an id and text near-dedup keeps one, while another text under the same id is a document of its own; ties go to the
+lesser id; very long texts are processed whole; an empty table gives no rows. Columns beyond those of documents, of any name or type, are carried on by all
+stages but the last.
 """
 
 from __future__ import annotations
