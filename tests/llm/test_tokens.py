@@ -104,3 +104,24 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(tuple(map(str, x)) for x in whole.collect()) == Counter(tuple(map(str, x)) for x in at.collect())
     assert whole.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Empty table, nulls, repeated rows, a very long text, and columns with names that stages might use."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    some = lambda n: " ".join(f"w{r.randint(0, 900)}" for _ in range(n))
+    same = some(80)
+    rows = [(1, same, "en", "a", 5), (1, same, "en", "a", 5), (1, some(90), "en", None, None), (2, some(60_000), None, "b", 0), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, some(70), "en", "b", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, of map<string, int>, `key` string, removed string, n int, h string, component_id string, __id string"
+    full = spark.createDataFrame([(*x, {"a": 1}, "k", "r", 7, "h", "c", "i") for x in rows], schema)
+    for docs in (full, full.limit(0)):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = corpus_pipeline.written(stage(spark, at, str(tmp_path)))
+            assert at.columns == docs.columns, name
+            if name == "SimHash near-dedup" and docs is full:
+                kept = [(x.doc_id, len(x.text.split()), x.of, x["key"], x["__id"]) for x in at.collect()]
+                assert sorted(kept, key=str) == sorted([(i, n, {"a": 1}, "k", "i") for i, n in ((1, 80), (1, 90), (2, 60_000), (None, 70))], key=str)
+        assert corpus_pipeline.encoding(spark, at, str(tmp_path)).count() >= (1 if docs is full else 0)
