@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, itq_dedup, license_scan, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd
+from . import (
+    bpe_codec, itq_dedup, license_scan, packing, phrase_mining, quality_lines, secret_crf, simhash_trie, source_mixing, substring_dedup, token_counts, toxicity_zstd, turn_repair,
+)
 from .common import documents
 from .oracles import ORACLES
 
@@ -51,6 +53,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_itq_dedup": op1_itq_dedup,
@@ -63,8 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": op8_bpe_codec,
         "op9_toxicity_zstd": op9_toxicity_zstd,
         "op10_token_counts": op10_token_counts,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_packing": op12_packing,
+        "op13_phrase_mining": op13_phrase_mining,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op13_phrase_mining": phrase_mining.ORACLE_SQL}
