@@ -78,7 +78,7 @@ def assertion_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def tree_deltas(previous: DataFrame, current: DataFrame, run: str = "run", revisions: tuple[str, str] = ("previous", "current")) -> DataFrame:
+def tree_deltas(previous: DataFrame, current: DataFrame, revisions: tuple[str, str], run: str = "run") -> DataFrame:
     """Path changes of two recursive trees (path, entry_type, mode, object_sha, size); directories alone make none.
 
     Both revisions are part of a change's identity, so the intervals of one run don't collide."""

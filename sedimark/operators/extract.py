@@ -21,11 +21,11 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from . import ordering
 
 OUT = "source_locator string, kind string, locator string, value string, normalized string, extractor_name string, extractor_version string, error_type string, error_message string"
 
@@ -369,19 +369,18 @@ def diagnostics_of(rows: DataFrame) -> DataFrame:
 
 
 def numbered_facts(facts: DataFrame, run: str, by: str = "capture_id") -> DataFrame:
-    """Facts of a run with their place in the total order of each capture, and identities made of it."""
-    order = W.partitionBy(by).orderBy("extractor_name", "locator", "normalized_value")
-    return facts.withColumn("fact_index", F.row_number().over(order)).withColumn(
-        "evidence_id", C.identity("fact", F.lit(run), F.col("fact_index"), F.col("extractor_name"), F.col("locator"))
-    )
+    """Facts of a run with their place in the total order of each capture, and identities made of it. The order is made by ranges: a capture may be of any size."""
+    out = ordering.numbered(facts, "fact_index", [by], ["extractor_name", "locator", "normalized_value"])
+    return out.withColumn("evidence_id", C.identity("fact", F.lit(run), F.col("fact_index"), F.col("extractor_name"), F.col("locator")))
 
 
 def numbered_assertions(assertions: DataFrame, run: str, by: str = "capture_id") -> DataFrame:
+    """Assertions likewise, in order of path, first and last line, extractor and statement; a locator without lines stands where its whole text sorts among the paths."""
     first, last = C.locator_lines("locator")
-    order = W.partitionBy(by).orderBy("source_locator", F.coalesce(first, F.lit(-1)), F.coalesce(last, F.lit(-1)), "extractor_name", "statement")
-    return assertions.withColumn("assertion_index", F.row_number().over(order)).withColumn(
-        "assertion_id", C.identity("assertion", F.lit(run), F.col("assertion_index"), F.col("extractor_name"), F.col("locator"))
-    )
+    path = F.when(first.isNull(), F.col("locator")).otherwise(F.col("source_locator"))
+    keyed = assertions.withColumn("path_", path).withColumn("first_line_", F.coalesce(first, F.lit(-1))).withColumn("last_line_", F.coalesce(last, F.lit(-1)))
+    out = ordering.numbered(keyed, "assertion_index", [by], ["path_", "first_line_", "last_line_", "extractor_name", "statement"]).drop("path_", "first_line_", "last_line_")
+    return out.withColumn("assertion_id", C.identity("assertion", F.lit(run), F.col("assertion_index"), F.col("extractor_name"), F.col("locator")))
 
 
 def envelope(rows: DataFrame, by: list[str], *fields: str):

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import guards
+from . import guards, ordering
 
 # discovery and registry
 
@@ -15,8 +15,7 @@ from . import guards
 def discovery_hits(candidates: DataFrame, run: str, by: str = "discovered_locator", order: str = "position") -> DataFrame:
     """Hits of a run: the first of each locator, numbered in their order."""
     first = candidates.groupBy(by).agg(F.min(order).alias(order))
-    ordinal = F.row_number().over(W.partitionBy(F.lit(run)).orderBy(order))
-    return first.withColumn("ordinal", ordinal).withColumn("discovery_hit_id", C.identity("discovery-hit", F.lit(run), by))
+    return ordering.numbered(first, "ordinal", [], [order, by]).withColumn("discovery_hit_id", C.identity("discovery-hit", F.lit(run), by))
 
 
 def latest_locators(locators: DataFrame, by: str, *order: str) -> DataFrame:
@@ -44,27 +43,36 @@ def resolution_conflicts(old: DataFrame, new: DataFrame, key: str, fields: list[
 # tracking
 
 
-def as_of(facts: DataFrame, timeline: DataFrame, by: str, at: str, effective: str, *values: str) -> DataFrame:
+def as_of(facts: DataFrame, timeline: DataFrame, by: str, at: str, effective: str, *values: str, crowd: int = ordering.CROWD) -> DataFrame:
     """facts with the values of the latest timeline row of their key that is in effect at their time (null before the first).
 
-    One sort-based pass: both sides are sorted together by key and time, and the last timeline row is carried on. Work is
-    proportional to the rows, where a range join would meet every earlier row.
+    Both sides are sorted together by key and time, and the last timeline row is carried on: work is
+    proportional to the rows, where a range join would meet every earlier row. Keys with more than a crowd of rows are sorted by ranges of key and time
+    (`ordering.last_before`), so that no task sorts all rows of one.
     """
     cols = [c for c in facts.columns if c != by]
     a = facts.select(by, F.col(at).alias("__t"), F.lit(1).alias("__k"), F.struct(*cols).alias("__row"), F.lit(None).cast(timeline.select(F.struct(*values)).schema[0].dataType).alias("__v"))
     b = timeline.select(by, F.col(effective).alias("__t"), F.lit(0).alias("__k"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__v"))
+    cold, hot = ordering.split_hot(a.unionByName(b), by, crowd)
     last = F.last("__v", ignorenulls=True).over(W.partitionBy(by).orderBy("__t", "__k").rowsBetween(W.unboundedPreceding, 0))
-    return a.unionByName(b).withColumn("__v", last).where("__k = 1").select(by, "__row.*", *(F.col(f"__v.{v}").alias(v) for v in values))
+    out = cold.withColumn("__v", last).where("__k = 1")
+    if hot is not None:
+        # facts of one moment may lie in several ranges: their digest is part of the order
+        spread = hot.withColumn("__h", F.when(F.col("__k") == 1, F.xxhash64("__row")).otherwise(0))
+        out = out.unionByName(ordering.last_before(spread, by, ["__t", "__k", "__h"], "__v", F.col("__k") == 1).drop("__h"))
+    return out.select(by, "__row.*", *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
 def timeline_ties(timeline: DataFrame, by: str, effective: str) -> DataFrame:
     return guards.duplicates(timeline, by, effective)
 
 
-def history(timeline: DataFrame, by: str, ident: str, *order: str) -> DataFrame:
-    """Assignments with the one they supersede."""
+def history(timeline: DataFrame, by: str, ident: str, *order: str, crowd: int = ordering.CROWD) -> DataFrame:
+    """Assignments with the one they supersede; keys with more than a crowd of rows are ordered by ranges."""
+    cold, hot = ordering.split_hot(timeline, by, crowd)
     w = W.partitionBy(by).orderBy(*order)
-    return timeline.withColumn("supersedes", F.lag(ident).over(w)).withColumn("version", F.row_number().over(w))
+    out = cold.withColumn("supersedes", F.lag(ident).over(w)).withColumn("version", F.row_number().over(w).cast("long"))
+    return out if hot is None else out.unionByName(ordering.with_previous(hot, by, [*order], ident, "supersedes", "version"))
 
 
 #: Levels with capture depth and its rank, polling, and whether current process state, its history and reasoning are allowed.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import extract
+from . import envelopes
 
 #: What an extraction's outputs are, and the fields that authenticate each.
 PARTS = {
@@ -21,11 +22,13 @@ PARTS = {
 
 
 def pair_faults(pairs: DataFrame) -> DataFrame:
-    """(pair_id, fault) of pairs of captures: previous_ and current_ source_id, observed_at, captured_at."""
+    """(pair_id, fault) of pairs of captures: previous_ and current_ source_id, observed_at, captured_at. A time that isn't known is a fault."""
+    unknown = lambda c: F.col(f"previous_{c}").isNull() | F.col(f"current_{c}").isNull()
     faults = F.array_compact(F.array(
         F.when(~F.col("previous_source_id").eqNullSafe(F.col("current_source_id")), "another source"),
         F.when(F.col("previous_observed_at") > F.col("current_observed_at"), "revision newer than the current one"),
         F.when(F.col("previous_captured_at") > F.col("current_captured_at"), "capture newer than the current one"),
+        F.when(unknown("observed_at"), "revision without a time"), F.when(unknown("captured_at"), "capture without a time"),
     ))
     return pairs.select("pair_id", F.explode(faults).alias("fault"))
 
@@ -43,9 +46,12 @@ def run_faults(pairs: DataFrame, runs: DataFrame, fields: tuple[str, ...] = ("co
     return met.select("pair_id", F.explode(F.array_compact(F.array(*of("previous"), *of("current"), *unlike))).alias("fault"))
 
 
-def generation_faults(summaries: DataFrame, by: list[str], generation: list[str]) -> DataFrame:
-    """Intervals that don't have exactly one summary of a generation (the fields that name it)."""
-    return summaries.groupBy(*by, *generation).agg(F.count("*").alias("n_summaries")).where("n_summaries <> 1")
+def generation_faults(summaries: DataFrame, by: list[str], generation: list[str], intervals: DataFrame | None = None) -> DataFrame:
+    """Intervals that don't have exactly one summary of a generation (the fields that name it); of the given intervals also those that have none at all."""
+    n = summaries.groupBy(*by, *generation).agg(F.count("*").alias("n_summaries"))
+    if intervals is not None:
+        n = intervals.select(*by).distinct().join(n, by, "left").fillna(0, ["n_summaries"])
+    return n.where("n_summaries <> 1")
 
 
 def outputs_digest(outputs: dict[str, DataFrame], by: str = "run_id") -> DataFrame:
@@ -58,7 +64,29 @@ def outputs_digest(outputs: dict[str, DataFrame], by: str = "run_id") -> DataFra
     return parts.groupBy(by).agg(C.digest(whole).alias("outputs_hash"), F.sum("n_rows").alias("n_rows"))
 
 
+#: The digest of a run without any outputs.
+EMPTY = envelopes.EMPTY
+
+
 def tampered_runs(recorded: DataFrame, outputs: dict[str, DataFrame], by: str = "run_id") -> DataFrame:
-    """Recorded runs (run_id, outputs_hash) whose stored outputs no longer give their digest; a run without any outputs can't give one."""
+    """Recorded runs (run_id, outputs_hash) whose stored outputs no longer give their digest; a run without outputs has that of the empty text."""
     found = outputs_digest(outputs, by).select(by, F.col("outputs_hash").alias("found_hash"))
-    return recorded.join(found, by, "left").where(~F.col("outputs_hash").eqNullSafe(F.col("found_hash"))).select(by, "outputs_hash", "found_hash")
+    met = recorded.join(found, by, "left").withColumn("found_hash", F.coalesce("found_hash", F.lit(EMPTY)))
+    return met.where(~F.col("outputs_hash").eqNullSafe(F.col("found_hash"))).select(by, "outputs_hash", "found_hash")
+
+
+def strict_faults(pairs: DataFrame, diagnostics: DataFrame, runs: DataFrame, strict_policy: str) -> DataFrame:
+    """(pair_id, fault) of pairs whose extraction runs have diagnostics (run_id) or were made under another policy than the strict one."""
+    gaps = diagnostics.groupBy("run_id").agg(F.count("*").alias("n"))
+    side = lambda s: pairs.select("pair_id", F.lit(s).alias("side"), F.col(f"{s}_run_id").alias("run_id"))
+    met = side("previous").unionByName(side("current")).join(gaps, "run_id", "left").join(runs.select("run_id", "policy_version"), "run_id", "left")
+    faults = F.array_compact(F.array(
+        F.when(F.col("n") > 0, F.concat("side", F.lit(": diagnostics"))), F.when(~F.col("policy_version").eqNullSafe(F.lit(strict_policy)), F.concat("side", F.lit(": not strict"))),
+    ))
+    return met.select("pair_id", F.explode(faults).alias("fault"))
+
+
+def foreign_evidence(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(run_id, artifact_id, n): evidence (run_id, capture_id, artifact_id) of artifacts that its capture doesn't hold."""
+    held = artifacts.where("retrieval_status = 'captured'").select("capture_id", "artifact_id").distinct()
+    return evidence.join(held, ["capture_id", "artifact_id"], "left_anti").groupBy("run_id", "artifact_id").agg(F.count("*").alias("n"))

@@ -138,6 +138,9 @@ URL = "(select page_id as artifact_id, regexp_replace(regexp_replace(url, '^[a-z
 SUFFIX = "regexp_extract(lower(string_split(path, '/')[-1]), '[^.].*?(\\.[^.]+)$', 1)"
 PY = [("function", "'<module>'", 1), ("assignment", "'f_' || p_partkey", 2), ("call", "'f_' || p_partkey", 2), ("assert", "'f_' || p_partkey", 3)]
 
+MD_PARAGRAPHS = f"select artifact_id, source_locator || ':L' || first_line || '-L' || last_line as locator, statement from {_paragraphs(ART)}"
+MD_ITEMS = _items()
+
 ORACLES: dict[str, str] = {
     "path_facts": f"select artifact_id, source_locator || '#$path.' || k as locator, value from {_path_values(URL)}",
     "surface_classify": f"select path, surface from {_surfaced(f'(select path from {TC} union select path from {TP})')}",
@@ -158,6 +161,24 @@ ORACLES: dict[str, str] = {
       from (values ('', 1), ('function', 1), ('declaration', 1), ('call', 1), ('if', 1), ('throw', 1)) t(kind, n)""",
     "evidence_ordinals": f"""select capture_id, fact_index, locator, 'fact:' || sha256('fact' || chr(0) || 'run' || chr(0) || fact_index || chr(0) || 'artifact-path' || chr(0) || locator) as evidence_id from
       (select *, row_number() over (partition by capture_id order by locator, value) as fact_index from (select string_split(source_locator, '/')[1] as capture_id, source_locator || '#$path.' || k as locator, value from {_path_values(ART)}))""",
+    "assertion_ordinals": f"""select capture_id, assertion_index, locator, 'assertion:' || sha256('assertion' || chr(0) || 'run' || chr(0) || assertion_index || chr(0) || extractor || chr(0) || locator) as assertion_id from
+      (select *, row_number() over (partition by capture_id order by path, first, last, extractor, statement) as assertion_index from (select split_part(locator, '/', 1) as capture_id, locator, extractor, statement,
+        regexp_extract(locator, '^(.*):L([0-9]+)-L([0-9]+)$', 1) as path, regexp_extract(locator, ':L([0-9]+)-L([0-9]+)$', 1)::int as first, regexp_extract(locator, ':L([0-9]+)-L([0-9]+)$', 2)::int as last
+        from (select locator, statement, 'markdown-prose' as extractor from ({MD_PARAGRAPHS}) union all select locator, statement, 'markdown-list' as extractor from ({MD_ITEMS}))))""",
+    "interval_summaries": """with n as (select o_custkey, o_orderpriority, count(*) as n from orders group by all)
+      select c_custkey as interval_id, o_orderpriority as policy_version, coalesce(n, 0)::bigint as n_summaries from customer left join n on o_custkey = c_custkey where coalesce(n, 0) <> 1""",
+    "envelope_chain": """with c as (select c_custkey as id, exists (select 1 from orders o where o.o_custkey = c_custkey and o_orderkey % 7 = 2) as has_change, exists (select 1 from orders o where o.o_custkey = c_custkey and o_orderkey % 7 = 5) as has_segment from customer)
+      select id as interval_id, case when id % 19 = 4 then 'unknown input' when id % 17 = 7 and has_segment then 'other inputs' end as fault,
+        case when id % 19 = 4 then 'extraction' when id % 11 = 3 and has_change then 'change' when id % 13 = 5 then 'plan' when id % 17 = 7 and has_segment then 'reduce' end as first_stage,
+        case when id % 19 = 4 then 'unknown input' when id % 11 = 3 and has_change then 'other outputs' when id % 13 = 5 or (id % 17 = 7 and has_segment) then 'other inputs' end as first_fault
+      from c where id % 19 = 4 or (id % 11 = 3 and has_change) or id % 13 = 5 or (id % 17 = 7 and has_segment)""",
+    "ledger_lookup": """select 'fact:' || o_orderkey as evidence_id, 'run-' || o_custkey % 50 as run_id, '{"p":' || to_json(o_orderpriority) || '}' as normalized_value from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')""",
+    "ledger_point": """select 'fact:' || o_orderkey as evidence_id, 'run-' || o_custkey % 50 as run_id, '{"p":' || to_json(o_orderpriority) || '}' as normalized_value from orders order by o_totalprice desc, o_orderkey limit 3""",
+    "ledger_run": """select 'fact:' || o_orderkey as evidence_id, 'c' || o_custkey as artifact_id, '{"p":' || to_json(o_orderpriority) || '}' as normalized_value from orders where o_custkey % 50 = 7""",
+    "strict_pair_faults": """with s as (select s_suppkey as id, s_nationkey in (select c_nationkey from customer where c_acctbal < -900) as bad, s_suppkey % 3 = 0 as tolerant from supplier),
+      sides as (select id as pair_id, 'previous' as side, id as run from s union all select id, 'current', id + 1 from s), m as (select pair_id, side, coalesce(bad, false) as bad, coalesce(tolerant, true) as loose from sides left join s on s.id = run)
+      select pair_id, side || ': diagnostics' as fault from m where bad union all select pair_id, side || ': not strict' from m where loose""",
+    "foreign_evidence": """select l_orderkey as run_id, l_partkey as artifact_id, count(*) as n from lineitem where l_partkey not in (select p_partkey from part where p_size <> 7) group by all""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",

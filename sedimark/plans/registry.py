@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import columns as C
 from ..operators import delta, extract, governance, guards, inspect, planning, reasoning
 from ..operators import capture as cap
 from ..sources import tables
-from . import comparison, pipelines
+from . import comparison, envelopes, pipelines
 from . import lenses as L
 from .oracle import ORACLES
 
@@ -141,6 +142,14 @@ def evidence_ordinals(spark, d):
     return extract.numbered_facts(f, "run", "capture_id").select("capture_id", "fact_index", "locator", "evidence_id")
 
 
+@query
+def assertion_ordinals(spark, d):
+    """Identities of paragraphs and of list items from their place in the total order of each source, which is by line numbers, not by their text."""
+    a = L.markdown(L.artifacts(spark, d))
+    said = extract.markdown_paragraphs(a).unionByName(extract.markdown_list_items(a)).withColumn("capture_id", F.split("source_locator", "/")[0])
+    return extract.numbered_assertions(said, "run", "capture_id").select("capture_id", "assertion_index", "locator", "assertion_id")
+
+
 @query
 def run_envelopes(spark, d):
     f = extract.path_facts(L.artifacts(spark, d)).withColumn("capture_id", F.split("source_locator", "/")[0])
@@ -248,7 +257,7 @@ def assertion_changes(spark, d):
 
 
 def _tree_deltas(spark, d):
-    return delta.tree_deltas(L.tree(spark, d, "previous"), L.tree(spark, d, "current"))
+    return delta.tree_deltas(L.tree(spark, d, "previous"), L.tree(spark, d, "current"), ("previous", "current"))
 
 
 @query
@@ -387,7 +396,7 @@ def change_signal_counts(spark, d):
     was, now = (x.withColumn("capture_id", F.lit(side)) for x, side in zip(_sides(spark, d), ("previous", "current")))
     tree = lambda x: x.select(F.col("source_locator").alias("path"), F.lit("blob").alias("entry_type"), F.lit("100644").alias("mode"), F.substring(F.coalesce("content_hash", F.lit("sha256:missing")), 8, 40).alias("object_sha"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     touched = L.artifacts(spark, d).where("artifact_id % 2 = 0").select(F.col("source_locator").alias("path"), (F.col("artifact_id") % 9 + 1).alias("commit_ordinal"))
-    r = pipelines.change_signal(was, now, (tree(was), tree(now)), touched, "run")
+    r = pipelines.change_signal(was, now, (tree(was), tree(now)), touched, "run", ("previous", "current"))
     n = lambda df, what: df.agg(F.count("*").alias("n")).withColumn("what", F.lit(what))
     retained = r.reductions.where("disposition = 'retain'")
     return n(r.artifact_deltas, "artifact deltas").unionByName(n(r.path_deltas, "path deltas")).unionByName(n(r.candidates.select(F.explode("paths")), "candidate paths")).unionByName(n(retained, "retained")).unionByName(n(r.reductions, "reductions")).unionByName(n(r.gaps, "gaps")).unionByName(n(r.structural_deltas, "structural deltas"))
@@ -828,6 +837,96 @@ def tampered_runs(spark, d):
     return comparison.tampered_runs(recorded, _outputs(spark, d, True)).select("run_id")
 
 
+@query
+def interval_summaries(spark, d):
+    """Customers as intervals, their orders as summaries by priority: customers without any are listed too."""
+    o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("interval_id"), F.col("o_orderpriority").alias("policy_version"))
+    return comparison.generation_faults(o, ["interval_id"], ["policy_version"], L.table(spark, d, "customer").select(F.col("c_custkey").alias("interval_id")))
+
+
+#: Planted breaks of the chain query: stage and condition on the customer.
+_BREAKS = {"rows": ("change", "id % 11 = 3"), "params": ("plan", "id % 13 = 5"), "signed anew": ("segment", "id % 17 = 7"), "unknown": ("capture", "id % 19 = 4")}
+
+
+@query
+def envelope_chain(spark, d):
+    """Customers as intervals with a run for each stage, their orders as the runs' outputs; breaks of four kinds are planted at four stages.
+
+    Stored rows of `change` are altered, parameters of `plan` differ from those signed, outputs of `segment` are altered and signed anew, and captures have no record. Each interval
+    is told with the first broken stage under its reduction.
+    """
+    stages = list(envelopes.STAGES)
+    ids = L.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    runs = ids.select("id", F.explode(F.array(*map(F.lit, stages))).alias("stage")).select("id", F.concat_ws(":", "id", "stage").alias("run_id"), "stage", F.lit("1").alias("policy_version"), F.lit("{}").alias("params"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, read in envelopes.STAGES.items() for b in read)))
+    reads = ids.select("id", pairs.alias("p")).select(F.concat_ws(":", "id", "p.a").alias("run_id"), F.col("p.b").alias("role"), F.concat_ws(":", "id", "p.b").alias("parent_id"))
+    o = L.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderpriority", F.element_at(F.array(*map(F.lit, stages)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("stage"))
+    rows = o.withColumn("run_id", F.concat_ws(":", "id", "stage"))
+    at = lambda what: (F.col("stage") == _BREAKS[what][0]) & F.expr(_BREAKS[what][1])
+    stored = rows.withColumn("o_orderpriority", F.when(at("rows") | at("signed anew"), F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority")))
+    digests = lambda df: tables.written(envelopes.outputs_of({"rows": (df, ("o_orderkey", "o_orderpriority"))}))
+    before, after = digests(rows), digests(stored)
+    recorded = envelopes.signed(runs.join(before, "run_id", "left").fillna(envelopes.EMPTY, ["outputs_hash"]), reads)
+    anew = after.select("run_id", F.col("outputs_hash").alias("anew"))
+    found = (
+        recorded.join(anew, "run_id", "left").withColumn("outputs_hash", F.when(at("signed anew"), F.coalesce("anew", "outputs_hash")).otherwise(F.col("outputs_hash")))
+        .withColumn("params", F.when(at("params"), F.lit('{"limit":1}')).otherwise(F.col("params"))).where(~at("unknown")).drop("anew")
+    )
+    faults = envelopes.chain_faults(tables.written(found), reads, after)
+    return faults.where("stage = 'reduce'").select(F.split("run_id", ":")[0].cast("long").alias("interval_id"), "fault", "first_stage", "first_fault")
+
+
+def _ledger(spark, d):
+    """A new ledger with the orders as facts of fifty runs."""
+    o = L.table(spark, d, "orders")
+    value = F.to_json(F.struct(F.col("o_orderpriority").alias("p")))
+    rows = o.select(
+        F.concat(F.lit("fact:"), "o_orderkey").alias("evidence_id"), F.concat(F.lit("c"), "o_custkey").alias("artifact_id"), F.concat(F.lit("orders/"), "o_orderkey", F.lit("#p")).alias("locator"), value.alias("raw_value"),
+        value.alias("normalized_value"), F.lit("orders").alias("extractor_name"), F.lit("1").alias("extractor_version"), F.concat(F.lit("run-"), F.col("o_custkey") % 50).alias("run_id"), F.lit("1").alias("schema_version"),
+    )
+    ledger = tables.Ledger(spark, f"{tables.shared_folder(spark)}/ledger-{uuid.uuid4().hex}", buckets=16)
+    ledger.append({"EvidenceFact": rows})
+    return ledger
+
+
+@query
+def ledger_lookup(spark, d):
+    """Facts of the orders that have a returned line item, by their keys."""
+    ids = L.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("fact:"), "l_orderkey").alias("evidence_id"))
+    return _ledger(spark, d).get("EvidenceFact", ids).select("evidence_id", "run_id", "normalized_value")
+
+
+@query
+def ledger_point(spark, d):
+    """Facts of the three dearest orders: buckets by folder, keys in the files."""
+    ids = L.table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select(F.concat(F.lit("fact:"), "o_orderkey").alias("evidence_id"))
+    return _ledger(spark, d).get("EvidenceFact", ids).select("evidence_id", "run_id", "normalized_value")
+
+
+@query
+def ledger_run(spark, d):
+    """Facts that one run made."""
+    return _ledger(spark, d).of_run("EvidenceFact", "run-7").select("evidence_id", "artifact_id", "normalized_value")
+
+
+@query
+def strict_pair_faults(spark, d):
+    """Suppliers as extraction runs; those with customers of their nation in debt have diagnostics, some were made under a tolerant policy."""
+    s = L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run_id"), "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, "tolerant").otherwise("strict").alias("policy_version"))
+    debt = L.table(spark, d, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("s_nationkey"))
+    diagnostics = s.join(debt, "s_nationkey").select("run_id")
+    pairs = s.select(F.col("run_id").alias("pair_id"), F.col("run_id").alias("previous_run_id"), (F.col("run_id") + 1).alias("current_run_id"))
+    return comparison.strict_faults(pairs, diagnostics, s, "strict")
+
+
+@query
+def foreign_evidence(spark, d):
+    """Line items as evidence of their part's artifact, in captures by supplier; parts of some sizes weren't captured."""
+    li = L.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_partkey") % 5).alias("capture_id"), F.col("l_partkey").alias("artifact_id"))
+    p = L.table(spark, d, "part").select((F.col("p_partkey") % 5).alias("capture_id"), F.col("p_partkey").alias("artifact_id"), F.when(F.col("p_size") == 7, "missing").otherwise("captured").alias("retrieval_status"))
+    return comparison.foreign_evidence(li, p)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

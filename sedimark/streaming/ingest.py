@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import Ledger, split_append
+from ..sources.tables import Ledger, written
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,13 +14,19 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def into_ledger(rows: DataFrame, ledger: Ledger, conflicts: str, checkpoint: str):
-    """Starts a query that appends each micro-batch idempotently: repeated rows are no-ops, contradictions go to a side folder."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        new, clash = split_append(batch, ledger.rows(), ["contract_type", "record_id"], "payload_sha256")
-        bad = batch.join(clash, ["contract_type", "record_id"], "left_semi")
-        bad.write.mode("append").json(conflicts)
-        new.join(clash, ["contract_type", "record_id"], "left_anti").write.partitionBy("contract_type").mode("append").parquet(ledger.path)
+    """Starts a query that appends each micro-batch idempotently: repeated rows are no-ops, contradictions go to a side folder of the batch.
+
+    A batch is compared with the ledger's buckets of its own keys, not with the whole ledger. A batch that runs again finds its rows there and replaces its contradictions.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch = written(batch)
+        new, clash = ledger.split(batch)
+        clash = written(clash)
+        batch.join(clash, ["contract_type", "record_id"], "left_semi").write.mode("overwrite").json(f"{conflicts}/batch={number}")
+        fresh = written(new.join(clash, ["contract_type", "record_id"], "left_anti"))
+        if fresh.limit(1).count():
+            ledger.add(fresh)
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

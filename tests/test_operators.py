@@ -283,7 +283,7 @@ def test_extraction_runs(spark):
         pipelines.strict_extraction(artifacts, "r")
     done = pipelines.strict_extraction(artifacts.where("artifact_id <> '2'"), "r")
     assert done.facts.count() == 8 + 2 and done.assertions.count() == 1
-    assert done.facts.select("evidence_id").distinct().count() == 10
+    assert done.recorded_facts().select("evidence_id").distinct().count() == 10 and [r.assertion_index for r in done.recorded_assertions().collect()] == [1]
     _, _, gaps = pipelines.gap_tolerant_pair(artifacts, artifacts.where("artifact_id <> '2'"), "r")
     assert [tuple(r) for r in gaps.collect()] == [("package.json", "previous", "package-json")]
 
