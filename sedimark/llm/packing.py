@@ -55,12 +55,33 @@ class Library(Codec):
             self.find = lambda text: [m for k, part in enumerate(split(text)) for m in ([part] if k % 2 else plain(part))]
         self.clear()
 
+    def _ids(self, matches: list[str], together: int = 2_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The matches in another order, their ids, one after the other, and how many each has.
+
+        Matches of a space and other characters are encoded as one text, many at a time: the pattern cuts before every such space, and the library tells which of its words an id is of.
+        """
+        spaced = [m for m in matches if len(m) > 1 and m[0] == " " and not m[1].isspace()]
+        alone = [m for m in matches if len(m) < 2 or m[0] != " " or m[1].isspace()]
+        order, ids, count = [], [], []
+        groups = [spaced[k : k + together] for k in range(0, len(spaced), together)]
+        for group, e in zip(groups, self.model.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
+            if len(n) == len(group) and n.all():
+                order += group
+                ids.append(e.ids)
+                count.append(n)
+            else:  # never with the usual pattern
+                alone += group
+        for e in self.model.encode_batch(alone, add_special_tokens=False):
+            ids.append(e.ids)
+            count.append([len(e.ids)])
+        return order + alone, np.fromiter((x for part in ids for x in part), np.int32), np.concatenate([np.zeros(0, np.int64), *count]).astype(np.int64)
+
     def _learn(self, matches: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch(matches, add_special_tokens=False)]
+        matches, more, count = self._ids(matches)
         n, at = len(self.known), int(self.ends[len(self.known) - 1]) if self.known else 0
-        more = np.array([x for ids in found for x in ids], np.int32)
         self.ids = np.concatenate([self.ids[:at], more, np.zeros(1 << 16, np.int32)])
-        self.ends = np.concatenate([self.ends[:n], at + np.cumsum([len(ids) for ids in found]), np.zeros(1 << 12, np.int64)])
+        self.ends = np.concatenate([self.ends[:n], at + np.cumsum(count), np.zeros(1 << 12, np.int64)])
         self.known.update(zip(matches, range(n, n + len(matches))))
 
 
@@ -87,7 +108,7 @@ def _parts(text: str, most: int = 1 << 20):
 ROWS = "doc_id long, part long, tokens long, rest long, local long, whole long, ids binary"
 
 
-def tokenised(docs: DataFrame, model: str = MODEL, size: int = SIZE) -> DataFrame:
+def tokenised(docs: DataFrame, model: str = MODEL, size: int = SIZE, remember: int = 600_000) -> DataFrame:
     """ROWS of every document, a written table: its ids with the end mark, the length of its rest, the number of earlier documents of its task with that rest, and of their whole sequences."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -100,7 +121,7 @@ def tokenised(docs: DataFrame, model: str = MODEL, size: int = SIZE) -> DataFram
                 out = []
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 cut = [[*_parts(t)] for t in texts]
-                ids, count = enc.encode([p for parts in cut for p in parts])
+                ids, count = enc.encode([p for parts in cut for p in parts], remember)
                 ends = np.cumsum(np.r_[0, count])[np.cumsum([0, *map(len, cut)])]
                 for doc, a, b in zip(piece.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                     n = b - a + 1
