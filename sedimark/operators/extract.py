@@ -15,6 +15,7 @@ import ast
 import json
 import re
 import tomllib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
-from . import ordering
+from . import ordering, typescript
 
 OUT = "source_locator string, kind string, locator string, value string, normalized string, extractor_name string, extractor_version string, error_type string, error_message string"
 
@@ -257,32 +258,82 @@ def _describe(node: ast.AST) -> tuple[str, dict] | None:
     return None
 
 
-def _python(text: str) -> Iterator[Row]:
-    """Facts of a module in source order, and docstrings as assertions; definitions are entered through their bodies only."""
-    stack: list[tuple[ast.AST, tuple[str, ...]]] = [(ast.parse(text), ())]
+def _python_nodes(text: str) -> Iterator[tuple[str, str, dict, int, int]]:
+    """(kind, locator suffix, fields, pre, post) of a module's evidence in source order; docstrings have kind `docstring`. Definitions are entered through their bodies only.
+
+    Every node takes a number when it is entered and one when it is left: a node lies inside another if its numbers lie between the other's.
+    """
+    found: list[list] = []
+    clock = 0
+    stack: list[tuple] = [(ast.parse(text), (), None)]
     while stack:
-        node, scope = stack.pop()
+        node, scope, opened = stack.pop()
+        clock += 1
+        if node is None:  # leaving
+            found[opened][4] = clock
+            continue
         inner = scope
-        if found := _describe(node):
-            kind, fields = found
+        if described := _describe(node):
+            kind, fields = described
             fields = {"kind": kind, "scope": ".".join(scope) or "<module>", **fields}
             if kind in ("class", "function"):
                 inner = (*scope, node.name)
                 fields["qualified_name"] = ".".join(inner)
             fields |= {"line": node.lineno, "column": node.col_offset, "end_line": node.end_lineno, "end_column": node.end_col_offset}
-            yield "fact", f":L{node.lineno}:C{node.col_offset}-L{node.end_lineno}:C{node.end_col_offset}#python/{kind}", fields, fields, "python-ast"
+            found.append([kind, f":L{node.lineno}:C{node.col_offset}-L{node.end_lineno}:C{node.end_col_offset}#python/{kind}", fields, clock, clock])
+            stack.append((None, (), len(found) - 1))
         entered = isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
         if (entered or isinstance(node, ast.Module)) and node.body and isinstance(d := node.body[0], ast.Expr) and isinstance(d.value, ast.Constant) and isinstance(d.value.value, str):
-            yield "assertion", f":L{d.lineno}-L{d.end_lineno}", d.value.value, None, "python-docstring"
-        stack += [(child, inner) for child in reversed(node.body if entered else [*ast.iter_child_nodes(node)])]
+            found.append(["docstring", f":L{d.lineno}-L{d.end_lineno}", {"text": d.value.value}, clock, clock])
+        stack += [(child, inner, None) for child in reversed(node.body if entered else [*ast.iter_child_nodes(node)])]
+    yield from map(tuple, found)
 
 
-_TS = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
-    r"|\b(?:(?P<function>function)\s*\*?\s*(?P<fname>[\w$]*)|(?P<interface>interface)\s+(?P<iname>[\w$]+)|(?P<type_alias>type)\s+(?P<tname>[\w$]+)[^=\n;]*="
-    r"|(?P<declaration>const|let|var)\s+(?P<dname>[\w$]+)|(?P<throw>throw)\b|(?P<if>if)\s*(?=\())|(?P<call>(?<![\w$.])[A-Za-z_$][\w$]*(?:\.[\w$]+)*)\s*(?=\()",
-    re.DOTALL,
-)
+def _python(text: str) -> Iterator[Row]:
+    """Facts of a module in source order, and docstrings as assertions."""
+    for kind, at, fields, _, _ in _python_nodes(text):
+        if kind == "docstring":
+            yield "assertion", at, fields["text"], None, "python-docstring"
+        else:
+            yield "fact", at, fields, fields, "python-ast"
+
+
+NODES = (
+    "artifact_id {}, source_locator string, locator string, kind string, scope string, name string, args array<string>, keywords map<string,string>, targets array<string>, value_call string, "
+    "value_keywords map<string,string>, expression string, pre long, post long"
+)
+
+
+def python_nodes(artifacts: DataFrame) -> DataFrame:
+    """NODES of Python artifacts: what selectors look at, with pre- and post-order numbers. Artifacts that aren't Python give no rows; parsed() has their diagnostics.
+
+    The numbers are not part of facts: they would change with every line above.
+    """
+    kind_of = artifacts.schema["artifact_id"].dataType.simpleString()
+    texts = lambda v: [x for x in v if x is not None] if v else []
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for artifact, path, text in zip(*(batch.column(c).to_pylist() for c in ("artifact_id", "source_locator", "text"))):
+                try:
+                    nodes = [*_python_nodes(text or "")]
+                except (ValueError, SyntaxError, RecursionError):
+                    continue
+                for kind, at, f, pre, post in nodes:
+                    if kind != "docstring":
+                        name = f.get("qualified_name") or f.get("callee")
+                        out.append((
+                            artifact, path, path + at, kind, f["scope"], name, texts(f.get("args")), [*(f.get("keywords") or {}).items()], texts(f.get("targets")), f.get("value_call"),
+                            [*(f.get("value_call_keywords") or {}).items()], f.get("expression"), pre, post,
+                        ))
+            pairs, strings = pa.map_(pa.string(), pa.string()), pa.list_(pa.string())
+            kinds = [batch.schema.field("artifact_id").type, *[pa.string()] * 5, strings, pairs, strings, pa.string(), pairs, pa.string(), pa.int64(), pa.int64()]
+            names = [c.split()[0] for c in NODES.replace("map<string,string>", "map").split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    python = artifacts.where(F.lower("source_locator").rlike(r"\.pyi?$"))
+    return python.select("artifact_id", F.col("source_locator").cast("string").alias("source_locator"), F.col("text").cast("string").alias("text")).mapInArrow(run, NODES.format(kind_of))
 
 
 def _comment(raw: str) -> str:
@@ -292,29 +343,21 @@ def _comment(raw: str) -> str:
 
 
 def _typescript(text: str) -> Iterator[Row]:
-    """A lexical subset (no grammar is installed): comments, and the heads of functions, calls, ifs, throws, declarations, types and interfaces."""
+    """Comments, and functions, calls, conditions, throws, declarators, aliases and interfaces with their fields (typescript.Scan; no grammar is installed). Columns count bytes."""
+    scan = typescript.Scan(text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    row = 0
 
     def at(k: int) -> tuple[int, int]:
-        nonlocal row
-        while row + 1 < len(starts) and starts[row + 1] <= k:
-            row += 1
+        row = bisect_right(starts, k) - 1
         return row + 1, len(text[starts[row] : k].encode())
 
-    for m in _TS.finditer(text):
-        kind = next((k for k in ("comment", "function", "interface", "type_alias", "declaration", "throw", "if", "call") if m[k]), None)
-        if kind is None or (kind == "call" and m["call"] in ("if", "for", "while", "switch", "catch", "return", "typeof", "await", "function")):
-            continue
-        (line, column), (end, last) = at(m.start()), at(m.end())
-        if kind == "comment":
-            if said := _comment(m[0]):
-                yield "assertion", f":L{line}-L{end}", said, None, "typescript-comment"
-            continue
-        fields = {"kind": kind, "text": m[0], "line": line, "column": column, "end_line": end, "end_column": last}
-        name = next((m[g] for g in ("fname", "iname", "tname", "dname") if m[g]), None)
-        fields |= {"callee": m["call"]} if kind == "call" else {"name": name} if kind in ("function", "interface", "type_alias", "declaration") else {}
-        yield "fact", f":L{line}:C{column}-L{end}:C{last}#typescript/{kind}", fields, fields, "typescript-lexical"
+    for start, end in scan.comments:
+        if said := _comment(text[start:end]):
+            yield "assertion", f":L{at(start)[0]}-L{at(end)[0]}", said, None, "typescript-comment"
+    for f in scan.found():
+        (line, column), (end, last) = at(f.start), at(f.end)
+        fields = {"kind": f.kind, "node_type": f.node_type, "text": text[f.start : f.end], "line": line, "column": column, "end_line": end, "end_column": last} | f.fields
+        yield "fact", f":L{line}:C{column}-L{end}:C{last}#typescript/{f.kind}", fields, fields, "typescript-lexical"
 
 
 DEFAULT = (
@@ -322,7 +365,7 @@ DEFAULT = (
     Extractor("package-json", "1", r"(^|/)package\.json$", _package),
 )
 PYTHON = (*DEFAULT, Extractor("python-ast", "1", r"\.pyi?$", _python))
-TYPESCRIPT = (*PYTHON, Extractor("typescript-lexical", "1", r"\.tsx?$", _typescript))
+TYPESCRIPT = (*PYTHON, Extractor("typescript-lexical", "2", r"\.tsx?$", _typescript))
 JSON = Extractor("json-pointer", "1", r"\.json$", _pointers)
 
 

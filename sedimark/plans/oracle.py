@@ -141,6 +141,16 @@ PY = [("function", "'<module>'", 1), ("assignment", "'f_' || p_partkey", 2), ("c
 MD_PARAGRAPHS = f"select artifact_id, source_locator || ':L' || first_line || '-L' || last_line as locator, statement from {_paragraphs(ART)}"
 MD_ITEMS = _items()
 
+PAGES = """(with o as (select o_custkey as k, o_orderkey as o, count(*) over (partition by o_custkey) as total, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5 + 1 as page from orders),
+  p as (select k, page, any_value(total) as total, list_sort(list(o::varchar)) as items from o group by k, page)
+  select 'c' || k as request, k, page, case when k % 5 <> 4 then total + case when k % 11 = 2 and page = 1 then 1 else 0 end end as total, case when k % 13 = 3 and page = 1 then 500 else 200 end as status,
+    case when k % 17 = 5 and page = 2 then 'b2' else 'b1' end as base, items, len(items) as n from p, (select unnest(range(1, 3)) as copy) where not (k % 7 = 1 and page = 2) and (copy = 1 or (k % 19 = 6 and page = 1)))"""
+PAGE_STATS = f"""(select request, any_value(k) as k, count(*) as n, count(distinct page) as d, min(page) as low, max(page) as high, sum(n) as items, arg_max(n, page) as tail, count(*) filter (n < 5) as short, count(*) filter (status <> 200) as failed,
+  count(distinct coalesce(total, -1)) as totals, max(total) as total, count(distinct base) as bases, max(base) as base from {PAGES} group by request)"""
+PAGE_FAULTS = f"""(select request, unnest(list_filter([case when failed > 0 then 'page failed' end, case when n > d then 'page twice' end, case when low <> 1 or high <> d then 'page missing' end, case when high > CEILING then 'over the ceiling' end,
+  case when short > (tail < 5)::int then 'short page before the last' end, case when totals > 1 then 'total changed' end, case when bases > 1 then 'merge base changed' end, case when total is null and tail = 5 then 'end not seen' end,
+  case when totals = 1 and items <> total then 'not as many as declared' end], lambda v: v is not null)) as fault from {PAGE_STATS})"""
+
 ORACLES: dict[str, str] = {
     "path_facts": f"select artifact_id, source_locator || '#$path.' || k as locator, value from {_path_values(URL)}",
     "surface_classify": f"select path, surface from {_surfaced(f'(select path from {TC} union select path from {TP})')}",
@@ -179,6 +189,46 @@ ORACLES: dict[str, str] = {
       sides as (select id as pair_id, 'previous' as side, id as run from s union all select id, 'current', id + 1 from s), m as (select pair_id, side, coalesce(bad, false) as bad, coalesce(tolerant, true) as loose from sides left join s on s.id = run)
       select pair_id, side || ': diagnostics' as fault from m where bad union all select pair_id, side || ': not strict' from m where loose""",
     "foreign_evidence": """select l_orderkey as run_id, l_partkey as artifact_id, count(*) as n from lineitem where l_partkey not in (select p_partkey from part where p_size <> 7) group by all""",
+    "python_nodes": """with m as (select p_partkey as k, p_size as z from part), c as (select k, 'C' || k as c, z % 3 as z3 from m)
+      select k as artifact_id, 'class' as kind, '<module>' as scope, c as name, '' as targets, 6::bigint as n_inside from c
+      union all select k, 'function', c, c || '.run', '', 5 from c union all select k, 'assignment', c || '.run', null, 'y', 1 from c union all select k, 'call', c || '.run', 'make_' || z3, '', 0 from c
+      union all select k, 'assert', c || '.run', null, '', 0 from c union all select k, 'function', c || '.run', c || '.run.inner', '', 1 from c
+      union all select k, 'call', c || '.run.inner', 'helper', '', 0 from c union all select k, 'call', '<module>', 'helper', '', 0 from c""",
+    "python_selectors": """with m as (select p_partkey as k, 'C' || p_partkey || '.run' as r, p_size as z from part),
+      x as (select k, list_filter([case when not (z % 3 = 1 and z % 5 = 2) then 'call:' || r || ':make_1' end, case when not (z % 3 = 0 and z % 5 = 1) then 'assignment:' || r || ':y:make_0' end,
+        case when z % 4 <> 3 then 'assert:' || r || ':Y > 3' end, case when z % 2 <> 1 then 'call:' || r || '.inner:helper' end, case when k % 3 <> 0 then 'call:<module>:helper' end], lambda v: v is not null) as missing from m)
+      select k::varchar as requirement_id, case when len(missing) = 0 then 'recovered' else 'gap' end as status, case when len(missing) = 0 then 6 else 0 end::int as n_locators, len(missing)::int as n_missing, array_to_string(missing, '|') as missing from x""",
+    "fragments_over_assertions": f"""with s as (select regexp_extract(locator, '^(.*):L[0-9]+-L[0-9]+$', 1) as artifact, regexp_extract(locator, ':L([0-9]+)-', 1)::int as line, statement from ({MD_PARAGRAPHS})),
+      t as (select artifact, trim(regexp_replace(lower(string_agg(statement, chr(10) order by line, statement)), '\\s+', ' ', 'g')) as text, arg_min(statement, line) as a, arg_max(statement, line) as b from s group by artifact)
+      select artifact, contains(text, lower(string_split(a, ' ')[-1]) || ' ' || lower(string_split(b, ' ')[1])) as covered from t""",
+    "locator_prefixes": """with e as (select p_type || case when p_size % 2 = 0 then ':' || p_brand else '' end || ':L' || p_size || '#x' as locator, p_partkey from part),
+      w as (select distinct unnest([p_type, p_type || ':' || p_brand]) as artifact from part)
+      select artifact, count(*) as n, sum(p_partkey)::bigint as keys from w join e on starts_with(locator, artifact || ':') or starts_with(locator, artifact || '#') group by artifact""",
+    "golden_probe": """with g as (select distinct l_orderkey as group_id, 'part:' || l_partkey % 97 as locator from lineitem), r as (select 'part:' || s_suppkey % 61 as locator, count(*) as n from supplier group by 1 having locator <> 'part:5')
+      select group_id, count(*) as n_locators, count(*) filter (n is null) as n_missing, count(*) filter (n > 1) as n_ambiguous, bool_and(coalesce(n, 0) = 1) as covered from g left join r using (locator) group by group_id""",
+    "golden_supports": """with r as (select 'p:' || l_partkey as locator, count(*) as n, min(l_orderkey || '-' || l_linenumber) as id from lineitem where l_quantity > 25 and length(l_orderkey || '-' || l_linenumber) % 2 = 0 group by 1)
+      select 'p:' || p_partkey as locator, coalesce(n, 0)::bigint as n_records, case when n is null then 'no record' when n > 1 then 'several records' end as fault, case when n = 1 then id end as support_id from part left join r on r.locator = 'p:' || p_partkey""",
+    "page_faults": f"select * from {PAGE_FAULTS.replace('CEILING', '4')}",
+    "page_items": f"""select request, ((page - 1) * 5 + i)::bigint as ordinal, items[i] as item from (select *, unnest(range(1, n + 1)) as i from {PAGES}) where request not in (select request from {PAGE_FAULTS.replace('CEILING', '4')})""",
+    "commit_range_faults": f"""with s as (select s.*, (select arg_max(items[-1], page) from {PAGES} p where p.request = s.request) as last, (select count(distinct i) from (select unnest(items) as i from {PAGES} p where p.request = s.request)) as distinct_items from {PAGE_STATS} s),
+      r as (select *, case when k % 10 = 9 then 'identical' when k % 23 = 7 then 'behind' else 'ahead' end as state, case when k % 3 = 0 then 'b0' else 'b1' end as wanted, case when k % 4 = 1 then 'x' else last end as head from s)
+      select * from {PAGE_FAULTS.replace('CEILING', '12')} union all
+      select request, unnest(list_filter([case when state = 'behind' then 'unknown status' end, case when base <> wanted then 'merge base isn''t the base' end, case when state = 'identical' then 'commits in an identical range' end,
+        case when items > distinct_items then 'repeated commits' end, case when items > 12 then 'over the commit ceiling' end, case when state = 'ahead' and head <> last then 'doesn''t end at the head' end], lambda v: v is not null)) from r""",
+    "identity_merge": """with recursive c as (select c_custkey as k, c_custkey // 3 as g from customer), e as (select 'n:r' || k as a, case when g % 9 <> 8 then 'p:id' || g else 'n:r' || k end as b from c
+        union all select 'n:r' || k, 'n:r' || (k + 1) from c where k % 5 = 0),
+      both_ as (select a, b from e union select b, a from e), reach as (select a as x, a as y from both_ union select r.x, b.b from reach r join both_ b on r.y = b.a), comp as (select x as node, min(y) as component from reach group by x),
+      known as (select distinct 'p:id' || g as node, 's' || g % 11 as s from c where g % 9 <> 8 and (g % 4 = 0 or g % 7 = 0)), src as (select component, count(distinct s) as n, min(s) as s from known join comp using (node) group by component),
+      ids as (select distinct component from comp where node like 'p:%'), names as (select component, k, 'r' || k as name, k as seen from c join comp on node = 'n:r' || k union all select component, k + 1, 'r' || (k + 1), null from c join comp on node = 'n:r' || (k + 1) where k % 5 = 0),
+      al as (select component, arg_max(name, seen) as latest, list_sort(list_distinct(list(name))) as names from names group by component)
+      select k as hit_id, case when coalesce(src.n, 0) > 1 then 'conflict' when src.n = 1 then 'resolved' when ids.component is not null then 'created' else 'unresolved' end as state, case when src.n = 1 then s end as source_id, comp.component,
+        array_to_string(list_filter(names, lambda x: x <> latest), ',') as aliases
+      from c join comp on comp.node = 'n:r' || k join al on al.component = comp.component left join src on src.component = comp.component left join ids on ids.component = comp.component""",
+    "typescript_scopes": """with p as (select p_partkey as k, length(p_partkey::varchar) as w, p_size % 3 as n from part)
+      select k as artifact_id, '4-2-4-66' as at, 'method_definition' as node_type, 'go' as what, null as arguments from p union all select k, '4-22-4-40', 'variable_declarator', 'é', null from p union all select k, '4-31-4-36', 'call_expression', 'f' || n, '["a"]' from p
+      union all select k, '4-49-4-64', 'call_expression', '/[)(]/.test', '["é"]' from p union all select k, '6-13-9-1', 'variable_declarator', 'h' || k, null from p
+      union all select k, '6-' || (17 + w) || '-9-1', 'arrow_function', null, null from p union all select k, '7-2-7-29', 'if_statement', '(!x)', null from p union all select k, '7-12-7-27', 'throw_statement', 'new E(x)', null from p
+      union all select k, '8-9-8-30', 'call_expression', 'a.b(x)?.c' || n, '["1","[2, 3]"]' from p union all select k, '8-9-8-15', 'call_expression', 'a.b', '["x"]' from p""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import delta, extract, governance, guards, inspect, planning, reasoning
+from ..operators import delta, extract, governance, guards, identity, inspect, pages, planning, reasoning, selectors
 from ..operators import capture as cap
 from ..sources import tables
 from . import comparison, envelopes, pipelines
@@ -125,6 +125,53 @@ def python_ast_facts(spark, d):
     return f.select("artifact_id", F.regexp_extract("locator", r"#python/(\w+)$", 1).alias("kind"), F.get_json_object("normalized_value", "$.scope").alias("scope"), F.get_json_object("normalized_value", "$.line").cast("long").alias("line"))
 
 
+def _modules(spark, d):
+    """A Python module for each part: a class with a method that calls, assigns, asserts and defines a function."""
+    p = L.table(spark, d, "part")
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    n = lambda m: (size % m).cast("string")
+    text = F.concat(
+        F.lit("class C"), k, F.lit(":\n    def run(self, x):\n        y = make_"), n(3), F.lit("(x, '"), "p_brand", F.lit("', limit="), n(5), F.lit(")\n        assert y  >  "), n(4),
+        F.lit(", 'm'\n        def inner():\n            return helper(y, key="), n(2), F.lit(")\n        return inner\nhelper(1)\n"),
+    )
+    return p.select(F.col("p_partkey").alias("artifact_id"), F.concat(F.lit("m"), k, F.lit(".py")).alias("source_locator"), text.alias("text"), "p_size", "p_brand")
+
+
+@query
+def python_nodes(spark, d):
+    """Kinds, names and scopes of a module's nodes, and how many nodes lie inside each."""
+    nodes = extract.python_nodes(_modules(spark, d))
+    inner = nodes.select("artifact_id", F.col("pre").alias("p"), F.col("post").alias("q"))
+    met = nodes.join(inner, "artifact_id").where("pre < p and q < post").groupBy("artifact_id", "locator").agg(F.count("*").alias("n"))
+    return nodes.join(met, ["artifact_id", "locator"], "left").select("artifact_id", "kind", "scope", "name", _joined("targets"), F.coalesce("n", F.lit(0)).alias("n_inside"))
+
+
+@query
+def python_selectors(spark, d):
+    """A requirement of seven selectors for each part's module: function, call with arguments and keywords, assignment, assertion, and calls inside a method or nowhere."""
+    m = _modules(spark, d)
+    c, of = F.concat(F.lit("C"), F.col("artifact_id").cast("string")), lambda x: F.lit(x)
+    none, words = F.lit(None), lambda *x: F.array(*x).cast("array<string>")
+
+    def one(place, kind, scope=none, name=none, args=none, keywords=none, value_call=none, contains=none, inside=none):
+        fields = {"place": of(place), "kind": of(kind), "scope": scope, "name": name, "args_contains": args, "keywords": keywords, "value_call": value_call, "contains": contains, "inside": inside}
+        kinds = dict(f.split(" ", 1) for f in selectors.SELECTOR.split(", "))
+        return F.struct(*(v.cast(kinds[k]).alias(k) for k, v in fields.items()))
+
+    run = F.concat(c, F.lit(".run"))
+    asked = [
+        one(1, "function", name=F.concat(run, F.lit(".inner"))), one(2, "call", run, of("make_1"), words(F.lower("p_brand"), of("X")), F.create_map(of("limit"), of("2"))),
+        one(3, "assignment", run, of("y"), keywords=F.create_map(of("limit"), of("1")), value_call=of("make_0")), one(4, "assert", run, contains=of("Y > 3")),
+        one(5, "call", F.concat(run, F.lit(".inner")), of("helper"), keywords=F.create_map(of("key"), of("1")), inside=run), one(6, "call", of("<module>"), of("helper"), keywords=F.create_map(of("key"), of("None"))),
+        one(7, "call", of("<module>"), of("helper"), inside=run),
+    ]
+    wanted = m.select(F.col("artifact_id").cast("string").alias("requirement_id"), F.col("source_locator").alias("artifact"), F.explode(F.array(*asked)).alias("s")).select("requirement_id", "artifact", "s.*")
+    # the last selector can't be met; every third requirement leaves it out
+    wanted = wanted.where("place < 7 or requirement_id % 3 <> 0")
+    found = selectors.assessed(selectors.python_matches(extract.python_nodes(m), wanted))
+    return found.select("requirement_id", "status", F.size("matched_locators").alias("n_locators"), F.size("missing").alias("n_missing"), F.array_join("missing", "|").alias("missing"))
+
+
 @query
 def typescript_facts(spark, d):
     p = L.table(spark, d, "part")
@@ -156,6 +203,21 @@ def run_envelopes(spark, d):
     return extract.envelope(f, ["capture_id"], "locator", "normalized_value").select("capture_id", "n_rows", "outputs_hash")
 
 
+@query
+def typescript_scopes(spark, d):
+    """A class of each part with a method, an arrow function, a call in a template, an overload and a regular expression: names and kinds with the columns that they stand in."""
+    p = L.table(spark, d, "part")
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_size") % 3).cast("string")
+    text = F.concat(
+        F.lit("// é "), k, F.lit("\nclass C"), k, F.lit(" {\n  go(a: string): void;\n  async go(a) { const é = `x${f"), n, F.lit("(a)} (`; return /[)(]/.test(é) }\n}\nexport const h"), k,
+        F.lit(" = (x: number): string => {\n  if (!x) { throw new E(x); }\n  return a.b(x)?.c"), n, F.lit("(1, [2, 3])\n}\n"),
+    )
+    a = p.select(F.col("p_partkey").alias("artifact_id"), F.concat(F.lit("m"), k, F.lit(".ts")).alias("source_locator"), text.alias("text"))
+    value = lambda f: F.get_json_object("normalized_value", f"$.{f}")
+    facts = extract.facts_of(extract.parsed(a, extract.TYPESCRIPT)).where("extractor_name = 'typescript-lexical'")
+    return facts.select("artifact_id", F.concat_ws("-", value("line"), value("column"), value("end_line"), value("end_column")).alias("at"), value("node_type").alias("node_type"), F.coalesce(value("name"), value("callee"), value("condition"), value("expression")).alias("what"), value("arguments").alias("arguments"))
+
+
 # inspection
 
 
@@ -788,6 +850,96 @@ def matching_facts(spark, d):
     return reasoning.matching_facts(facts, wanted).select("selector_id", "n_matches")
 
 
+@query
+def fragments_over_assertions(spark, d):
+    """Each document's paragraphs one after the other, and fragments of two neighbouring lines, of which some don't stand there."""
+    a = L.markdown(L.artifacts(spark, d))
+    said = extract.markdown_paragraphs(a).withColumn("line", F.regexp_extract("locator", r":L(\d+)-", 1).cast("int"))
+    o = said.groupBy("source_locator").agg(F.min(F.struct("line", "statement")).alias("a"), F.max(F.struct("line", "statement")).alias("b"), F.count("*").alias("n")).where("n > 0")
+    # the last words of the first paragraph and the first of the last: together only where the paragraphs are neighbours
+    tail = lambda c: F.element_at(F.split(c, " "), -1)
+    need = o.select(F.col("source_locator").alias("artifact"), F.concat_ws("  ", tail("a.statement"), F.upper(F.split("b.statement", " ")[0])).alias("fragment"))
+    found = selectors.fragments_covered(need, said.select("locator", "statement", "line"), ["line"])
+    return found.select("artifact", "covered")
+
+
+@query
+def locator_prefixes(spark, d):
+    """Evidence of artifacts by prefix of the locator: paths that contain the mark themselves belong to several artifacts."""
+    p = L.table(spark, d, "part")
+    path = F.concat_ws(":", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")))
+    e = p.select(F.concat(path, F.lit(":L"), F.col("p_size").cast("string"), F.lit("#x")).alias("locator"), "p_partkey")
+    wanted = p.select(F.explode(F.array("p_type", F.concat_ws(":", "p_type", "p_brand"))).alias("artifact"))
+    return selectors.by_prefix(e, wanted).groupBy("artifact").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
+
+
+@query
+def golden_probe(spark, d):
+    """Orders as expected observations whose locators are their parts: those that no supplier line has, or that several have, are faults."""
+    li = L.table(spark, d, "lineitem")
+    groups = li.select(F.col("l_orderkey").alias("group_id"), F.concat(F.lit("part:"), (F.col("l_partkey") % 97).cast("string")).alias("locator"))
+    s = L.table(spark, d, "supplier")
+    records = s.select(F.concat(F.lit("part:"), (F.col("s_suppkey") % 61).cast("string")).alias("locator"), F.col("s_name").alias("record_id")).where("locator <> 'part:5'")
+    return selectors.golden_cover(groups, records)
+
+
+@query
+def golden_supports(spark, d):
+    """Locators of all expected observations with the record that they name, or why they don't name one."""
+    groups = L.table(spark, d, "part").select(F.lit("g").alias("group_id"), F.concat(F.lit("p:"), "p_partkey").alias("locator"))
+    records = L.table(spark, d, "lineitem").where("l_quantity > 25").select(F.concat(F.lit("p:"), "l_partkey").alias("locator"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id")).where("length(record_id) % 2 = 0")
+    return selectors.golden_supports(groups, records).select("locator", "n_records", "fault", "support_id")
+
+
+def _pages(spark, d):
+    """Each customer's orders as a list read in pages of five: some pages lack, failed, came twice or were read while the list changed."""
+    o = L.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    made = o.withColumn("page", (F.floor(n / 5) + 1).cast("int")).groupBy("o_custkey", "page").agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("items"))
+    k = F.col("o_custkey")
+    total = F.when(k % 5 != 4, F.col("all_") + F.when((k % 11 == 2) & (F.col("page") == 1), 1).otherwise(0))
+    rows = made.join(o.groupBy("o_custkey").agg(F.count("*").alias("all_")), "o_custkey").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("request"), "page", F.lit(5).alias("page_size"), total.alias("total"), F.when((k % 13 == 3) & (F.col("page") == 1), 500).otherwise(200).alias("status"),
+        F.when((k % 17 == 5) & (F.col("page") == 2), "b2").otherwise("b1").alias("merge_base"), "items", k.alias("k"),
+    ).where("not (k % 7 = 1 and page = 2)")
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), F.when((F.col("k") % 19 == 6) & (F.col("page") == 1), 2).otherwise(1)))).drop("copies", "k")
+
+
+@query
+def page_faults(spark, d):
+    return pages.page_faults(_pages(spark, d), 4)
+
+
+@query
+def page_items(spark, d):
+    """Items of the lists that are whole, with their places."""
+    return pages.assembled(_pages(spark, d), 4)
+
+
+@query
+def commit_range_faults(spark, d):
+    """The lists as commit ranges, of which some are said to be identical, end elsewhere or have another base."""
+    p = tables.written(_pages(spark, d))
+    last = p.groupBy("request").agg(F.max_by(F.element_at("items", -1), "page").alias("head"))
+    k = F.regexp_replace("request", "c", "").cast("long")
+    ranges = last.select("request", F.when(k % 3 == 0, "b0").otherwise("b1").alias("base"), F.when(k % 4 == 1, "x").otherwise(F.col("head")).alias("head"), F.when(k % 10 == 9, "identical").when(k % 23 == 7, "behind").otherwise("ahead").alias("range_status"))
+    return pages.range_faults(p, ranges, 12)
+
+
+@query
+def identity_merge(spark, d):
+    """Customers as sightings of repositories: three share a provider id, a renamed one names its neighbour, and some components belong to two sources."""
+    k = F.col("c_custkey")
+    group = F.floor(k / 3)
+    c = L.table(spark, d, "customer").select(
+        k.alias("hit_id"), F.when(group % 9 != 8, F.concat(F.lit("id"), group.cast("string"))).alias("provider_repository_id"), F.concat(F.lit("R"), k.cast("string")).alias("name"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("r"), (k + 1).cast("string")))).alias("aliases"), k.alias("observed_at"),
+    )
+    again = c.unionByName(c.where("hit_id % 6 = 0"))  # the same sightings again
+    known = c.where("provider_repository_id is not null").select("provider_repository_id", F.floor(F.col("hit_id") / 3).alias("g")).distinct().where("g % 4 = 0 or g % 7 = 0").select("provider_repository_id", F.concat(F.lit("s"), (F.col("g") % 11).cast("string")).alias("source_id"))
+    return identity.merged(again, known).distinct().select("hit_id", "state", F.when(F.col("state") == "resolved", F.col("source_id")).alias("source_id"), "component", F.array_join("aliases", ",").alias("aliases"))
+
+
 @query
 def comparison_pair_faults(spark, d):
     """Consecutive orders as captures; sources are customers or, for some, priorities; some are dated the other way round."""

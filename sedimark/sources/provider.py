@@ -7,6 +7,7 @@ a file is the request. (A live client would land its answers in the same layout;
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,31 +43,63 @@ def paginated_faults(pages: DataFrame, by: str, page_size: int, most: int = 100)
     )
 
 
-class JsonLinesRequests(DataSource):
-    """Python data source `provider_json`: rows (request, body) of a list of request files, one partition each."""
+class LandedPages(DataSource):
+    """Python data source `landed_pages`: pages of collections from files that a client landed, `<path>/<request>/page-<number>.json`, a partition for each file.
+
+    Option `requests` (a JSON list) names the requests that are read; others' folders aren't listed. It is an option and not a pushed filter, because Spark 4.1 keeps what was pushed to a
+    relation's reader, so that another query on the same DataFrame would miss rows (tests/test_selectors.py reads one twice). A request whose numbers have a gap fails before anything is read, a page that isn't JSON or lacks a
+    field when it is read; what only the contents tell (totals, short pages, merge bases) is for operators.pages.
+    """
 
     @classmethod
     def name(cls) -> str:
-        return "provider_json"
+        return "landed_pages"
 
     def schema(self) -> str:
-        return "request string, body string"
+        return "request string, page int, page_size int, total long, status int, merge_base string, items array<string>"
 
     def reader(self, schema):
-        return _Reader(json.loads(self.options["requests"]))
+        wanted = self.options.get("requests")
+        return _Pages(self.options["path"], None if wanted is None else {*json.loads(wanted)})
+
+
+class _Pages(DataSourceReader):
+    def __init__(self, path: str, wanted: set[str] | None):
+        self.path, self.wanted = path, wanted
 
+    def _store(self):
+        from pyarrow import fs
 
-class _Reader(DataSourceReader):
-    def __init__(self, requests: dict[str, str]):
-        self.requests = requests
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
 
     def partitions(self):
-        return [InputPartition(item) for item in self.requests.items()]
+        from pyarrow import fs
+
+        store, root = self._store()
+        requests = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory)
+        found = []
+        for request in requests if self.wanted is None else sorted(self.wanted.intersection(requests)):
+            names = [f.base_name for f in store.get_file_info(fs.FileSelector(f"{root}/{request}"))]
+            pages = sorted(int(m[1]) for m in map(re.compile(r"page-(\d+)\.json").fullmatch, names) if m)
+            if pages != [*range(1, len(pages) + 1)]:
+                raise ValueError(f"request {request}: pages {pages} aren't complete")
+            found += [InputPartition((request, page)) for page in pages]
+        return found
 
     def read(self, partition):
-        request, body = partition.value
-        json.loads(body)  # an answer that isn't JSON fails its partition
-        yield request, body
+        request, page = partition.value
+        store, root = self._store()
+        with store.open_input_stream(f"{root}/{request}/page-{page}.json") as f:
+            made = json.loads(f.read())
+        items = [x if isinstance(x, str) else json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in made["items"]]
+        yield request, page, int(made["page_size"]), made.get("total"), int(made.get("status", 200)), made.get("merge_base"), items
+
+
+def landed_pages(spark: SparkSession, path: str, requests: list[str] | None = None) -> DataFrame:
+    """Pages of all requests, or of those named."""
+    spark.dataSource.register(LandedPages)
+    source = spark.read.format("landed_pages").option("path", path)
+    return (source if requests is None else source.option("requests", json.dumps(requests))).load()
 
 
 def _yaml(text: str):
