@@ -9,7 +9,7 @@ over the pivot's place are counted. A pivot with more than 2**19 places is dealt
 so no task holds all places of a hot word. Words are compared as strings throughout; hashes only route.
 
 Defined results: null text counts as empty, null lang as `und`; repeated rows count as often as they stand there; texts without words add nothing; an empty table
-gives no rows; only text and lang are read. A text of more than 4 MB is cut at characters that end a piece. Counts are exact integers; scores are
+gives no rows; only text and lang are read. A text of more than 2 MB is cut at characters that end a piece. Counts are exact integers; scores are
 computed in decimals of 38 digits (1000 * a * n and l * r stay below 10**38 up to 10**17 words).
 """
 
@@ -40,7 +40,7 @@ _LOWER[65:91] += 32
 SENT = "slot_range long, lang string, data binary, lengths binary, shapes binary"
 
 
-def cut_long(texts: pa.Array, langs: pa.Array, most: int = 4 << 20) -> tuple[pa.Array, pa.Array]:
+def cut_long(texts: pa.Array, langs: pa.Array, most: int = 2 << 20) -> tuple[pa.Array, pa.Array]:
     """Texts and languages, longer texts cut where a piece ends, which no phrase crosses."""
     texts = texts.cast(pa.large_binary())
     if not len(texts) or (pc.max(pc.binary_length(texts)).as_py() or 0) <= most:
@@ -105,12 +105,12 @@ def keyed(words: np.ndarray, langs: pa.Array, lang: np.ndarray) -> np.ndarray:
 
 def _pieces(batches):
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 2 << 20):
             texts, langs = cut_long(part.column("text"), part.column("lang"))
             size = np.cumsum(np.r_[0, pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)])
             at = 0
             while at < len(texts):
-                stop = max(at + 1, int(np.searchsorted(size, size[at] + (4 << 20), side="right")) - 1)
+                stop = max(at + 1, int(np.searchsorted(size, size[at] + (2 << 20), side="right")) - 1)
                 yield Pieces(texts.slice(at, stop - at), langs.slice(at, stop - at))
                 at = stop
 
