@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import written
 from . import guards, ordering
 
 # discovery and registry
@@ -100,6 +101,30 @@ def gate_violations(requests: DataFrame) -> DataFrame:
     return requests.where(~allowed)
 
 
+def assigned(requests: DataFrame, sources: DataFrame, crowd: int = ordering.CROWD) -> DataFrame:
+    """requests (seq, source_id, level, assigned_by, reason, effective_at, recorded_at) with their state, as if each were made after those of lower seq.
+
+    sources: source_id, first_seen_at. An assignment is effective at once, never before its source was seen nor before the one recorded last; one at a moment that is taken is
+    `replayed` if it says the same and `occupied` otherwise. So what is recorded is what lies above the running maximum of the acceptable requests before it: a scan by source
+    (by ranges where a source is hot) and an equi-join on source and moment, no fold.
+    """
+    r = requests.withColumn("effective_at", F.coalesce("effective_at", "recorded_at")).withColumn("assigned_by", F.trim("assigned_by")).withColumn("reason", F.trim("reason"))
+    r = r.join(sources.select("source_id", "first_seen_at"), "source_id", "left")
+    named = F.col("first_seen_at").isNotNull() & (F.coalesce("assigned_by", F.lit("")) != "") & (F.coalesce("reason", F.lit("")) != "")
+    fits = named & (F.col("effective_at") == F.col("recorded_at")) & (F.col("effective_at") >= F.col("first_seen_at"))
+    r = written(ordering.running_max(r.withColumn("fits_", F.coalesce(fits, F.lit(False))), "source_id", ["seq"], F.when(F.coalesce(fits, F.lit(False)), F.col("recorded_at")), "latest_", crowd))
+    new = F.col("fits_") & (F.col("latest_").isNull() | (F.col("recorded_at") > F.col("latest_")))
+    taken = r.where(new).select("source_id", "effective_at", F.struct("seq", "level", "assigned_by", "reason").alias("taken_"))
+    met = r.join(taken, ["source_id", "effective_at"], "left")
+    there = F.coalesce(F.col("taken_.seq") < F.col("seq"), F.lit(False))
+    same = F.struct("level", "assigned_by", "reason").eqNullSafe(F.struct("taken_.level", "taken_.assigned_by", "taken_.reason"))
+    state = (
+        F.when(F.col("first_seen_at").isNull(), "unknown source").when(~named, "empty field").when(there & same, "replayed").when(there, "occupied").when(F.col("effective_at") != F.col("recorded_at"), "not immediate")
+        .when(F.col("effective_at") < F.col("first_seen_at"), "before the source").when(F.col("recorded_at") < F.col("latest_"), "clock moved back").otherwise("recorded")
+    )
+    return met.withColumn("state", state).drop("taken_", "fits_", "latest_", "first_seen_at")
+
+
 def backdated(assignments: DataFrame) -> DataFrame:
     """Assignments that aren't effective at once; scheduling and backdating aren't permitted."""
     return assignments.where("effective_at <> recorded_at")

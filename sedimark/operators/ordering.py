@@ -91,3 +91,16 @@ def with_previous(rows: DataFrame, by: str, order: list[str], ident: str, previo
         _with(placed.withColumn("lag_", F.lag(ident).over(w)), cells, [by]).withColumn(previous, own)
         .withColumn(version, F.col("place_") - F.col("first_of") + F.col("before_") + 1).drop("lag_", "first_of", "before_", "carried_", "place_", "range_")
     )
+
+
+def running_max(rows: DataFrame, by: str, order: list[str], value: Column, name: str, crowd: int = CROWD) -> DataFrame:
+    """rows with the greatest value of the rows before them in their key's order (null before the first); keys with more than a crowd of rows are scanned by ranges."""
+    cold, hot = split_hot(rows.withColumn("value_", value), by, crowd)
+    before = lambda *keys: W.partitionBy(*keys).orderBy(*(("place_",) if len(keys) > 1 else order)).rowsBetween(W.unboundedPreceding, -1)
+    out = cold.withColumn(name, F.max("value_").over(before(by)))
+    if hot is not None:
+        placed = in_ranges(hot, [by], order)
+        cells = _before(placed, [by], {"most_": F.max("value_")}, {"carried_": F.max("most_").over(_earlier([by]))})
+        own = placed.withColumn("own_", F.max("value_").over(before("range_", by)))
+        out = out.unionByName(_with(own, cells, [by]).withColumn(name, F.greatest("own_", "carried_")).drop("own_", "carried_", "place_", "range_"))
+    return out.drop("value_")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,25 +78,68 @@ def fragment_hits(requirements: DataFrame, evidence: DataFrame, by: str) -> Data
     return met.groupBy(*requirements.columns).agg(F.coalesce(F.bool_or(F.contains(F.col("s"), C.folded("fragment"))), F.lit(False)).alias("covered"))
 
 
-def fragment_hits_anywhere(requirements: DataFrame, evidence: DataFrame, width: int = 4) -> DataFrame:
+def fragment_hits_anywhere(requirements: DataFrame, evidence: DataFrame, width: int = 4, automaton_bytes: int = 16 << 20) -> DataFrame:
     """Requirements (with a fragment) with whether any statement at all holds the fragment.
 
-    A statement that holds a fragment has the fragment's words, but for the first and last, as whole words: candidates meet by an
-    equi-join on the hash of `width` of them, and the fragment is then looked for itself. Fragments too short for that are compared with every statement.
+    A statement that holds a fragment has the fragment's words, but for the first and last, as whole words. So it has all windows of `width` of these; candidates are the statements with the
+    fragment's rarest window, found by equi-joins on window hashes, and the fragment is then looked for itself. A fragment with a window that no statement has is decided without its text.
+    Fragments too short for a window are looked for by automatons over every statement, one for each `automaton_bytes` of them, so what is broadcast has that size whatever their number.
     """
     ids = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, width), " "))
-    need = requirements.select(C.folded("fragment").alias("f")).distinct().withColumn("w", F.split("f", " ")).withColumn("long", F.size("w") >= width + 2)
-    s = evidence.select(C.folded("statement").alias("s")).where("s is not null").distinct().withColumn("id", F.xxhash64("s"))
+    need = written(requirements.select(C.folded("fragment").alias("f")).where("f is not null").distinct().withColumn("n", F.size(F.split("f", " "))))
+    # statements get numbers of their own, so that the windows carry no text
+    s = written(evidence.select(F.monotonically_increasing_id().alias("id"), C.folded("statement").alias("s")).where("s is not null"))
+    long = need.where(F.col("n") >= width + 2).withColumn("w", F.split("f", " "))
+    asked = long.select("f", F.explode(F.transform(F.sequence(F.lit(2), F.col("n") - width), lambda k: ids(F.col("w"), k))).alias("h")).distinct()
     # the words are an element of an array, so that a text is split once and not at every window
     windows = lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda k: ids(w, k)))
     has = s.select("id", F.explode(F.array_distinct(F.transform(F.array(F.split("s", " ")), windows)[0])).alias("h"))
-    pairs = has.join(need.where("long").select("f", ids(F.col("w"), F.lit(2)).alias("h")), "h").select("f", "id").distinct()
-    found = pairs.join(s, "id").where(F.contains(F.col("s"), F.col("f"))).select("f")
-    short = s.join(F.broadcast(need.where("not long").select("f")), F.contains(F.col("s"), F.col("f"))).select("f")
-    met = found.unionByName(short).distinct().withColumn("covered", F.lit(True))
+    seen = written(has.join(asked.select("h").distinct(), "h", "left_semi"))
+    counts = seen.groupBy("h").agg(F.count("*").alias("c"))
+    rarest = asked.join(counts, "h", "left").groupBy("f").agg(F.min_by("h", "c").alias("h"), F.count_if(F.col("c").isNull()).alias("none")).where("none = 0").select("f", "h")
+    met = seen.join(rarest, "h").select("f", "id").join(s, "id").where(F.contains(F.col("s"), F.col("f"))).select("f")
+    for some in _in_chunks(need.where(F.col("n") < width + 2).select("f"), automaton_bytes):
+        met = met.unionByName(s.mapInArrow(_holds(some), "f string"))
+    met = met.distinct().withColumn("covered", F.lit(True))
     return requirements.distinct().withColumn("f", C.folded("fragment")).join(met, "f", "left").drop("f").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
+def _in_chunks(fragments: DataFrame, most_bytes: int):
+    """Lists of texts of about that many bytes each."""
+    size = fragments.agg(F.sum(F.octet_length("f") + 64)).first()[0]
+    chunks = -(-(size or 0) // most_bytes)
+    for k in range(chunks):
+        if some := [r.f for r in fragments.where(F.pmod(F.xxhash64("f"), F.lit(chunks)) == k).collect()]:
+            yield some
+
+
+def _holds(fragments: list[str]):
+    """A function over batches of statements (column s) that gives the fragments that any of them holds, each once a task."""
+
+    def run(batches):
+        left = set(fragments)
+        try:
+            import ahocorasick
+        except ImportError:
+            look = lambda text: {f for f in left if f in text}
+        else:
+            automaton = ahocorasick.Automaton()
+            for f in filter(None, fragments):
+                automaton.add_word(f, f)
+            automaton.make_automaton()
+            look = lambda text: {f for _, f in automaton.iter(text)} if len(automaton) else set()
+        for batch in batches:
+            found = set()
+            for text in batch.column("s").to_pylist():
+                found |= look(text) & left
+            if batch.num_rows and "" in left:
+                found.add("")
+            left -= found
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["f"])
+
+    return run
+
+
 def coverage(hits: DataFrame, by: str) -> DataFrame:
     """Covered requirements by case and in all, with their share (0.0 of none)."""
     share = F.coalesce(F.try_divide(F.count_if("covered"), F.count("*")), F.lit(0.0)).alias("fraction")

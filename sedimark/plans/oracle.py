@@ -229,6 +229,12 @@ ORACLES: dict[str, str] = {
       union all select k, '4-49-4-64', 'call_expression', '/[)(]/.test', '["é"]' from p union all select k, '6-13-9-1', 'variable_declarator', 'h' || k, null from p
       union all select k, '6-' || (17 + w) || '-9-1', 'arrow_function', null, null from p union all select k, '7-2-7-29', 'if_statement', '(!x)', null from p union all select k, '7-12-7-27', 'throw_statement', 'new E(x)', null from p
       union all select k, '8-9-8-30', 'call_expression', 'a.b(x)?.c' || n, '["1","[2, 3]"]' from p union all select k, '8-9-8-15', 'call_expression', 'a.b', '["x"]' from p""",
+    "tracking_assignments": """with e as (select event_id as seq, user_id as s, event_type as level, case when event_id % 29 <> 5 then 'me' end as who, epoch_us(date_trunc('day', ts)) as recorded from events),
+      src as (select s, min(recorded) + case when s % 5 = 0 then 5 * 86400000000 else 0 end as seen from e where s % 7 <> 3 group by s), q as (select e.*, seen, case when seq % 9 = 4 then recorded + 1 else recorded end as effective from e left join src using (s)),
+      f as (select *, coalesce(seen is not null and who is not null and effective = recorded and effective >= seen, false) as fits from q), m as (select *, max(case when fits then recorded end) over (partition by s order by seq rows between unbounded preceding and 1 preceding) as latest from f),
+      taken as (select s, effective, seq as first, level as said from m where fits and (latest is null or recorded > latest))
+      select m.seq as event_id, case when seen is null then 'unknown source' when who is null then 'empty field' when first < m.seq and said = level then 'replayed' when first < m.seq then 'occupied' when m.effective <> recorded then 'not immediate'
+        when m.effective < seen then 'before the source' when recorded < latest then 'clock moved back' else 'recorded' end as state from m left join taken t on t.s = m.s and t.effective = m.effective""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",
@@ -254,7 +260,8 @@ ORACLES: dict[str, str] = {
     "artifact_delta_counts": f"select change_type, count(*) as n from {ADELTA} where change_type is not null group by change_type",
     "structural_delta": f"select source_locator, structural_key, change_type, previous_value, current_value from {SCHANGED}",
     "structural_delta_gaps": f"""select change_type, count(*) as n from {SCHANGED} and source_locator not in (select source_locator from {PREV} where text like '%|%' union select source_locator from {CUR} where text like '%|%') group by change_type""",
-    "unexplained_structure": "select 0::bigint as n",
+    "unexplained_structure": f"""select p.source_locator, 'length' as extractor_name from {PREV} p join {CUR} c on p.source_locator = c.source_locator where p.retrieval_status = 'captured' and c.retrieval_status = 'captured' and p.artifact_id % 23 = 9
+      and p.source_locator not in (select source_locator from {ADELTA} where change_type is not null)""",
     "assertion_changes": f"""with sig as (select side, source_locator, string_agg(statement, chr(1) order by statement) as s, count(*) as n from
         (select 'p' as side, * from {_paragraphs(f"(select * from {PREV} where retrieval_status = 'captured')")} union all select 'c', * from {_paragraphs(f"(select * from {CUR} where retrieval_status = 'captured')")}) group by side, source_locator)
       select coalesce(p.source_locator, c.source_locator) as source_locator, coalesce(p.n, 0)::bigint as previous_n, coalesce(c.n, 0)::bigint as current_n
@@ -271,7 +278,7 @@ ORACLES: dict[str, str] = {
     "commit_snapshots": f"select commit_ordinal as ordinal, string_agg(distinct path, '|' order by path) as touched_paths from {TOUCH} group by 1",
     "candidate_segments": f"select * from {SEGMENT}",
     "candidate_size_stats": f"select count(*) as n_candidates, median(n_paths)::double as median_paths, max(n_paths) as max_paths, quantile_disc(n_paths, 0.95) as p95_paths from {SEGMENT}",
-    "exact_cover": "select 0::bigint as n_faults",
+    "exact_cover": """select path, case when path like '%7' then 0 else 2 end::bigint as n from (select distinct ['src', 'docs', 'tests'][(l_partkey % 3 + 1)::int] || '/part-' || l_partkey as path from lineitem) where path like '%7' or path like '%11'""",
     "candidate_reduction": f"select path_group, count(*) as n_paths, array_to_string(list_sort(list_distinct(flatten(list(signals)))), '|') as signal_kinds, case when bool_and(suppressed) then 'suppress' else 'retain' end as disposition from {SIGNAL} group by path_group",
     "reduction_counts": f"select disposition, count(*) as n from (select array_to_string(string_split(path, '/')[1:2], '/') as folder, case when bool_and(suppressed) then 'suppress' else 'retain' end as disposition from {SIGNAL} group by 1) group by 1",
     "signal_counts": f"select signal, count(*) as n from (select unnest(signals) as signal from {SIGNAL}) group by 1",
