@@ -4,7 +4,8 @@ Every file is compared with licence templates by the cosine of sparse TF-IDF vec
 lines before the first blank one, at most `HEADER_LINES`) and each of its segments (lines, and sentences within them). Templates are short notices, standard headers and whole licence
 texts. Frequent English words are left out everywhere, and terms that no template has count one by one. A file's own licence is that of its best unit with a cosine of
 `LEAST` or more (ties: the lesser name). A file of which licence segments make up `FILE_SHARE` of the words or more, or whose
-whole text is a licence, is its directory's licence file. A file without a licence of its own gets that of the
+whole text is a licence, is its directory's licence file. Long licence texts (GPL, AGPL, LGPL, Apache, MPL, CC0, GFDL, Artistic) are known by the counts of their heaviest
+terms: a text of `LONG_TEXT` words or more with a cosine of `LEAST_TEXT` or more to them is that licence, whatever notices it quotes. A file without a licence of its own gets that of the
 nearest directory at or above it that has a licence file (several: the largest share, then the least licence and path).
 
 Two bounds save work and lose nothing: a unit within reach of a template holds one of the template's heaviest terms (the others together can't
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import spread_join, written
 
 LEAST, FILE_SHARE, HEADER_LINES = 0.6, 0.15, 25
+#: A text of so many words may be a long licence's text; it is that of the best cosine with the counts below, from LEAST_TEXT on.
+LONG_TEXT, LEAST_TEXT = 250, 0.75
 
 #: Short notices, standard headers and whole texts by licence (SPDX names).
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -79,6 +82,21 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
 )
+#: The terms that weigh most in long licence texts, and how often each stands there. (AGPL-3.0 is GPL-3.0's text but for the word that its name adds.)
+TEXT_TERMS = {
+    "AGPL-3.0": "work 97 license 102 program 52 covered 41 source 42 under 44 convey 26 product 21 terms 32 code 34 corresponding 23 conveying 15 may 31 general 23 patent 23 copyright 30 software 27 gnu 22 object 21 affero 18",
+    "Apache-2.0": "work 34 license 35 derivative 18 mean 10 works 19 licensor 10 contribution 8 contributor 10 entity 10 apache 6 source 12 conditions 13 copyright 13 form 13 owner 6 within 8 reproduction 4 submitted 4 including 9",
+    "Artistic-1.0-Perl": "package 35 standard 15 may 15 holder 10 copyright 13 provided 11 distribution 10 version 10 subroutines 4 executables 4 fee 6 modifications 7 executable 5 make 6 manual 3 files 5 image 3 item 3 commercial 4",
+    "CC0-1.0": "affirmer 17 work 26 rights 22 related 11 cc0 7 commons 8 creative 7 waiver 7 copyright 11 s 11 action 4 including 9 law 8 person 4 future 5 purpose 8 applicable 7 causes 3 iv 3",
+    "GFDL-1.3": "cover 32 license 75 document 74 invariant 23 title 27 texts 20 section 36 version 38 entitled 15 may 36 sections 29 text 18 preserve 13 copy 28 front 12 publisher 12 transparent 11 under 23 covers 9",
+    "GPL-2.0": "program 71 license 46 software 35 free 28 work 24 general 15 copy 18 terms 18 source 16 distribute 19 under 19 distribution 16 public 16 warranty 13 may 17 code 16 show 8 based 12 conditions 13",
+    "GPL-3.0": "work 97 license 102 program 52 covered 41 source 42 under 44 convey 26 product 21 terms 32 code 34 corresponding 23 conveying 15 may 31 general 23 patent 23 copyright 30 software 27 gnu 22 object 21 affero 3",
+    "LGPL-2.1": "library 140 license 76 work 58 free 36 software 35 general 27 copy 30 public 29 terms 26 must 23 version 25 we 17 under 24 uses 13 code 23 distribute 23 gnu 17 lesser 15 may 21",
+    "LGPL-3.0": "library 34 combined 21 gnu 21 version 27 work 24 license 25 application 14 gpl 10 general 11 corresponding 9 lesser 9 public 12 code 11 copy 10 under 10 convey 6 source 8 may 9 terms 8",
+    "MPL-2.0": "license 69 contributor 35 covered 36 software 39 under 35 1 30 form 29 2 27 secondary 12 source 20 3 22 terms 20 code 21 means 18 licenses 13 version 17 rights 14 may 16 liability 9",
+}
+#: Of long licence texts each has one of these.
+TEXT_GATE = ("copyright", "license")
 #: Words that say nothing about a licence.
 STOP = frozenset("a all an and any are as at be but by can do for from has have if in into is it its more no not of on one only or other out see shall should so such that the these this to use used was way which will with you your".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,6 +126,39 @@ def template_vectors() -> list[tuple[str, dict[str, float]]]:
     return out
 
 
+def text_counts() -> dict[str, dict[str, int]]:
+    return {name: {t: int(n) for t, n in zip(row.split()[::2], row.split()[1::2])} for name, row in TEXT_TERMS.items()}
+
+
+def text_idf() -> tuple[dict[str, float], float]:
+    """Weights of the long texts' terms, and of a term that none has."""
+    counts = text_counts()
+    weight = lambda df: math.log((1 + len(counts)) / (1 + df)) + 1
+    return {t: weight(sum(t in c for c in counts.values())) for t in sorted({t for c in counts.values() for t in c})}, weight(0)
+
+
+def text_vectors() -> list[tuple[str, dict[str, float]]]:
+    known, _ = text_idf()
+    out = []
+    for name, counts in sorted(text_counts().items()):
+        raw = {t: n * known[t] for t, n in sorted(counts.items())}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        out.append((name, {t: v / norm for t, v in raw.items()}))
+    return out
+
+
+def _text_match() -> str:
+    """SQL: the best long text (score, name) of an array of tokens, null where none is near enough; the score is rounded and negated."""
+    known, other = text_idf()
+    listed = lambda terms: ", ".join(f"'{t}'" for t in terms)
+    scores = ", ".join(f"named_struct('score', -round(aggregate(g.v, 0D, (a, x) -> a + x.w * coalesce(element_at({_map(vector)}, x.t), 0D)) / g.norm, 6), 'name', '{name}')" for name, vector in text_vectors())
+    counted = f"transform(array(filter(tokens, y -> y in ({listed(known)}))), u -> transform(array_sort(array_distinct(u)), x -> named_struct('t', x, 'w', size(filter(u, y -> y = x)) * element_at({_map(known)}, x))))[0]"
+    rest = f"size(filter(tokens, y -> y not in ({listed(['', *sorted(STOP), *sorted(set(known) - STOP)])})))"
+    best = f"transform(array(named_struct('v', {counted}, 'o', {rest})), g -> named_struct('v', g.v, 'norm', sqrt(aggregate(g.v, 0D, (a, x) -> a + x.w * x.w) + g.o * {other * other!r}D)))"
+    return f"""case when arrays_overlap(tokens, array({listed(TEXT_GATE)})) and size(filter(tokens, y -> y <> '')) >= {LONG_TEXT}
+        then get(filter(transform({best}, g -> array_min(array({scores}))), m -> m.score <= -{LEAST_TEXT}), 0) end"""
+
+
 def key_terms() -> list[str]:
     """Terms of which any text with a cosine of LEAST to some template has one: without these terms of a template, what is left of it weighs less.
 
@@ -171,10 +222,10 @@ def notices(files: DataFrame) -> DataFrame:
     keys = "array(" + ", ".join(f"'{t}'" for t in key_terms()) + ")"
     return (
         low.withColumn("tokens", F.expr(cut("low"))).withColumn("matched", F.expr(f"case when arrays_overlap(tokens, {keys}) then {_matches(units)} end"))
-        .withColumn("top", F.expr("array_min(transform(matched, m -> m.best))"))
+        .withColumn("whole", F.expr(_text_match())).withColumn("top", F.coalesce("whole", F.expr("array_min(transform(matched, m -> m.best))")))
         .select(
             "doc_id", "dir", "n_words", F.col("top.name").alias("own_license"), (-F.col("top.score")).alias("own_score"),
-            F.expr("coalesce(greatest(aggregate(matched, 0L, (a, m) -> a + if(m.kind = 's', m.n, 0)), aggregate(matched, 0L, (a, m) -> a + if(m.kind = 'w', m.n, 0))), 0L)").alias("license_words"),
+            F.expr("if(whole is not null, n_words, coalesce(greatest(aggregate(matched, 0L, (a, m) -> a + if(m.kind = 's', m.n, 0)), aggregate(matched, 0L, (a, m) -> a + if(m.kind = 'w', m.n, 0))), 0L))").alias("license_words"),
         )
     )
 
@@ -206,8 +257,12 @@ def _oracle() -> str:
     rows = lambda it: ", ".join(f"({', '.join(x)})" for x in it)
     terms = rows((f"'{t}'", f"{w!r}::double") for t, w in known.items())
     vectors = rows((str(k), f"'{name}'", f"'{t}'", f"{w!r}::double") for k, (name, v) in enumerate(template_vectors()) for t, w in v.items())
+    text_known, text_other = text_idf()
+    text_terms = rows((f"'{t}'", f"{w!r}::double") for t, w in text_known.items())
+    texts = rows((f"'{name}'", f"'{t}'", f"{w!r}::double") for name, v in text_vectors() for t, w in v.items())
+    stop = ", ".join(f"'{t}'" for t in sorted(STOP - set(text_known)))
     return f"""
-    with known(t, w) as (values {terms}), vectors(k, name, t, w) as (values {vectors}),
+    with known(t, w) as (values {terms}), vectors(k, name, t, w) as (values {vectors}), text_known(t, w) as (values {text_terms}), texts(name, t, w) as (values {texts}),
     low as (select row_number() over () as r, doc_id, concat_ws('/', source, lang) as dir,
               coalesce(translate(text, '{_UPPER}', '{_LOWER}'), '') as low from documents),
     files as (select *, len(regexp_extract_all(low, '[^ \\t-\\r]+'))::bigint as n_words from low),
@@ -215,14 +270,19 @@ def _oracle() -> str:
               union all select r, 'h', array_to_string(string_split(regexp_split_to_array(low, '\\n[ \\t]*\\n')[1], chr(10))[1:{HEADER_LINES}], chr(10)) from low),
     numbered as (select row_number() over () as g, r, kind, s from units),
     terms as (select g, r, kind, unnest(regexp_extract_all(s, '[a-z0-9]+')) as t from numbered),
-    tf as (select g, any_value(r) as r, any_value(kind) as kind, t, count(*) as n from terms group by g, t),
+    tf as materialized (select g, any_value(r) as r, any_value(kind) as kind, t, count(*) as n from terms group by g, t),
     weighed as (select g, r, kind, t, n, w, n * w as x from tf left join known using (t)),
     norms as (select g, any_value(r) as r, any_value(kind) as kind, sum(n) as n, sqrt(sum(case when t in ({", ".join(f"'{t}'" for t in sorted(STOP))}) then 0 when w is null then n * {other * other!r}::double else x * x end)) as norm from weighed group by g),
     dots as (select g, k, any_value(name) as name, sum(x.x * v.w) as dot from weighed x join vectors v using (t) group by g, k),
     best as (select g, min(struct_pack(score := -round(dot / norm, 6), name := name)) as b from dots join norms using (g) group by g),
     matched as (select r, kind, n, b from best join norms using (g) where b.score <= -{LEAST}),
-    own as (select r, min(b) as b, greatest(coalesce(sum(n) filter (kind = 's'), 0), coalesce(sum(n) filter (kind = 'w'), 0))::bigint as license_words from matched group by r),
-    found as (select f.r, doc_id, dir, n_words, coalesce(license_words, 0)::bigint as license_words, b.name as own_license, -b.score as own_score from files f left join own using (r)),
+    longs as (select g, any_value(r) as r from tf where kind = 'w' group by g having sum(n) >= {LONG_TEXT} and bool_or(t in ({", ".join(f"'{t}'" for t in TEXT_GATE)}))),
+    text_tf as (select g, longs.r as r, t, n, w from longs join tf using (g) left join text_known using (t)),
+    text_norms as (select g, any_value(r) as r, sqrt(sum(case when w is not null then n * w * n * w when t in ({stop}) then 0 else n * {text_other * text_other!r}::double end)) as norm from text_tf group by g),
+    text_best as (select any_value(r) as r, min(struct_pack(score := -round(dot / norm, 6), name := name)) as b from (select g, name, sum(x.n * x.w * v.w) as dot from text_tf x join texts v using (t) group by g, name) join text_norms using (g) group by g having min(-round(dot / norm, 6)) <= -{LEAST_TEXT}),
+    own_units as (select r, min(b) as b, greatest(coalesce(sum(n) filter (kind = 's'), 0), coalesce(sum(n) filter (kind = 'w'), 0))::bigint as license_words from matched group by r),
+    own as (select r, coalesce(t.b, o.b) as b, case when t.b is not null then null else license_words end as license_words from own_units o full join text_best t using (r)),
+    found as (select f.r, doc_id, dir, n_words, case when b is not null and license_words is null then n_words else coalesce(license_words, 0) end::bigint as license_words, b.name as own_license, -b.score as own_score from files f left join own using (r)),
     held as (select dir as place, min(struct_pack(s := -round(license_words / n_words, 6), name := own_license)).name as name from found
              where own_license is not null and license_words >= {FILE_SHARE} * n_words group by dir),
     dirs as (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) as depth from (select distinct dir from found)),

@@ -1,6 +1,7 @@
 """Quality rules, secret scans, license scans, mixing and toxicity against plain statements of their rules."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -243,6 +244,50 @@ def test_license_files_headers_and_neighbours(spark):
     assert got[2].origin == "inherited" and got[1].license_words > 100
 
 
+def test_long_license_texts(spark):
+    """Texts in which a long licence's heaviest terms stand as often as in it, among other words, in any order: it is that licence, and its directory's; GPL-3.0 isn't AGPL-3.0 nor the other way round."""
+    r = random.Random(4)
+    rows = []
+    for k, (name, counts) in enumerate(sorted(license_scan.text_counts().items())):
+        words = [t for t, n in counts.items() for _ in range(n)] + [f"other{j}" for j in range(sum(counts.values()) // 3)] + ["the", "of"] * 100
+        r.shuffle(words)
+        text = " ".join(words) + "\nThis work is licensed under the GNU General Public License, version 2."
+        rows += [(10 * k, text, name), (10 * k + 1, "a bare neighbour", name)]
+    words = [f"license other{j}" for j in range(400)]
+    rows.append((999, "\n".join(words), "prose"))
+    got = {x.doc_id: x for x in license_scan.scanned(license_scan.as_files(frame(spark, rows))).collect()}
+    for k, name in enumerate(sorted(license_scan.text_counts())):
+        assert (got[10 * k].own_license, got[10 * k].license_words) == (name, got[10 * k].n_words) and (got[10 * k + 1].license, got[10 * k + 1].origin) == (name, "inherited")
+    assert got[999].license is None
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_license_texts_of_this_machine(spark):
+    """Real files, none of which is a template, each with a bare neighbour."""
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    here = {f: open(f"/usr/share/common-licenses/{f}", errors="replace").read() for f in want if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    rows = [row for k, (f, text) in enumerate(here.items()) for row in ((10 * k, text, f), (10 * k + 1, "bare", f))]
+    got = {x.doc_id: x for x in license_scan.scanned(license_scan.as_files(frame(spark, rows))).collect()}
+    assert {f: (got[10 * k].license, got[10 * k + 1].license) for k, f in enumerate(here)} == {f: (want[f], want[f]) for f in here}
+
+
+def test_license_twin_on_long_and_odd_texts(spark, tmp_path):
+    """The SQL twin on rows with nulls, repeats, long licence texts and prose."""
+    import duckdb
+
+    texts = [" ".join(t for t, n in c.items() for _ in range(n)) for c in license_scan.text_counts().values()]
+    rows = [(k, t + " more words" * (40 * (k % 3)), f"d{k % 4}") for k, t in enumerate(texts)] + [(None, None, None), (3, "", "d1"), (3, "SPDX-License-Identifier: MIT", "d1"), (3, "SPDX-License-Identifier: MIT", "d1"), (50, "license " * 300, "d9")]
+    docs = frame(spark, rows)
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/docs/*.parquet'")
+    want = con.sql(license_scan.ORACLE_SQL)
+    names = want.columns
+    cell = lambda v: round(v, 4) if isinstance(v, float) else v
+    got = [tuple(cell(x[n]) for n in names) for x in license_scan.scanned(license_scan.as_files(docs)).collect()]
+    assert Counter(got) == Counter(tuple(map(cell, r)) for r in want.fetchall())
+
+
 def test_license_ties_and_equal_rows(spark):
     """Licences of one score: the lesser name; equal rows are scanned one by one; a directory's licence file of the largest share wins."""
     both = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC"
