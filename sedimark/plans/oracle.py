@@ -235,6 +235,28 @@ ORACLES: dict[str, str] = {
       taken as (select s, effective, seq as first, level as said from m where fits and (latest is null or recorded > latest))
       select m.seq as event_id, case when seen is null then 'unknown source' when who is null then 'empty field' when first < m.seq and said = level then 'replayed' when first < m.seq then 'occupied' when m.effective <> recorded then 'not immediate'
         when m.effective < seen then 'before the source' when recorded < latest then 'clock moved back' else 'recorded' end as state from m left join taken t on t.s = m.s and t.effective = m.effective""",
+    "workflow_payload_facts": """with o as (select o_orderkey as k, '$run/' || o_orderkey || '#' as root, o_orderstatus as st, nullif(o_orderpriority, '1-URGENT') as c, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by all),
+      j as (select k, root, row_number() over (partition by k order by l_linenumber, l_returnflag, l_linestatus, l_quantity) as ln, l_returnflag as rf, l_linestatus as ls, l_quantity as q, n from o join lineitem on l_orderkey = k),
+      f as (select k, 1 as a, 0 as b, 0 as c, root || '/run/id' as locator, k::varchar as v from o union all select k, 2, 0, 0, root || '/run/status', st from o union all select k, 3, 0, 0, root || '/run/conclusion', c from o
+        union all select k, 4, 0, 0, root || '/job_count', (n + case when k % 9 = 2 then 1 else 0 end)::varchar from o union all select k, 5, 0, 0, root || '/artifact_count', n::varchar from o
+        union all select k, 6, ln, x, root || '/jobs/' || ln || p, v from (select *, unnest([{'x': 1, 'p': '/id', 'v': ln::varchar}, {'x': 2, 'p': '/name', 'v': rf}, {'x': 3, 'p': '/log/availability', 'v': 'available'}, {'x': 4, 'p': '/log/http_status', 'v': case when ln % 2 = 0 then '302' end},
+          {'x': 5, 'p': '/steps/1/number', 'v': '1'}, {'x': 6, 'p': '/steps/1/name', 'v': 's' || rf}, {'x': 7, 'p': '/steps/1/conclusion', 'v': case when ls = 'O' then 'success' end},
+          {'x': 8, 'p': '/steps/2/number', 'v': '2'}, {'x': 9, 'p': '/steps/2/name', 'v': 's' || rf}, {'x': 10, 'p': '/steps/2/conclusion', 'v': case when ls = 'O' then 'success' end}], recursive := true) from j)
+        union all select k, 7, ln, 1, root || '/artifacts/' || ln || '/id', ln::varchar from j union all select k, 7, ln, 2, root || '/artifacts/' || ln || '/size_in_bytes', q::bigint::varchar from j)
+      select k as artifact_id, row_number() over (partition by k order by a, b, c) as fact_index, locator, coalesce(v, 'null') as normalized_value from f""",
+    "workflow_count_faults": "select distinct l_orderkey as artifact_id, 'jobs differ from job_count' as fault from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 9 = 2",
+    "commit_payload_facts": """with c as (select o_orderkey as k, * from orders), f as (select k, unnest([{'i': 1, 'p': 'commit_sha', 'v': k::varchar}, {'i': 2, 'p': 'tree_sha', 'v': o_orderstatus}, {'i': 3, 'p': 'parents', 'v': case when k % 5 <> 0 then '["' || (k - 1) || '"]' end},
+        {'i': 4, 'p': 'parent_count', 'v': case when k % 5 <> 0 then '1' else '0' end}, {'i': 5, 'p': 'author_timestamp', 'v': strftime(o_orderdate, '%Y-%m-%d')}, {'i': 6, 'p': 'committer_timestamp', 'v': null}]
+        || case when k % 3 = 0 then [{'i': 7, 'p': 'verification/verified', 'v': (k % 2 = 0)::varchar}, {'i': 8, 'p': 'verification/reason', 'v': 'valid'}] else [] end, recursive := true) from c)
+      select k as artifact_id, 'fact:' || sha256('fact' || chr(0) || 'r' || chr(0) || i || chr(0) || '$git/commit#/' || p) as evidence_id, '$git/commit#/' || p as locator, coalesce(v, 'null') as normalized_value from f""",
+    "commit_message_check": """with m as (select o_orderkey as k, o_orderkey % 6 <> 0 as has, lower(o_orderpriority) as p, case when o_orderkey % 2 = 0 then 'urgent' else 'low' end as want from orders),
+      x as (select k, case when not has then 'order OF|' || want when not contains('order of ' || p, want) then want else '' end as missing, has from m)
+      select k as requirement_id, case when missing = '' then 'recovered' else 'gap' end as status, case when missing = '' then '$git/commit#message' end as locator, missing, case when missing <> '' then case when k % 4 = 0 then 'x' else 'commit-metadata-and-change-facts' end end as needed_capability from x""",
+    "event_payload_facts": """with e as (select user_id as u, event_id as id, event_type as t, row_number() over (partition by user_id order by event_id) - 1 as pl from events), n as (select u, count(*) as n from e group by u),
+      f as (select u, -1 as pl, 1 as x, 'repository_full_name' as p, 'o/n' as v from n union all select u, -1, 2, 'issue_number', u::varchar from n union all select u, -1, 3, 'event_count', n::varchar from n
+        union all select u, pl, 1, 'events/' || pl || '/provider_id', id::varchar from e union all select u, pl, 2, 'events/' || pl || '/event', t from e where t is not null union all select u, pl, 3, 'events/' || pl || '/commit_id', id::varchar from e where id % 3 = 0)
+      select u as artifact_id, row_number() over (partition by u order by pl, x) as fact_index, 'i/' || u || '#/' || p as locator, v as normalized_value from f""",
+    "family_counts": """select 'artifact-path' as extractor_name, 4 * count(*) as n_facts from documents union all select 'git-commit-metadata', sum(case when o_orderkey % 3 = 0 then 8 else 6 end)::bigint from orders""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",

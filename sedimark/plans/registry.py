@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import delta, extract, governance, guards, identity, inspect, pages, planning, reasoning, selectors
+from ..operators import delta, extract, governance, guards, identity, inspect, pages, payloads, planning, reasoning, selectors
 from ..operators import capture as cap
 from ..sources import tables
 from . import comparison, envelopes, pipelines
@@ -959,6 +959,71 @@ def identity_merge(spark, d):
     return identity.merged(again, known).distinct().select("hit_id", "state", F.when(F.col("state") == "resolved", F.col("source_id")).alias("source_id"), "component", F.array_join("aliases", ",").alias("aliases"))
 
 
+def _workflows(spark, d):
+    """Orders as workflow runs, their line items as jobs with a log and two steps, and as artifacts."""
+    li = L.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")).alias("l_linenumber"))
+    step = lambda k: F.struct(F.lit(k).alias("number"), F.concat(F.lit("s"), F.col("l_returnflag")).alias("name"), F.when(F.col("l_linestatus") == "O", "success").alias("conclusion"))
+    job = F.struct(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("name"), F.struct(F.lit("available").alias("availability"), F.when(F.col("l_linenumber") % 2 == 0, 302).alias("http_status")).alias("log"), F.array(step(1), step(2)).alias("steps"))
+    art = F.struct(F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("long").alias("size_in_bytes"))
+    n = li.groupBy(F.col("l_orderkey").alias("artifact_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", job.alias("j"), art.alias("a")))).alias("x"))
+    o = L.table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("conclusion")).alias("run"))
+    return n.join(o, "artifact_id").select(
+        "artifact_id", F.concat(F.lit("$run/"), "artifact_id").alias("source_locator"), "run", (F.size("x") + F.when(F.col("artifact_id") % 9 == 2, 1).otherwise(0)).alias("job_count"), F.size("x").alias("artifact_count"),
+        F.transform("x", lambda v: v["j"]).alias("jobs"), F.transform("x", lambda v: v["a"]).alias("artifacts"),
+    )
+
+
+@query
+def workflow_payload_facts(spark, d):
+    """Runs, counts, jobs, logs, steps and artifacts in the order of their payload."""
+    f = payloads.workflow_facts(_workflows(spark, d), "r")
+    return f.select("artifact_id", "fact_index", "locator", "normalized_value")
+
+
+@query
+def workflow_count_faults(spark, d):
+    return payloads.workflow_count_faults(_workflows(spark, d))
+
+
+def _commits(spark, d):
+    o, k = L.table(spark, d, "orders"), F.col("o_orderkey")
+    return o.select(
+        k.alias("artifact_id"), F.lit("$git/commit").alias("source_locator"), k.cast("string").alias("commit_sha"), F.col("o_orderstatus").alias("tree_sha"), F.when(k % 5 != 0, F.array((k - 1).cast("string"))).alias("parents"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("author_timestamp"), F.lit(None).cast("string").alias("committer_timestamp"),
+        F.when(k % 3 == 0, F.struct((k % 2 == 0).alias("verified"), F.lit("valid").alias("reason"))).alias("verification"), F.concat(F.lit("Order of  "), "o_orderpriority").alias("message"),
+    )
+
+
+@query
+def commit_payload_facts(spark, d):
+    """Commit facts with what is known of their verification, and identities."""
+    return payloads.commit_facts(_commits(spark, d), "r").select("artifact_id", "evidence_id", "locator", "normalized_value")
+
+
+@query
+def commit_message_check(spark, d):
+    """Fragments looked for in messages; what a requirement lacks and the capability that it needs."""
+    k = F.col("o_orderkey")
+    need = L.table(spark, d, "orders").select(k.alias("requirement_id"), (k + F.when(k % 6 == 0, 10**9).otherwise(0)).alias("artifact_id"), F.array(F.lit("order OF"), F.when(k % 2 == 0, "urgent").otherwise("low")).alias("fragments"), F.when(k % 4 == 0, "x").alias("needed_capability"))
+    return payloads.message_check(need, payloads.commit_messages(_commits(spark, d))).select("requirement_id", "status", "locator", _joined("missing"), "needed_capability")
+
+
+@query
+def event_payload_facts(spark, d):
+    """Each user's events as a history: three aggregates, then the fields that aren't null."""
+    e = L.events(spark, d)
+    one = F.struct(F.col("event_id").alias("provider_id"), F.col("event_type").alias("event"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("commit_id"))
+    h = e.groupBy(F.col("user_id").alias("artifact_id")).agg(F.array_sort(F.collect_list(one)).alias("events")).select("artifact_id", F.concat(F.lit("i/"), "artifact_id").alias("source_locator"), F.lit("o/n").alias("repository_full_name"), F.col("artifact_id").alias("issue_number"), "events")
+    return payloads.event_facts(h, "r").select("artifact_id", "fact_index", "locator", "normalized_value")
+
+
+@query
+def family_counts(spark, d):
+    """Facts of commits and of paths by extractor family."""
+    paths = extract.path_facts(L.artifacts(spark, d)).select("extractor_name")
+    return payloads.family_counts(payloads.commit_facts(_commits(spark, d), "r").select("extractor_name").unionByName(paths))
+
+
 @query
 def comparison_pair_faults(spark, d):
     """Consecutive orders as captures; sources are customers or, for some, priorities; some are dated the other way round."""
