@@ -152,6 +152,12 @@ def utc(text: Column | str) -> Column:
     return F.date_format(F.to_utc_timestamp(F.to_timestamp(col(text)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
+    """Whole seconds between two moments (timestamps or ISO-8601 texts); null if either isn't known."""
+    at = lambda c: F.unix_seconds(F.try_to_timestamp(col(c).cast("string")))
+    return at(end) - at(start)
+
+
 def repository_name(locator: Column | str) -> Column:
     """owner/name of a repository's address or short name, without .git; null for anything else."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(col(locator)), r"^https?://[^/]+/", ""), r"(\.git)?/?$", "")

@@ -19,6 +19,14 @@ def discovery_hits(candidates: DataFrame, run: str, by: str = "discovered_locato
     return ordering.numbered(first, "ordinal", [], [order, by]).withColumn("discovery_hit_id", C.identity("discovery-hit", F.lit(run), by))
 
 
+def watchlist_candidates(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Watchlist entries (position, repository, revision) with the source that each is mapped to, if any (sources: repository, source_id). A mapping to a blank source fails the query, as does one to two."""
+    once = sources.groupBy("repository").agg(F.count_distinct("source_id").alias("n"), F.min(F.trim("source_id")).alias("source_id"))
+    bad = F.col("repository").isNotNull() & ((F.col("n") > 1) | (F.coalesce("source_id", F.lit("")) == ""))
+    sound = once.withColumn("source_id", F.when(bad, F.raise_error(F.concat(F.lit("invalid source of "), "repository")).cast("string")).otherwise(F.col("source_id"))).drop("n")
+    return entries.join(sound, "repository", "left").select("position", F.col("repository").alias("discovered_locator"), "source_id")
+
+
 def latest_locators(locators: DataFrame, by: str, *order: str) -> DataFrame:
     """Each source's locator row that was observed last."""
     rest = [c for c in locators.columns if c != by]
@@ -219,3 +227,8 @@ def readiness(requirements: DataFrame, capabilities: DataFrame, by: str = "case_
     rank = F.when(F.col("state") == "deferred", 2).when(F.coalesce(F.col("state") != "available", F.lit(True)), 1).otherwise(0)
     met = requirements.join(capabilities, "capability", "left").withColumn("rank", rank)
     return met.groupBy(by).agg(F.max("rank").alias("rank"), F.count_if(F.col("rank") > 0).alias("n_missing")).withColumn("outcome", F.when(F.col("rank") == 2, "deferred").when(F.col("rank") == 1, "blocked").otherwise("ready")).drop("rank")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """Cases by outcome, of all three outcomes in one row."""
+    return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("ready", "blocked", "deferred")))

@@ -151,6 +151,8 @@ PAGE_FAULTS = f"""(select request, unnest(list_filter([case when failed > 0 then
   case when short > (tail < 5)::int then 'short page before the last' end, case when totals > 1 then 'total changed' end, case when bases > 1 then 'merge base changed' end, case when total is null and tail = 5 then 'end not seen' end,
   case when totals = 1 and items <> total then 'not as many as declared' end], lambda v: v is not null)) as fault from {PAGE_STATS})"""
 
+RESULTS = """(select (o_custkey % 50)::varchar as c, o_orderkey::varchar as r, o_orderkey % 8 <> 0 and o_orderpriority < '3' as done, case when o_orderkey % 8 = 0 then 'other' when o_orderpriority < '3' then null else o_orderpriority end as need, o_orderkey % 8 <> 0 as checked from orders)"""
+
 ORACLES: dict[str, str] = {
     "path_facts": f"select artifact_id, source_locator || '#$path.' || k as locator, value from {_path_values(URL)}",
     "surface_classify": f"select path, surface from {_surfaced(f'(select path from {TC} union select path from {TP})')}",
@@ -257,6 +259,16 @@ ORACLES: dict[str, str] = {
         union all select u, pl, 1, 'events/' || pl || '/provider_id', id::varchar from e union all select u, pl, 2, 'events/' || pl || '/event', t from e where t is not null union all select u, pl, 3, 'events/' || pl || '/commit_id', id::varchar from e where id % 3 = 0)
       select u as artifact_id, row_number() over (partition by u order by pl, x) as fact_index, 'i/' || u || '#/' || p as locator, v as normalized_value from f""",
     "family_counts": """select 'artifact-path' as extractor_name, 4 * count(*) as n_facts from documents union all select 'git-commit-metadata', sum(case when o_orderkey % 3 = 0 then 8 else 6 end)::bigint from orders""",
+    "report_lines": f"""with x as (select * from {RESULTS}), t as (select count(distinct c) as c, count(*) as n, count(*) filter (done) as r from x)
+      select 1 as section, '' as key, 0 as "at", '- Cases: **' || c || '**' as line from t union all select 1, '', 1, '- Requirements: **' || n || '**' from t union all select 1, '', 2, '- Recovered: **' || r || '**' from t
+      union all select 1, '', 3, '- Gaps: **' || (n - r) || '**' from t union all select 1, '', 4, '- Fraction: **' || printf('%.3f', r / n) || '**' from t
+      union all select 2, c, 0, '| `' || c || '` | ' || count(*) filter (done) || ' | ' || count(*) || ' | ' || printf('%.3f', round(count(*) filter (done) / count(*), 6)) || ' |' from x group by c
+      union all select 3, need, 0, '- `' || need || '`: ' || count(*) from x where not done group by need
+      union all select 4, c || '/' || r, 0, '- `' || r || '`: **' || case when done then 'recovered**' else 'gap** needs `' || need || '`' end from x union all select 4, c || '/' || r, 1, '  - matched: `a:' || r || '`' from x where done
+      union all select 4, c || '/' || r, 1, '  - missing: `f`' from x where checked and not done union all select 4, c || '/' || r, 2, '  - missing: `g`' from x where checked and not done""",
+    "report_cases": f"select c as case_id, count(*) filter (done) as recovered, count(*) as total, round(count(*) filter (done) / count(*), 6) as fraction from {RESULTS} group by c",
+    "watchlist_candidates": "select c_custkey as position, c_name as discovered_locator, case when c_custkey % 3 = 0 then 's' || c_custkey end as source_id from customer",
+    "elapsed_seconds": """select l_returnflag, sum(s)::bigint as seconds, count(s) as n from (select l_returnflag, case when l_orderkey % 5 <> 0 then epoch(l_shipdate::timestamp)::bigint - epoch(o_orderdate::timestamp)::bigint end as s from lineitem join orders on o_orderkey = l_orderkey) group by 1""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",
@@ -397,3 +409,5 @@ ORACLES: dict[str, str] = {
     "generation_faults": "select l_orderkey as interval_id, (l_partkey % 4)::varchar as policy_version, count(*) as n_summaries from lineitem group by all having count(*) <> 1",
     "tampered_runs": """select distinct source as run_id from documents where (source = 'src3' and doc_id % 97 = 0) or (source = 'src5' and doc_id % 50 = 5 and text is not null)""",
 }
+
+ORACLES["readiness_counts"] = f"select count(*) filter (outcome = 'ready') as ready, count(*) filter (outcome = 'blocked') as blocked, count(*) filter (outcome = 'deferred') as deferred from ({ORACLES['readiness_outcome']})"

@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..operators import delta, extract, governance, guards, identity, inspect, pages, payloads, planning, reasoning, selectors
 from ..operators import capture as cap
 from ..sources import tables
-from . import comparison, envelopes, pipelines
+from . import comparison, envelopes, pipelines, reports
 from . import lenses as L
 from .oracle import ORACLES
 
@@ -1024,6 +1024,49 @@ def family_counts(spark, d):
     return payloads.family_counts(payloads.commit_facts(_commits(spark, d), "r").select("extractor_name").unionByName(paths))
 
 
+def _results(spark, d):
+    """Orders as requirements of their customer's case; urgent ones are recovered, those of no priority can't be checked."""
+    o = L.table(spark, d, "orders")
+    none = F.array().cast("array<string>")
+    key = F.col("o_orderkey").cast("string")
+    done = F.col("o_orderpriority") < "3"
+    rows = o.where("o_orderkey % 8 <> 0").select(
+        (F.col("o_custkey") % 50).cast("string").alias("case_id"), key.alias("requirement_id"), F.when(done, "recovered").otherwise("gap").alias("status"), F.when(~done, F.col("o_orderpriority")).alias("needed_capability"),
+        F.when(done, F.array(F.concat(F.lit("a:"), key))).otherwise(none).alias("matched_locators"), F.when(~done, F.array(F.lit("f"), F.lit("g"))).otherwise(none).alias("missing"),
+    )
+    return reports.with_unsupported(rows, o.where("o_orderkey % 8 = 0").select((F.col("o_custkey") % 50).cast("string").alias("case_id"), key.alias("requirement_id"), F.lit("other").alias("needed_capability")))
+
+
+@query
+def report_lines(spark, d):
+    return reports.report_lines(_results(spark, d)).select("section", "key", "at", "line")
+
+
+@query
+def report_cases(spark, d):
+    return reports.case_summaries(_results(spark, d))
+
+
+@query
+def readiness_counts(spark, d):
+    return governance.outcome_counts(readiness_outcome(spark, d))
+
+
+@query
+def watchlist_candidates(spark, d):
+    """Customers as watchlist entries; some are mapped to a source."""
+    c = L.table(spark, d, "customer").select(F.col("c_custkey").alias("position"), F.col("c_name").alias("repository"))
+    return governance.watchlist_candidates(c, c.where("position % 3 = 0").select("repository", F.concat(F.lit(" s"), "position").alias("source_id")))
+
+
+@query
+def elapsed_seconds(spark, d):
+    """Seconds from an order to the shipping of its items; moments that can't be read give none."""
+    li, o = L.table(spark, d, "lineitem"), L.table(spark, d, "orders")
+    met = li.join(o, li.l_orderkey == o.o_orderkey).select("l_returnflag", F.when(F.col("l_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon").alias("a"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("b"))
+    return met.withColumn("s", C.elapsed_seconds("a", "b")).groupBy("l_returnflag").agg(F.sum("s").alias("seconds"), F.count("s").alias("n"))
+
+
 @query
 def comparison_pair_faults(spark, d):
     """Consecutive orders as captures; sources are customers or, for some, priorities; some are dated the other way round."""
