@@ -381,6 +381,10 @@ def uncovered(a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[
     return [*out, (a, b)] if a < b else out
 
 
+#: Whole words that no secret is, whatever stands beside them: mail addresses and plain numbers, with marks around them.
+_NO_SECRET = re.compile(rb"[\"'(<\[]*(?:(?:mailto:)?[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|[+#]?[0-9](?:[0-9.,:/()-]*[0-9])?%?)[\"')>\].,;:!?]*")
+
+
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
@@ -411,6 +415,8 @@ class Scanner:
                 for i, j in zip(begin, end):
                     t = int(text[i])
                     a, b = int(w.start[i] - w.offsets[t]), int(w.end[j - 1] - w.offsets[t])
+                    if all(_NO_SECRET.fullmatch(w.data[w.start[k] : w.end[k]].tobytes()) for k in range(i, j)):
+                        continue
                     # what a base span leaves counts only where it isn't mere punctuation
                     for x, y in uncovered(a, b, *covered.get(t, ([], []))):
                         if _LETTERS[w.data[w.offsets[t] + x : w.offsets[t] + y]].any():
