@@ -5,6 +5,9 @@ package manifests, Python and TypeScript) are versioned table functions: both ru
 crosses the network; a function that can't read an artifact
 gives a diagnostic row, so strict and gap-tolerant runs are the same plan with another guard.
 
+Lines are those of str.splitlines, as the contract has it; inspection counts those of bytes, so below a form feed or U+2028 a statement's locator names
+other lines to it.
+
 Artifacts have at least artifact_id, source_locator and text. Facts: (artifact_id, source_locator, locator, raw_value, normalized_value,
 extractor_name, extractor_version); assertions have statement for the values; values are canonical JSON.
 """
@@ -42,6 +45,7 @@ def path_facts(artifacts: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed values of the contract: what is a table's rule, and a list item's mark.
 _TABLE_RULE = re.compile(r"[|:\-\s]+")
 _LIST_MARK = re.compile(r"[-+*]\s+|\d+[.)]\s+")
 _ITEM = re.compile(r"(?P<lead>[ \t]*)(?:[-+*]|\d+[.)])[ \t]+(?P<body>\S.*)")
@@ -78,14 +82,6 @@ def prose_statements(text: str) -> Iterator[Statement]:
         yield run[0][0], run[-1][0], " ".join(x for _, x in run)
 
 
-def _indent(lead: str) -> int:
-    """The width of an item's lead; tabs count to multiples of four."""
-    width = 0
-    for ch in lead:
-        width = (width // 4 + 1) * 4 if ch == "\t" else width + 1
-    return width
-
-
 def list_statements(text: str) -> Iterator[Statement]:
     """List items with their indented continuation lines.
 
@@ -99,7 +95,7 @@ def list_statements(text: str) -> Iterator[Statement]:
         if item:
             if run:
                 yield run[0][0], run[-1][0], " ".join(x for _, x in run)
-            run, indent = [(n, item["body"].strip())], _indent(item["lead"])
+            run, indent = [(n, item["body"].strip())], len(item["lead"].expandtabs(4))
         elif run:
             lead = len(line) - len(line.lstrip(" \t"))
             if fence or inside or not s or s[0] in "#><|" or _is_table(s) or lead <= indent:

@@ -204,6 +204,40 @@ def action_decisions(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("decision", decision).withColumn("status", F.when(F.col("decision") == "blocked", "rejected").otherwise("recommended")).withColumn("rationale", F.concat_ws(" ", F.lit("policy:"), "decision", F.concat(F.lit("by "), F.nullif(F.array_join("matched_rule_ids", ", "), F.lit("")))))
 
 
+def _faults(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    return rows.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(t)) for t, c in rules.items())))).alias("fault"))
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+
+
+def proposal_faults(proposals: DataFrame) -> DataFrame:
+    """(key, fault) of proposals of actions with an empty text field; key is the proposal's id."""
+    return _faults(proposals, "proposal_id", {f"empty {c}": _blank(c) for c in ("proposal_id", "subject_id", "source_id", "target", "rationale", "actor_role")})
+
+
+def rule_faults(rules: DataFrame) -> DataFrame:
+    """(key, fault) of policy rules: rule_id, effect, action_types, rationale, n_supports, allowed_actor_roles."""
+    roles, role_rule = F.coalesce("allowed_actor_roles", F.array().cast("array<string>")), F.col("effect") == "require_role"
+    types = F.coalesce("action_types", F.array().cast("array<string>"))
+    return _faults(rules, "rule_id", {
+        "empty rule_id": _blank("rule_id"), "empty rationale": _blank("rationale"), "no action type": F.size(types) == 0, "repeated action type": F.size(F.array_distinct(types)) != F.size(types), "no support": F.col("n_supports") < 1,
+        "no role": role_rule & ((F.size(roles) == 0) | F.exists(roles, lambda r: F.coalesce(F.trim(r), F.lit("")) == "")), "role without need": ~role_rule & (F.size(roles) > 0),
+    })
+
+
+def support_faults(supports: DataFrame) -> DataFrame:
+    """(key, fault) of what rules rest on: support_id, support_type, expected_value, fragments. Facts need a value and no fragments, assertions the other way round; nothing else is direct."""
+    fact, said = F.col("support_type") == "EvidenceFact", F.col("support_type") == "SourceAssertion"
+    fragments = F.coalesce("fragments", F.array().cast("array<string>"))
+    empty = (F.size(fragments) == 0) | F.exists(fragments, lambda f: F.coalesce(F.trim(f), F.lit("")) == "")
+    return _faults(supports, "support_id", {
+        "empty support_id": _blank("support_id"), "not direct": ~(fact | said), "fact without a value": fact & F.col("expected_value").isNull(), "fact with fragments": fact & (F.size(fragments) > 0),
+        "assertion with a value": said & F.col("expected_value").isNotNull(), "assertion without fragments": said & empty,
+    })
+
+
 def unsupported_rules(supports: DataFrame, facts: DataFrame) -> DataFrame:
     """Rule supports (rule_id, evidence_id, expected_value, fragments) whose fact is missing, has another value, or lacks a fragment."""
     met = supports.join(facts.select("evidence_id", "normalized_value"), "evidence_id", "left")

@@ -269,6 +269,12 @@ ORACLES: dict[str, str] = {
     "report_cases": f"select c as case_id, count(*) filter (done) as recovered, count(*) as total, round(count(*) filter (done) / count(*), 6) as fraction from {RESULTS} group by c",
     "watchlist_candidates": "select c_custkey as position, c_name as discovered_locator, case when c_custkey % 3 = 0 then 's' || c_custkey end as source_id from customer",
     "elapsed_seconds": """select l_returnflag, sum(s)::bigint as seconds, count(s) as n from (select l_returnflag, case when l_orderkey % 5 <> 0 then epoch(l_shipdate::timestamp)::bigint - epoch(o_orderdate::timestamp)::bigint end as s from lineitem join orders on o_orderkey = l_orderkey) group by 1""",
+    "policy_faults": """with o as (select o_orderkey as k from orders), f as (select k, 'proposal' as what, 'empty source_id' as fault from o where k % 7 = 1 union all select k, 'proposal', 'empty rationale' from o where k % 11 = 2
+        union all select k, 'rule', 'repeated action type' from o where k % 5 = 1 union all select k, 'rule', 'no action type' from o where k % 5 = 2 union all select k, 'rule', 'no support' from o where k % 4 = 0
+        union all select k, 'rule', 'no role' from o where k % 3 = 0 and k % 2 = 1 union all select k, 'rule', 'role without need' from o where k % 3 <> 0 and k % 2 = 0
+        union all select k, 'support', 'not direct' from o where k % 3 = 2 union all select k, 'support', 'fact without a value' from o where k % 3 = 0 and k % 2 = 1 union all select k, 'support', 'fact with fragments' from o where k % 3 = 0 and k % 5 < 2
+        union all select k, 'support', 'assertion with a value' from o where k % 3 = 1 and k % 2 = 0 union all select k, 'support', 'assertion without fragments' from o where k % 3 = 1 and k % 5 <> 1)
+      select what, fault, count(*) as n, min(k) as first from f group by what, fault""",
     "run_envelopes": f"""with r as (select string_split(source_locator, '/')[1] as capture_id, sha256('{{"locator":' || to_json(source_locator || '#$path.' || k) || ',"normalized_value":' || to_json(value) || '}}') as h from {_path_values(ART)}),
       parts as (select capture_id, h[1:2] as p, sha256(string_agg(h, chr(10) order by h)) as part, count(*) as n from r group by all)
       select capture_id, sum(n)::bigint as n_rows, 'sha256:' || sha256(string_agg(p || ':' || part, chr(10) order by p)) as outputs_hash from parts group by 1""",

@@ -1067,6 +1067,23 @@ def elapsed_seconds(spark, d):
     return met.withColumn("s", C.elapsed_seconds("a", "b")).groupBy("l_returnflag").agg(F.sum("s").alias("seconds"), F.count("s").alias("n"))
 
 
+@query
+def policy_faults(spark, d):
+    """Orders as proposals, policy rules and supports, with faults of every kind."""
+    o, k = L.table(spark, d, "orders"), F.col("o_orderkey")
+    when = lambda n, r, v, other=F.lit("x"): F.when(k % n == r, v).otherwise(other)
+    p = o.select(k.cast("string").alias("proposal_id"), F.lit("s").alias("subject_id"), when(7, 1, F.lit(" ")).alias("source_id"), F.lit("t").alias("target"), when(11, 2, F.lit(None)).alias("rationale"), F.lit("r").alias("actor_role"))
+    none, one = F.array().cast("array<string>"), F.array(F.lit("a"))
+    r = o.select(
+        k.cast("string").alias("rule_id"), when(3, 0, F.lit("require_role"), F.lit("prohibit")).alias("effect"), when(5, 1, F.array(F.lit("pin"), F.lit("pin")), when(5, 2, none, one)).alias("action_types"), F.lit("why").alias("rationale"),
+        (k % 4).alias("n_supports"), when(2, 0, one, none).alias("allowed_actor_roles"),
+    )
+    kind = F.when(k % 3 == 0, "EvidenceFact").when(k % 3 == 1, "SourceAssertion").otherwise("Observation")
+    s = o.select(k.cast("string").alias("support_id"), kind.alias("support_type"), F.when(k % 2 == 0, "v").alias("expected_value"), F.when(k % 5 == 0, F.array(F.lit(" "))).when(k % 5 == 1, one).otherwise(none).alias("fragments"))
+    of = lambda df, what: df.withColumn("what", F.lit(what))
+    return of(governance.proposal_faults(p), "proposal").unionByName(of(governance.rule_faults(r), "rule")).unionByName(of(governance.support_faults(s), "support")).groupBy("what", "fault").agg(F.count("*").alias("n"), F.min(F.col("key").cast("long")).alias("first"))
+
+
 @query
 def comparison_pair_faults(spark, d):
     """Consecutive orders as captures; sources are customers or, for some, priorities; some are dated the other way round."""
