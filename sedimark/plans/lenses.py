@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt over all tasks: texts made of them are many times as long as their rows, so that splits by the table's bytes would leave all parsing to a few tasks."""
+    return table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown artifacts."""
     d = table(spark, sf_dir, "documents")

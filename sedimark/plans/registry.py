@@ -127,7 +127,7 @@ def python_ast_facts(spark, d):
 
 def _modules(spark, d):
     """A Python module for each part: a class with a method that calls, assigns, asserts and defines a function."""
-    p = L.table(spark, d, "part")
+    p = L.dealt_parts(spark, d)
     k, size = F.col("p_partkey").cast("string"), F.col("p_size")
     n = lambda m: (size % m).cast("string")
     text = F.concat(
@@ -140,10 +140,7 @@ def _modules(spark, d):
 @query
 def python_nodes(spark, d):
     """Kinds, names and scopes of a module's nodes, and how many nodes lie inside each."""
-    nodes = extract.python_nodes(_modules(spark, d))
-    inner = nodes.select("artifact_id", F.col("pre").alias("p"), F.col("post").alias("q"))
-    met = nodes.join(inner, "artifact_id").where("pre < p and q < post").groupBy("artifact_id", "locator").agg(F.count("*").alias("n"))
-    return nodes.join(met, ["artifact_id", "locator"], "left").select("artifact_id", "kind", "scope", "name", _joined("targets"), F.coalesce("n", F.lit(0)).alias("n_inside"))
+    return extract.counted_inside(extract.python_nodes(_modules(spark, d))).select("artifact_id", "kind", "scope", "name", _joined("targets"), "n_inside")
 
 
 @query
