@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import ordering
 
+#: Rows of extractors and of explode are many times those that the planner counts, as it goes by the bytes of what they are made of: sides that hold such rows aren't broadcast.
+MADE = "merge"
+
 SELECTOR = (
     "requirement_id string, place int, artifact string, kind string, scope string, name string, args_contains array<string>, keywords map<string,string>, value_call string, contains string, inside string"
 )
@@ -32,10 +35,10 @@ def python_matches(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     found = nodes.select(
         F.col("source_locator").alias("artifact"), "kind", F.explode(F.array_distinct(key)).alias("key"), F.col("scope").alias("n_scope"), "args", F.col("keywords").alias("n_keywords"), F.col("value_call").alias("n_value_call"),
         "value_keywords", "expression", "pre", "post", "locator",
-    )
+    ).hint(MADE)
     asked = selectors.withColumn("key", F.when(F.col("kind") == "assert", F.lit("")).otherwise(F.col("name")))
     met = asked.join(found, ["artifact", "kind", "key"])
-    inner = found.where("kind in ('function', 'class')").select("artifact", F.col("key").alias("inside"), F.col("pre").alias("from_"), F.col("post").alias("to_"))
+    inner = found.where("kind in ('function', 'class')").select("artifact", F.col("key").alias("inside"), F.col("pre").alias("from_"), F.col("post").alias("to_")).hint(MADE)
     observed = F.when(F.col("kind") == "assignment", F.col("value_keywords")).otherwise(F.col("n_keywords"))
     ok = (
         ((F.col("kind") == "function") | F.col("scope").eqNullSafe(F.col("n_scope")))
@@ -50,7 +53,7 @@ def python_matches(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "assignment", F.concat_ws(":", F.lit("assignment"), "scope", "name", "value_call")).when(F.col("kind") == "assert", F.concat_ws(":", F.lit("assert"), "scope", "contains"))
         .when(F.col("kind") == "function", F.concat_ws(":", F.lit("function"), "name")).otherwise(F.concat_ws(":", "kind", "scope", "name"))
     )
-    return selectors.select("requirement_id", "place", label.alias("label")).join(free.unionByName(within).distinct(), ["requirement_id", "place"], "left")
+    return selectors.select("requirement_id", "place", label.alias("label")).join(free.unionByName(within).distinct().hint(MADE), ["requirement_id", "place"], "left")
 
 
 def bundle_matches(facts: DataFrame, comments: DataFrame, selectors: DataFrame) -> DataFrame:
@@ -59,12 +62,12 @@ def bundle_matches(facts: DataFrame, comments: DataFrame, selectors: DataFrame)
     Kind `comment` looks for a text in the comments of the artifact, every other kind for facts of that kind whose field contains or equals a text; exactly one of both is given.
     """
     value = F.expr("get_json_object(normalized_value, concat('$.', field))")
-    met = selectors.where("kind <> 'comment'").join(facts.select(F.col("source_locator").alias("artifact"), F.get_json_object("normalized_value", "$.kind").alias("kind"), "normalized_value", "locator"), ["artifact", "kind"])
+    met = selectors.where("kind <> 'comment'").join(facts.select(F.col("source_locator").alias("artifact"), F.get_json_object("normalized_value", "$.kind").alias("kind"), "normalized_value", "locator").hint(MADE), ["artifact", "kind"])
     ok = F.when(F.col("contains").isNotNull(), F.contains(C.folded(F.coalesce(value, F.lit(""))), C.folded("contains"))).otherwise(F.coalesce(value, F.lit("None")) == F.col("equals"))
-    said = selectors.where("kind = 'comment'").join(comments.select(F.col("source_locator").alias("artifact"), "statement", "locator"), "artifact").where(F.contains(C.folded("statement"), C.folded("contains")))
+    said = selectors.where("kind = 'comment'").join(comments.select(F.col("source_locator").alias("artifact"), "statement", "locator").hint(MADE), "artifact").where(F.contains(C.folded("statement"), C.folded("contains")))
     found = met.where(ok).select("requirement_id", "place", "locator").unionByName(said.select("requirement_id", "place", "locator"))
     label = F.when(F.col("kind") == "comment", F.concat_ws(":", "kind", "contains")).otherwise(F.concat_ws(":", F.lit("fact"), "kind", "field", F.coalesce("contains", "equals")))
-    return selectors.select("requirement_id", "place", label.alias("label")).join(found.distinct(), ["requirement_id", "place"], "left")
+    return selectors.select("requirement_id", "place", label.alias("label")).join(found.distinct().hint(MADE), ["requirement_id", "place"], "left")
 
 
 def assessed(matches: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def locator_prefixes(locator: Column | str) -> Column:
 
 def by_prefix(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Evidence (with a locator) with the artifact of `artifacts` whose locators begin with it and `:` or `#`. The prefixes make it an equi-join; a locator may belong to several."""
-    return evidence.withColumn("artifact", F.explode(F.array_distinct(locator_prefixes("locator")))).join(artifacts.select("artifact").distinct(), "artifact")
+    return evidence.withColumn("artifact", F.explode(F.array_distinct(locator_prefixes("locator")))).join(artifacts.select("artifact").distinct().hint(MADE), "artifact")
 
 
 def fragments_covered(requirements: DataFrame, assertions: DataFrame, order: list[str], block: int = 1_000) -> DataFrame:

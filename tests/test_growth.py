@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sedimark.operators import extract
+from sedimark.operators import extract, selectors
 from sedimark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +29,13 @@ def test_nodes_inside(spark):
     found = nodes.collect()
     want = sorted((str(r.artifact_id), r.locator, sum(s.source_locator == r.source_locator and r.pre < s.pre and s.post < r.post for s in found)) for r in found)
     assert sorted((str(r.artifact_id), r.locator, r.n_inside) for r in extract.counted_inside(nodes).collect()) == want and max(w[2] for w in want) == 5
+
+
+@tables_here
+def test_extracted_rows_are_not_broadcast(spark):
+    for name in ("python_selectors", "locator_prefixes"):
+        assert "Broadcast" not in plan(registry.queries()[name](spark, DATA)), name
+    facts = spark.createDataFrame([("a.ts", "a.ts:L1", "{}")], "source_locator string, locator string, normalized_value string")
+    said = spark.createDataFrame([("a.ts", "b", "a.ts:L2")], "source_locator string, statement string, locator string")
+    asked = spark.createDataFrame([("s", 2, "b.ts", "comment", None, "n", None)], "requirement_id string, place int, artifact string, kind string, field string, contains string, equals string")
+    assert "Broadcast" not in plan(selectors.bundle_matches(facts, said, asked))
