@@ -961,15 +961,20 @@ def identity_merge(spark, d):
 
 def _workflows(spark, d):
     """Orders as workflow runs, their line items as jobs with a log and two steps, and as artifacts."""
-    li = L.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")).alias("l_linenumber"))
-    step = lambda k: F.struct(F.lit(k).alias("number"), F.concat(F.lit("s"), F.col("l_returnflag")).alias("name"), F.when(F.col("l_linestatus") == "O", "success").alias("conclusion"))
-    job = F.struct(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("name"), F.struct(F.lit("available").alias("availability"), F.when(F.col("l_linenumber") % 2 == 0, 302).alias("http_status")).alias("log"), F.array(step(1), step(2)).alias("steps"))
-    art = F.struct(F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("long").alias("size_in_bytes"))
-    n = li.groupBy(F.col("l_orderkey").alias("artifact_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", job.alias("j"), art.alias("a")))).alias("x"))
+    k = F.col("artifact_id")
     o = L.table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("conclusion")).alias("run"))
-    return n.join(o, "artifact_id").select(
-        "artifact_id", F.concat(F.lit("$run/"), "artifact_id").alias("source_locator"), "run", (F.size("x") + F.when(F.col("artifact_id") % 9 == 2, 1).otherwise(0)).alias("job_count"), F.size("x").alias("artifact_count"),
-        F.transform("x", lambda v: v["j"]).alias("jobs"), F.transform("x", lambda v: v["a"]).alias("artifacts"),
+    li = L.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("artifact_id"), F.struct("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").alias("line"))
+    # one aggregate of plain lines; the payload is built after it, where no sort holds it any more
+    x = li.unionByName(o, allowMissingColumns=True).where(k.isNotNull()).groupBy("artifact_id").agg(F.max("run").alias("run"), F.array_sort(F.collect_list("line")).alias("x")).where("run is not null and size(x) > 0")
+    step = lambda n, v: F.struct(F.lit(n).alias("number"), F.concat(F.lit("s"), v["l_returnflag"]).alias("name"), F.when(v["l_linestatus"] == "O", "success").alias("conclusion"))
+
+    def job(v, i):
+        log = F.struct(F.lit("available").alias("availability"), F.when((i + 1) % 2 == 0, 302).alias("http_status"))
+        return F.struct((i + 1).alias("id"), v["l_returnflag"].alias("name"), log.alias("log"), F.array(step(1, v), step(2, v)).alias("steps"))
+
+    return x.select(
+        "artifact_id", F.concat(F.lit("$run/"), "artifact_id").alias("source_locator"), "run", (F.size("x") + F.when(k % 9 == 2, 1).otherwise(0)).alias("job_count"), F.size("x").alias("artifact_count"),
+        F.transform("x", job).alias("jobs"), F.transform("x", lambda v, i: F.struct((i + 1).alias("id"), v["l_quantity"].cast("long").alias("size_in_bytes"))).alias("artifacts"),
     )
 
 

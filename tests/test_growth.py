@@ -52,3 +52,19 @@ def test_fragments_with_letters_without_an_upper_case_of_their_own(spark, tmp_pa
 def test_parsing_is_dealt_over_all_tasks(spark):
     for name in ("typescript_scopes", "pyproject_facts", "python_ast_facts", "package_json_facts"):
         assert registry.queries()[name](spark, DATA).rdd.getNumPartitions() == 4, name
+
+
+@tables_here
+def test_workflow_payloads_are_built_after_the_only_shuffle(spark):
+    """Payloads are ten times their lines: no sort and no join may hold them."""
+    text = plan(registry.queries()["workflow_count_faults"](spark, DATA)).split("== ")[0]
+    assert "Join" not in text and "Window" not in text and text.count("Exchange ") == 1
+
+
+def test_workflows_of_lines_without_an_order(spark, tmp_path):
+    lines = [(2, 1, "A", "O", 1.0), (2, 2, "B", "F", 2.0), (9, 1, "A", "O", 3.0), (None, 1, "A", "O", 4.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(2, "F", "1-URGENT"), (3, "O", "5-LOW"), (None, "O", "5-LOW")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    (row,) = registry._workflows(spark, str(tmp_path)).collect()
+    assert (row.artifact_id, row.job_count, row.artifact_count, row.run.conclusion) == (2, 3, 2, None)
+    assert [(j.id, j.name, j.log.http_status, [s.conclusion for s in j.steps]) for j in row.jobs] == [(1, "A", None, ["success"] * 2), (2, "B", 302, [None] * 2)] and [a.size_in_bytes for a in row.artifacts] == [1, 2]
