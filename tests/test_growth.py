@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedimark.operators import extract, selectors
-from sedimark.plans import registry
+from sedimark.plans import envelopes, registry
 
 DATA = "/root/testdata/sf0.001"
 tables_here = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
@@ -68,3 +69,17 @@ def test_workflows_of_lines_without_an_order(spark, tmp_path):
     (row,) = registry._workflows(spark, str(tmp_path)).collect()
     assert (row.artifact_id, row.job_count, row.artifact_count, row.run.conclusion) == (2, 3, 2, None)
     assert [(j.id, j.name, j.log.http_status, [s.conclusion for s in j.steps]) for j in row.jobs] == [(1, "A", None, ["success"] * 2), (2, "B", 302, [None] * 2)] and [a.size_in_bytes for a in row.artifacts] == [1, 2]
+
+
+def test_only_breaks_go_up_a_chain(spark, monkeypatch):
+    """No closure over whole runs is made; breaks go up all steps, and the first by stage counts."""
+    monkeypatch.setattr(envelopes, "reached", lambda *_: pytest.fail("all pairs of runs"))
+    read = [("b", "a"), ("c", "b"), ("d", "c"), ("d", "x"), ("y", "x")]
+    stages = {"a": "capture", "b": "extraction", "c": "change", "d": "reduce", "x": "capture", "y": "extraction"}
+    runs = spark.createDataFrame([(r, s, "1", "{}", f"h{r}") for r, s in stages.items()], "run_id string, stage string, policy_version string, params string, outputs_hash string")
+    reads = spark.createDataFrame([(r, "in", p) for r, p in [*read, *((r, None) for r in "ax")]], "run_id string, role string, parent_id string").where("parent_id is not null")
+    reads = reads.unionByName(spark.createDataFrame([("a", "self", "a"), ("x", "self", "x")], "run_id string, role string, parent_id string"))
+    signed = envelopes.signed(runs, reads)
+    outputs = runs.select("run_id", F.when(F.col("run_id").isin("b", "c"), "other").otherwise(F.col("outputs_hash")).alias("outputs_hash"))
+    got = {r.run_id: (r.fault, r.first_run) for r in envelopes.chain_faults(signed, reads, outputs).collect()}
+    assert got == {"b": ("other outputs", "b"), "c": ("other outputs", "b"), "d": (None, "b")}
