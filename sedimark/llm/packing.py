@@ -16,6 +16,8 @@ tokenised in parts at safe places; other columns are ignored. Sequence ids are u
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import uuid
@@ -24,66 +26,190 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe_codec import Codec, tokenizer_path
-from .common import shared_folder, slices, small_batches, tidy
+from .bpe_codec import tokenizer_path
+from .common import shared_folder, slices, small_batches, text_buffer, tidy
 
 MODEL, SIZE, END = "byte_bpe_50k.json", 1024, 0
+#: Classes of characters in the tokenizer's pattern, and how its vocabulary writes a space.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+SPACE_MARK = "Ġ"
+#: Bytes that are tokenised at a time, and of a longer text.
+PIECE, PART = 1 << 22, 1 << 20
 _LOADED: dict[str, "Library"] = {}
 
 
-class Library(Codec):
-    """A byte-level model of the tokenizers library. Matches of its pattern are encoded by the library, every distinct one once."""
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point in the pattern, by the library that reads the pattern elsewhere."""
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def match_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a match of public_tokenizers.PATTERN starts at each byte of UTF-8 texts, and at their end; offsets: each text's first byte, with the end.
+
+    A match is a run of one class, but for three rules: of white space before another character of its text the last character stands apart; if that is a space it goes with what follows; and
+    an apostrophe that starts a match takes the letters of a contraction.
+    """
+    n, table = len(data), _classes()
+    kind = np.r_[table[:128], np.zeros(128, np.uint8)][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = 1 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+        code = data[lead] & (0x3F >> more)
+        for k in (1, 2, 3):
+            on = np.flatnonzero(more >= k)
+            code[on] = code[on] << 6 | data[lead[on] + k] & 0x3F
+        kind[lead] = own = table[code]
+        for k in (1, 2, 3):
+            on = np.flatnonzero(more >= k)
+            kind[lead[on] + k] = own[on]
+    text = np.zeros(n + 1, bool)
+    text[offsets] = True
+    starts = text.copy()
+    starts[1:n] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    after = np.flatnonzero(space[:-1] & ~space[1:] & ~text[1:n]) + 1
+    last = after - 1
+    while (inside := (data[last] & 0xC0) == 0x80).any():
+        last = last - inside
+    starts[last] = True
+    starts[after[data[last] == ord(" ")]] = False
+    at = np.flatnonzero(data[:-1] == ord("'"))
+    at = at[starts[at] & (kind[at + 1] == LETTER) & ~text[at + 1]]
+    if len(at):
+        one = data[at + 1]
+        # the second letter, if it is of the same text
+        two = np.where(text[at + 2], 0, data[np.minimum(at + 2, n - 1)])
+        long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        starts[at[long | short] + 1] = False
+        starts[at[short] + 2] = starts[at[long] + 3] = True
+    return starts
+
+
+class Library:
+    """A byte-level model of the tokenizers library. Matches of its pattern are encoded by the library, every distinct one once.
+
+    Matches are never objects but for distinct ones: the texts' bytes are an Arrow array of matches as they stand, which Arrow makes a dictionary of, and the ids of a text are taken from those of the dictionary.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.width = self.model.get_vocab_size(with_added_tokens=True)
-        plain = self._finder(public_tokenizers.PATTERN)
+        self.kind = np.dtype("<u2") if self.width <= 1 << 16 else np.dtype("<u4")
         added = sorted((t.content for t in self.model.get_added_tokens_decoder().values()), key=len, reverse=True)
-        if not added:
-            self.find = plain
-        else:
-            split = re.compile("(" + "|".join(map(re.escape, added)) + ")").split
-            self.find = lambda text: [m for k, part in enumerate(split(text)) for m in ([part] if k % 2 else plain(part))]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        #: ids that start with a space, which a match has only at its start; none if added tokens may hold one
+        self.spaced = np.zeros(max(self.model.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        if not any(" " in t for t in added):
+            self.spaced[[k for t, k in self.model.get_vocab(with_added_tokens=False).items() if t.startswith(SPACE_MARK)]] = True
         self.clear()
 
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
     def _ids(self, matches: list[str], together: int = 2_000) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The matches in another order, their ids, one after the other, and how many each has.
 
-        Matches of a space and other characters are encoded as one text, many at a time: the pattern cuts before every such space, and the library tells which of its words an id is of.
+        Matches of a space and other characters are encoded as one text, many at a time: the pattern cuts before every such space, and only ids at a match's start start with a space.
         """
-        spaced = [m for m in matches if len(m) > 1 and m[0] == " " and not m[1].isspace()]
-        alone = [m for m in matches if len(m) < 2 or m[0] != " " or m[1].isspace()]
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)  # ids are all that is read
+        spaced, alone = [], []
+        for m in matches:
+            (spaced if len(m) > 1 and m[0] == " " and not m[1].isspace() else alone).append(m)
         order, ids, count = [], [], []
         groups = [spaced[k : k + together] for k in range(0, len(spaced), together)]
-        for group, e in zip(groups, self.model.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
-            if len(n) == len(group) and n.all():
+        for group, e in zip(groups, encode(["".join(g) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, np.int64)
+            first = np.flatnonzero(self.spaced[got])
+            if len(first) == len(group) and first[0] == 0:
                 order += group
-                ids.append(e.ids)
-                count.append(n)
+                ids.append(got)
+                count.append(np.diff(np.r_[first, len(got)]))
             else:  # never with the usual pattern
                 alone += group
-        for e in self.model.encode_batch(alone, add_special_tokens=False):
-            ids.append(e.ids)
-            count.append([len(e.ids)])
-        return order + alone, np.fromiter((x for part in ids for x in part), np.int32), np.concatenate([np.zeros(0, np.int64), *count]).astype(np.int64)
+        each = [e.ids for e in encode(alone, add_special_tokens=False)]
+        ids.append(np.array([x for part in each for x in part], np.int64))
+        count.append(np.array([*map(len, each)], np.int64))
+        return order + alone, np.concatenate(ids).astype(self.kind), np.concatenate(count)
 
     def _learn(self, matches: list[str]) -> None:
         matches, more, count = self._ids(matches)
-        n, at = len(self.known), int(self.ends[len(self.known) - 1]) if self.known else 0
-        self.ids = np.concatenate([self.ids[:at], more, np.zeros(1 << 16, np.int32)])
-        self.ends = np.concatenate([self.ends[:n], at + np.cumsum(count), np.zeros(1 << 12, np.int64)])
+        n, at = len(self.known), len(self.ids)
+        self.ids = np.concatenate([self.ids, more])
+        self.ends = np.concatenate([self.ends, at + np.cumsum(count)])
+        self.again = np.concatenate([self.again, np.zeros(len(matches), bool)])
         self.known.update(zip(matches, range(n, n + len(matches))))
 
+    def _forget(self, most: int) -> None:
+        """Keeps the matches that were met again since this was last done, or none if they are too many."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > 2 * most // 3:
+            return self.clear()
+        names = [*self.known]
+        self.ids, size = self._of(keep)
+        self.ends, self.again = np.cumsum(size), np.zeros(len(keep), bool)
+        self.known = {names[k]: n for n, k in enumerate(keep.tolist())}
+
+    def _of(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known matches, one after the other, and how many each has."""
+        start = np.where(index > 0, self.ends[index - 1], 0) if len(index) else index
+        size = self.ends[index] - start
+        upto = np.cumsum(size)
+        return self.ids[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(index) else 0)], size
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """match_starts, with added tokens as texts of their own that are one match each."""
+        spans = []
+        if self.added and self.added.search(data):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                spans += [(a + m.start(), a + m.end()) for m in self.added.finditer(data[a:b])]
+        out = match_starts(data, np.concatenate([offsets, *np.array(spans, np.int64)]) if spans else offsets)
+        for a, b in spans:
+            out[a + 1 : b] = False
+        return out
+
+    def encode(self, texts: pa.Array, remember: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each. When too many matches are known, those that were met once are dropped."""
+        if len(self.known) > remember:
+            self._forget(remember)
+        data, offsets = text_buffer(texts)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        start = np.flatnonzero(self.starts(data, offsets)[:-1])
+        matches = _strings(pa.large_string(), np.append(start, len(data)), data).dictionary_encode()
+        distinct = matches.dictionary.to_numpy(zero_copy_only=False)
+        index = np.fromiter(map(self.known.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        self.again[index[index >= 0]] = True
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            fresh = distinct[new].tolist()
+            self._learn(fresh)
+            index[new] = [*map(self.known.__getitem__, fresh)]
+        ids, size = self._of(index)
+        taken = _strings(pa.large_binary(), np.r_[0, np.cumsum(size)] * self.kind.itemsize, ids).take(matches.indices)
+        upto = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // self.kind.itemsize
+        return np.frombuffer(taken.buffers()[2], self.kind, upto[-1]), np.diff(upto[np.searchsorted(start, offsets)])
+
+
+def _strings(kind: pa.DataType, ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(data)])
+
 
 def library(model: str) -> Library:
     if model not in _LOADED:
@@ -91,7 +217,7 @@ def library(model: str) -> Library:
     return _LOADED[model]
 
 
-def _parts(text: str, most: int = 1 << 20):
+def _parts(text: str, most: int = PART):
     """A text in parts; each but the first starts with a space after another character, where no match crosses."""
     at = 0
     while len(text) - at > most:
@@ -115,18 +241,21 @@ def tokenised(docs: DataFrame, model: str = MODEL, size: int = SIZE, remember: i
 
     def run(batches):
         enc, part, seen, whole = library(model), TaskContext.get().partitionId(), np.zeros(size, np.int64), 0
-        kind = np.dtype("<u2") if enc.width <= 1 << 16 else np.dtype("<u4")
+        end = np.array([END], enc.kind).tobytes()
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", PIECE):
                 out = []
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                cut = [[*_parts(t)] for t in texts]
-                ids, count = enc.encode([p for parts in cut for p in parts], remember)
-                ends = np.cumsum(np.r_[0, count])[np.cumsum([0, *map(len, cut)])]
+                texts = piece.column("text")
+                if len(texts) == 1 and texts.nbytes > 2 * PART:
+                    each = [enc.encode(pa.array([p]), remember) for t in texts.to_pylist() for p in _parts(t or "")]
+                    ids, ends = np.concatenate([i for i, _ in each]), np.array([0, sum(len(i) for i, _ in each)])
+                else:
+                    ids, count = enc.encode(texts, remember)
+                    ends = np.cumsum(np.r_[0, count])
                 for doc, a, b in zip(piece.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                     n = b - a + 1
                     rest = n % size
-                    out.append((doc, part, n, rest, int(seen[rest]), whole, np.append(ids[a:b], END).astype(kind).tobytes()))
+                    out.append((doc, part, n, rest, int(seen[rest]), whole, ids[a:b].tobytes() + end))
                     seen[rest] += 1
                     whole += n // size
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out))], names=[c.split()[0] for c in ROWS.split(", ")])
